@@ -254,3 +254,11 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
     out = (pts.drop(*[c for c in value_cols if c in points.columns])
            .join(found, "__pid", "left").join(vals, "__nid", "left"))
     return out.drop("__pid").withColumnRenamed("__nid", f"nearest_{site_id}")
+
+
+def pivot_wide(df: DataFrame, keys: Sequence[str], pivot_col: str,
+               pivot_values: Sequence[str], value_col: str, prefix: str) -> DataFrame:
+    """A4, general form: one ``{prefix}{label}`` column per pivot label
+    (mean of repeated cells, NULL for missing ones), labels in given order."""
+    g = df.groupBy(*keys).pivot(pivot_col, list(pivot_values)).agg(F.avg(value_col))
+    return g.select(*keys, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in pivot_values])
