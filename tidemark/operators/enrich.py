@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators._util import MAX_BROADCAST_ROWS, and_all, bounded_rows
+from tidemark.session import cut_lineage
 
 
 def with_calendar(df: DataFrame, ts_col: str, date_col: str = "date",
@@ -221,7 +222,7 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
     if cell is None:
         cell = span / max(1.0, (ext["n"] / 4.0) ** 0.5)
     pts = points.withColumn("__pid", F.monotonically_increasing_id())
-    pts = pts.checkpoint(eager=True)  # fixes the ids for the later joins
+    pts = cut_lineage(pts)  # fixes the ids for the later joins
     todo = pts.select("__pid", F.col(px).cast("double").alias("__x"),
                       F.col(py).cast("double").alias("__y")).filter(
         F.col("__x").isNotNull() & F.col("__y").isNotNull())
@@ -244,9 +245,9 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
             F.min(F.struct("__d", "__sid")).alias("__b"))
         best = best.select("__pid", F.col("__b.__d").alias(dist_col),
                            F.col("__b.__sid").alias("__nid"))
-        ok = best.filter(F.col(dist_col) <= F.lit(size)).checkpoint(eager=True)
+        ok = cut_lineage(best.filter(F.col(dist_col) <= F.lit(size)))
         found = ok if found is None else found.unionByName(ok)
-        todo = todo.join(ok.select("__pid"), "__pid", "left_anti").checkpoint(eager=True)
+        todo = cut_lineage(todo.join(ok.select("__pid"), "__pid", "left_anti"))
         if todo.isEmpty():
             break
         size *= 4

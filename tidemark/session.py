@@ -66,6 +66,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and continue from the written files.
+
+    Like a reliable checkpoint it survives executor loss and keeps lineage
+    one step deep; in addition the optimizer's size estimate restarts from
+    the real file size (a checkpoint keeps the estimate of the plan it
+    replaced, which iterative joins multiply round after round).
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tidemark-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
