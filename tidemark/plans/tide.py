@@ -255,3 +255,23 @@ def sensor_csv_roundtrip(spark, sf_dir):
     srcs = [io.read_sensor(spark, p, SENSOR_SCHEMA, time_col="ts") for p in paths]
     readings = io.union_sources(srcs)
     return enrich.daily_extremes(readings, ["event_type"], "ts", "value")
+
+
+@register("sensor_stream_daily_extremes", """
+SELECT event_type, CAST(ts AS DATE) AS date, min(value) AS daily_min,
+       max(value) AS daily_max, CAST(year(CAST(ts AS DATE)) AS BIGINT) AS year
+FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL
+GROUP BY 1, 2
+""")
+def sensor_stream_daily_extremes(spark, sf_dir):
+    """A1 as a Structured Streaming job over the readings file(s): state per
+    (station, day), result table rewritten per micro-batch, read back."""
+    import uuid
+
+    from tidemark.streaming import daily_extremes_stream, run_to_table
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-stream/{uuid.uuid4().hex}"
+    schema = io.load_table(spark, sf_dir, "events").schema
+    s = daily_extremes_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema,
+                              ["event_type"], "ts", "value")
+    run_to_table(s, f"{base}/table", f"{base}/state")
+    return spark.read.parquet(f"{base}/table")
