@@ -50,53 +50,59 @@ def global_rank(df: DataFrame, order_by: Sequence[str], rank_col: str = "rank",
             .drop("__pid", "__mid"))
 
 
-def _pick(sorted_vals: list[float], pos: int) -> float:
-    return sorted_vals[pos]
+def _values(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).cast("double").alias("v")).filter(
+        F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
-                     buckets: int = 4096, max_collect: int = 200_000) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of the non-NULL values of ``col``."""
-    v = df.select(F.col(col).cast("double").alias("v")).filter(
-        F.col("v").isNotNull() & ~F.isnan("v"))
+                     buckets: int = 4096, max_collect: int = 200_000,
+                     stats=None) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the non-NULL values of ``col``.
+
+    Each pass groups the rows of every still-open interval into ``buckets``
+    equal-width buckets (count, min, max per bucket: a bounded result) and
+    keeps the bucket holding the wanted rank; an interval of at most
+    ``max_collect`` rows, or of one distinct value, is resolved directly.
+    """
+    v = _values(df, col)
     want = sorted(set(int(r) for r in ranks))
-    result: dict[int, float] = {}
-    # per wanted rank: (lo, hi, rows below lo) with lo <= value <= hi
-    st = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
+    st = stats or v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                        F.count("*").alias("n")).first()
     if st["n"] == 0:
         return {r: None for r in want}
-    state = {r: (st["lo"], st["hi"], 0) for r in want}
-    for _ in range(64):
-        active = {r: s for r, s in state.items() if r not in result}
-        if not active:
-            break
+    result: dict[int, float] = {}
+    # per wanted rank: (lo, hi, rows below lo, rows inside) with lo <= value <= hi
+    state = {r: (st["lo"], st["hi"], 0, st["n"]) for r in want}
+    for _ in range(256):
         groups: dict[tuple, list[int]] = {}
-        for r, s in active.items():
-            groups.setdefault(s, []).append(r)
-        for (lo, hi, below), rs in groups.items():
+        for r, s_ in state.items():
+            if r not in result:
+                groups.setdefault(s_, []).append(r)
+        if not groups:
+            break
+        for (lo, hi, below, n_in), rs in groups.items():
             if lo == hi:
                 for r in rs:
                     result[r] = lo
                 continue
             inside = v.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-            n_in = None
+            if n_in <= max_collect:
+                vals = sorted(x["v"] for x in inside.collect())
+                for r in rs:
+                    result[r] = vals[r - below]
+                continue
             width = (hi - lo) / buckets
             b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"),
                         F.lit(buckets - 1))
             hist = (inside.groupBy(b.alias("b"))
                     .agg(F.count("*").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                     .orderBy("b").collect())
-            n_in = sum(h["c"] for h in hist)
-            if n_in <= max_collect:
-                vals = sorted(x["v"] for x in inside.collect())
-                for r in rs:
-                    result[r] = _pick(vals, r - below)
-                continue
             for r in rs:
                 acc = below
                 for h in hist:
                     if r < acc + h["c"]:
-                        state[r] = (h["mn"], h["mx"], acc)
+                        state[r] = (h["mn"], h["mx"], acc, h["c"])
                         break
                     acc += h["c"]
     return result
@@ -104,14 +110,17 @@ def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **kw) -> dict[float, float | None]:
     """Linear-interpolated quantiles (position ``(n-1)q``), exact."""
-    n = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+    st = _values(df, col).agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                              F.count("*").alias("n")).first()
+    n = st["n"]
     if n == 0:
         return {q: None for q in qs}
     need = {}
     for q in qs:
         pos = (n - 1) * q
         need[q] = (int(math.floor(pos)), int(math.ceil(pos)), pos - math.floor(pos))
-    stats = order_statistics(df, col, [k for lo, hi, _ in need.values() for k in (lo, hi)], **kw)
+    stats = order_statistics(df, col, [k for lo, hi, _ in need.values() for k in (lo, hi)],
+                             stats=st, **kw)
     return {q: stats[lo] + frac * (stats[hi] - stats[lo]) for q, (lo, hi, frac) in need.items()}
 
 

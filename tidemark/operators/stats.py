@@ -32,6 +32,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one row per column."""
     spark = df.sparkSession
     cols = [c for c in cols if c in df.columns]
+    df = df.select(*cols).persist()       # read by several passes below
     base = df.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
         F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
@@ -41,6 +42,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
         rows.append((c, int(base[f"{c}__n"]), base[f"{c}__mean"], base[f"{c}__std"],
                      _f(base[f"{c}__min"]), q[0.25], q[0.5], q[0.75], _f(base[f"{c}__max"])))
+    df.unpersist()
     schema = ("column string, count long, mean double, std double, min double, "
               "p25 double, p50 double, p75 double, max double")
     return spark.createDataFrame(rows, schema)
