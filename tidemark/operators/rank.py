@@ -109,9 +109,22 @@ def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **kw) -> dict[float, float | None]:
-    """Linear-interpolated quantiles (position ``(n-1)q``), exact."""
-    st = _values(df, col).agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                              F.count("*").alias("n")).first()
+    """Linear-interpolated quantiles (position ``(n-1)q``), exact.
+
+    The one value column is persisted (memory, spilling to disk) for the
+    few passes, so the input plan runs once.
+    """
+    from pyspark import StorageLevel
+    vals = _values(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(vals, qs, **kw)
+    finally:
+        vals.unpersist()
+
+
+def _exact_quantiles(vals: DataFrame, qs: Sequence[float], **kw) -> dict[float, float | None]:
+    st = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
+                  F.count("*").alias("n")).first()
     n = st["n"]
     if n == 0:
         return {q: None for q in qs}
@@ -119,7 +132,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **kw) -> dict[
     for q in qs:
         pos = (n - 1) * q
         need[q] = (int(math.floor(pos)), int(math.ceil(pos)), pos - math.floor(pos))
-    stats = order_statistics(df, col, [k for lo, hi, _ in need.values() for k in (lo, hi)],
+    stats = order_statistics(vals, "v", [k for lo, hi, _ in need.values() for k in (lo, hi)],
                              stats=st, **kw)
     return {q: stats[lo] + frac * (stats[hi] - stats[lo]) for q, (lo, hi, frac) in need.items()}
 

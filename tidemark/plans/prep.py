@@ -28,7 +28,7 @@ def vector_cache_roundtrip(spark, sf_dir):
     io.write_vectors(emb.withColumnRenamed("vec_id", "id"), path, "id", "embedding")
     v = io.read_vectors(spark, path)
     return round_doubles(v.select(
-        "id", F.size("embedding").alias("dims"),
+        "id", F.size("embedding").cast("long").alias("dims"),
         F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("vec_sum")))
 
 
