@@ -209,3 +209,16 @@ def test_global_rank_is_dense_and_ordered(spark):
     r = global_rank(df.repartition(5), ["k", "id"], "pos", partitions=7).collect()
     assert sorted(x.pos for x in r) == list(range(1000))
     assert all(x.pos == x.k for x in r)
+
+
+def test_nearest_colocated_sites_and_dense_cell(spark):
+    # two sites at the same place: the lower id wins in both paths; a dense
+    # cluster of sites forces the grid to shrink its cells
+    pts = spark.createDataFrame([(1, 0.1, 0.1), (2, 9.0, 9.0)], "pid int, x double, y double")
+    rows = [(5, 0.0, 0.0), (2, 0.0, 0.0), (9, 10.0, 10.0)]
+    rows += [(100 + i, 5.0 + i * 1e-3, 5.0) for i in range(200)]
+    sites = spark.createDataFrame(rows, "sid int, sx double, sy double")
+    for kw in ({}, {"max_broadcast": 0, "max_per_cell": 8}):
+        out = {r.pid: r.nearest_sid for r in
+               enrich.nearest_join(pts, sites, ["x", "y"], ["sx", "sy"], "sid", [], **kw).collect()}
+        assert out == {1: 2, 2: 9}

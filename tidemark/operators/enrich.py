@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators._util import MAX_BROADCAST_ROWS, and_all, bounded_rows
+from tidemark.operators._util import and_all, bounded_rows
 from tidemark.session import cut_lineage
 
 
@@ -164,16 +164,16 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
                  site_xy: Sequence[str], site_id: str,
                  value_cols: Sequence[str] | None = None,
                  dist_col: str = "nearest_dist",
-                 max_broadcast: int = MAX_BROADCAST_ROWS,
-                 cell: float | None = None) -> DataFrame:
+                 max_broadcast: int = 1000,
+                 cell: float | None = None, max_per_cell: int = 64) -> DataFrame:
     """Every point takes the value columns of its nearest site.
 
     Euclidean distance on the raw coordinates; equal distances go to the
-    lowest site id.  Small site sets (counted, at most ``max_broadcast``
-    rows) are broadcast: the nearest site id is found per point inside the
-    scan (no shuffle of the point table) and the values come from a
-    broadcast hash join.  Larger site sets use an exact grid join with
-    growing cells (``_nearest_grid``).
+    lowest site id.  A small site set (counted, at most ``max_broadcast``
+    rows, so the per-point work is bounded) is inlined: the nearest site id
+    is found per point inside the scan (no shuffle of the point table) and
+    the values come from a broadcast hash join.  Larger site sets use an
+    exact grid join (``_nearest_grid``).
     """
     value_cols = list(value_cols) if value_cols is not None else [
         c for c in sites.columns if c not in (site_id, *site_xy)]
@@ -183,7 +183,7 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
     n_sites = bounded_rows(s, max_broadcast)
     if n_sites is None:
         return _nearest_grid(points, s, point_xy, site_xy, site_id, value_cols,
-                             dist_col, cell)
+                             dist_col, cell, max_per_cell)
     site_rows = s.select(F.col(site_id).alias("__sid"),
                          F.col(sx).cast("double").alias("__sx"),
                          F.col(sy).cast("double").alias("__sy")).collect()
@@ -203,10 +203,13 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
 
 
 def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
-                  dist_col, cell):
+                  dist_col, cell, max_per_cell=64):
     """Exact nearest site for large site sets by a cell equi-join.
 
-    Round r uses square cells of side ``cell * 4**r``.  A point is joined to
+    Sites at identical coordinates collapse to the lowest id first (the tie
+    rule makes that exact), and the starting cell is halved until no cell
+    holds more than ``max_per_cell`` sites, so a dense area is no hot join
+    key.  Round r uses square cells of side ``cell * 4**r``.  A point is joined to
     the sites of its own and the eight neighbouring cells; when its best
     candidate lies within one cell side, no site outside the block can be
     closer, so the answer is final.  Unresolved points go to the next round
@@ -226,8 +229,17 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
     todo = pts.select("__pid", F.col(px).cast("double").alias("__x"),
                       F.col(py).cast("double").alias("__y")).filter(
         F.col("__x").isNotNull() & F.col("__y").isNotNull())
-    sites_xy = sites.select(F.col(site_id).alias("__sid"), F.col(sx).cast("double").alias("__sx"),
-                            F.col(sy).cast("double").alias("__sy"))
+    sites_xy = cut_lineage(
+        sites.select(F.col(sx).cast("double").alias("__sx"), F.col(sy).cast("double").alias("__sy"),
+                     F.col(site_id).alias("__sid"))
+        .groupBy("__sx", "__sy").agg(F.min("__sid").alias("__sid")))
+    for _ in range(40):
+        busiest = (sites_xy.groupBy(F.floor(F.col("__sx") / cell).alias("a"),
+                                    F.floor(F.col("__sy") / cell).alias("b"))
+                   .count().agg(F.max("count")).first()[0])
+        if busiest is None or busiest <= max_per_cell:
+            break
+        cell /= 2.0
     found = None
     size = cell
     while True:

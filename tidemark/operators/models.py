@@ -36,15 +36,19 @@ def standardise(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
 
 
 def one_hot(df: DataFrame, col: str, drop_first: bool = False,
-            prefix: str | None = None, categories: Sequence[str] | None = None) -> DataFrame:
+            prefix: str | None = None, categories: Sequence[str] | None = None,
+            max_categories: int = 1000) -> DataFrame:
     """M2: one 0/1 column per category in sorted order; NULL -> all zero.
 
     ``drop_first`` drops the first sorted category.  Categories are the
-    distinct values (bounded by the column's cardinality) unless given.
+    distinct values unless given; more than ``max_categories`` raises (one
+    column per category, so the count must be small).
     """
     if categories is None:
         categories = [r[0] for r in df.select(col).filter(F.col(col).isNotNull())
-                      .distinct().collect()]
+                      .distinct().limit(max_categories + 1).collect()]
+        if len(categories) > max_categories:
+            raise ValueError(f"{col} has more than {max_categories} categories")
     cats = sorted(categories)
     if drop_first:
         cats = cats[1:]
