@@ -222,3 +222,14 @@ def test_nearest_colocated_sites_and_dense_cell(spark):
         out = {r.pid: r.nearest_sid for r in
                enrich.nearest_join(pts, sites, ["x", "y"], ["sx", "sy"], "sid", [], **kw).collect()}
         assert out == {1: 2, 2: 9}
+
+
+def test_csv_nan_becomes_null(spark):
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "t.csv")
+    with open(p, "w") as f:
+        f.write("id,v\n1,NaN\n2,2.5\n3,\n")
+    df = io.read_table(spark, p, "id int, v double", fmt="csv")
+    got = {r.id: r.v for r in df.collect()}
+    assert got == {1: None, 2: 2.5, 3: None}
+    assert df.agg(F.avg("v")).first()[0] == 2.5

@@ -22,10 +22,6 @@ def vectors(spark, sf_dir):
     return knn.as_vectors(io.load_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-def _graph(spark, sf_dir):
-    return cpf.build_graph(vectors(spark, sf_dir), K)
-
-
 VEC_CTE = f"""
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
       WHERE embedding IS NOT NULL),

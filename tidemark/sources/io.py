@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import nan_to_null
+
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder (``{sf_dir}/{name}.parquet``)."""
@@ -22,13 +24,20 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str | Sequence[str],
                schema: T.StructType | str | None = None,
                fmt: str = "parquet") -> DataFrame:
-    """A table from CSV (header line, empty field = NULL) or parquet."""
+    """A table from CSV (header line, empty field = NULL) or parquet.
+
+    Floating NaN read from CSV becomes NULL: missing values stay missing
+    (Spark orders NaN above every number and ``avg`` would propagate it).
+    """
     if fmt == "csv":
         if schema is None:
             raise ValueError("CSV needs an explicit schema (no inference)")
-        return (spark.read.schema(schema).option("header", True)
-                .option("nullValue", "").option("mode", "PERMISSIVE")
-                .csv(path))
+        df = (spark.read.schema(schema).option("header", True)
+              .option("nullValue", "").option("mode", "PERMISSIVE")
+              .csv(path))
+        return df.select(*[nan_to_null(f.name).alias(f.name)
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+                           else F.col(f.name) for f in df.schema.fields])
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
@@ -55,7 +64,9 @@ def read_sensor(spark: SparkSession, paths: str | Sequence[str],
     out = []
     for f in schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out.append(nan_to_null(c.try_cast(f.dataType)).alias(f.name))
+        elif isinstance(f.dataType, T.StringType):
             out.append(c.alias(f.name))
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             ts = (F.try_to_timestamp(c, F.lit(timestamp_format))
