@@ -265,13 +265,14 @@ GROUP BY 1, 2
 """)
 def sensor_stream_daily_extremes(spark, sf_dir):
     """A1 as a Structured Streaming job over the readings file(s): state per
-    (station, day), result table rewritten per micro-batch, read back."""
-    import uuid
-
+    (station, day) under a watermark, updated days merged into a
+    date-partitioned table, which is read back."""
     from tidemark.streaming import daily_extremes_stream, run_to_table
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-stream/{uuid.uuid4().hex}"
+    from tidemark.streaming.sensor import new_stream_folder
+    base = new_stream_folder(ensure_checkpoint_dir(spark))
     schema = io.load_table(spark, sf_dir, "events").schema
     s = daily_extremes_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema,
                               ["event_type"], "ts", "value")
-    run_to_table(s, f"{base}/table", f"{base}/state")
-    return spark.read.parquet(f"{base}/table")
+    run_to_table(s, f"{base}/table", f"{base}/state", ["event_type"])
+    return spark.read.parquet(f"{base}/table").select(
+        "event_type", "date", "daily_min", "daily_max", "year")

@@ -2,14 +2,17 @@
 
 The reference reads its tide files as one batch; this is the same roll-up
 for readings that keep arriving: a file-source stream, a per-(station, day)
-min / max kept in Structured Streaming state, and a ``foreachBatch`` sink
-that rewrites the result table in the shared folder after every
-micro-batch (so the table is always the complete current answer).  The
-stream's own checkpoint makes restarts exactly-once for the state.
+min / max kept in Structured Streaming state with an event-time watermark
+(state for days older than the watermark is dropped, so state stays
+bounded by the watermark span), and a ``foreachBatch`` sink that merges each
+micro-batch's updated days into a date-partitioned table: only the touched
+day partitions are rewritten.  The stream's own checkpoint makes restarts
+exactly-once for the state; the merge of a replayed batch is idempotent.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +20,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators._util import and_all
+from tidemark.session import cut_lineage
+
+
+def _event_time_utc(df: DataFrame, ts_col: str):
+    """A TIMESTAMP (instant) column for the watermark.  A wall-clock
+    (NTZ) reading time is taken as UTC explicitly, so day boundaries do not
+    depend on the session time zone."""
+    if isinstance(df.schema[ts_col].dataType, T.TimestampNTZType):
+        return F.to_timestamp(
+            F.concat(F.date_format(F.col(ts_col), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+0000")),
+            "yyyy-MM-dd HH:mm:ss.SSSSSSZ")
+    return F.col(ts_col)
 
 
 def daily_extremes_stream(spark: SparkSession, path: str, schema: T.StructType,
                           keys: Sequence[str], ts_col: str, value_col: str,
-                          fmt: str = "parquet", max_files_per_trigger: int | None = None
-                          ) -> DataFrame:
+                          fmt: str = "parquet", watermark: str = "2 days",
+                          max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of (keys, date, daily_min, daily_max, year)."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
@@ -30,25 +45,52 @@ def daily_extremes_stream(spark: SparkSession, path: str, schema: T.StructType,
     if fmt == "csv":
         r = r.option("header", True)
     s = r.load(path)
-    s = s.withColumn("date", F.to_date(F.col(ts_col)))
-    s = s.filter(and_all([F.col(k).isNotNull() for k in [*keys, "date"]]))
-    return (s.groupBy(*keys, "date")
-            .agg(F.min(value_col).alias("daily_min"), F.max(value_col).alias("daily_max"))
-            .withColumn("year", F.year("date").cast("long")))
+    s = s.withColumn("__et", _event_time_utc(s, ts_col))
+    s = s.filter(and_all([F.col(k).isNotNull() for k in [*keys, "__et"]]))
+    s = s.withWatermark("__et", watermark)
+    agg = (s.groupBy(*keys, F.window("__et", "1 day").alias("__w"))
+           .agg(F.min(value_col).alias("daily_min"), F.max(value_col).alias("daily_max")))
+    # UTC-midnight windows: the day is the window start in whole epoch days
+    day = F.date_from_unix_date(
+        F.floor(F.unix_seconds(F.col("__w.start")) / F.lit(86400)).cast("int"))
+    return agg.select(*keys, day.alias("date"), "daily_min", "daily_max") \
+        .withColumn("year", F.year("date").cast("long"))
+
+
+def merge_days(batch: DataFrame, table_path: str, keys: Sequence[str]) -> None:
+    """Upsert a micro-batch of updated (keys, date) rows into the
+    date-partitioned table, rewriting only the touched dates."""
+    spark = batch.sparkSession
+    batch = cut_lineage(batch)
+    days = [r["date"] for r in batch.select("date").distinct().collect()]  # days in one batch
+    if not days:
+        return
+    try:
+        old = spark.read.parquet(table_path).filter(F.col("date").isin(days))
+        kept = old.join(batch.select(*keys, "date"), [*keys, "date"], "left_anti")
+        merged = cut_lineage(kept.unionByName(batch.select(*old.columns)))
+    except Exception as e:  # noqa: BLE001 - first batch: no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+            raise
+        merged = batch
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date").parquet(table_path))
 
 
 def run_to_table(stream: DataFrame, table_path: str, checkpoint_path: str,
-                 available_now: bool = True):
-    """Run the roll-up (complete mode) and keep ``table_path`` equal to the
-    latest full result; with ``available_now`` it stops once the files
-    present at start are processed."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
-
-    w = (stream.writeStream.outputMode("complete").foreachBatch(write)
+                 keys: Sequence[str], available_now: bool = True):
+    """Run the roll-up (update mode) and keep ``table_path`` equal to the
+    current answer; with ``available_now`` it stops once the files present
+    at start are processed."""
+    w = (stream.writeStream.outputMode("update")
+         .foreachBatch(lambda b, _e: merge_days(b, table_path, keys))
          .option("checkpointLocation", checkpoint_path))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     q = w.start()
     if available_now:
         q.awaitTermination()
     return q
+
+
+def new_stream_folder(base: str) -> str:
+    return f"{base.rstrip('/')}/tidemark-stream/{uuid.uuid4().hex}"
