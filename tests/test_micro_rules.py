@@ -233,3 +233,20 @@ def test_csv_nan_becomes_null(spark):
     got = {r.id: r.v for r in df.collect()}
     assert got == {1: None, 2: 2.5, 3: None}
     assert df.agg(F.avg("v")).first()[0] == 2.5
+
+
+def test_global_rank_with_a_hot_value(spark):
+    from tidemark.operators.rank import exact_quantiles, global_rank
+    # a third of the rows share one value: ranks stay a permutation, ties by id
+    df = spark.range(0, 3000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.col("id") * 1.0).alias("v"))
+    r = global_rank(df, ["v", "id"], "pos", partitions=6).collect()
+    assert sorted(x.pos for x in r) == list(range(3000))
+    order = [x.id for x in sorted(r, key=lambda x: x.pos)]
+    expect = [x.id for x in sorted(df.collect(), key=lambda x: (x.v, x.id))]
+    assert order == expect
+    import numpy as np
+    vals = [x.v for x in df.collect()]
+    q = exact_quantiles(df, "v", [0.1, 0.5], max_collect=50, buckets=8)
+    assert abs(q[0.1] - float(np.quantile(vals, 0.1))) < 1e-9
+    assert abs(q[0.5] - float(np.quantile(vals, 0.5))) < 1e-9

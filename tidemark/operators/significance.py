@@ -118,10 +118,10 @@ def anova(df: DataFrame, by: str, col: str) -> DataFrame:
     return s.withColumn("p_value", _f_p(F.col("F"), F.col("df_between"), F.col("df_within")))
 
 
-def qq_points(df: DataFrame, col: str, id_col: str) -> DataFrame:
-    """Ordered values against normal order-statistic medians
-    (Filliben): m_1 = 1 - 0.5^(1/n), m_n = 0.5^(1/n),
-    m_i = (i - 0.3175) / (n + 0.365) otherwise; theoretical = Phi^-1(m)."""
+def qq_positions(df: DataFrame, col: str, id_col: str) -> DataFrame:
+    """A17, first half: value order (distributed rank) and Filliben's
+    order-statistic medians m_1 = 1 - 0.5^(1/n), m_n = 0.5^(1/n),
+    m_i = (i - 0.3175) / (n + 0.365) otherwise."""
     d = df.select(F.col(id_col), F.col(col).cast("double").alias("value")).filter(
         F.col("value").isNotNull())
     n = d.count()
@@ -130,8 +130,14 @@ def qq_points(df: DataFrame, col: str, id_col: str) -> DataFrame:
     m = (F.when(i == n, F.lit(0.5 ** (1.0 / n)) if n else F.lit(None))
          .when(i == 1, F.lit(1 - 0.5 ** (1.0 / n)) if n else F.lit(None))
          .otherwise((i - 0.3175) / F.lit(n + 0.365)))
-    return ranked.select(F.col(id_col), F.col("pos"), F.col("value"),
-                         _norm_ppf(m).alias("theoretical"))
+    return ranked.select(F.col(id_col), F.col("pos"), F.col("value"), m.alias("m"))
+
+
+def qq_points(df: DataFrame, col: str, id_col: str) -> DataFrame:
+    """Ordered values against the normal quantiles of Filliben's
+    medians (theoretical = Phi^-1(m))."""
+    q = qq_positions(df, col, id_col)
+    return q.select(id_col, "pos", "value", _norm_ppf(F.col("m")).alias("theoretical"))
 
 
 # Polynomial coefficients of Royston's (1995) approximation

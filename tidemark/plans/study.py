@@ -370,6 +370,22 @@ def residual_qq(spark, sf_dir):
     return significance.qq_points(t, "residual", "row_key")
 
 
+@register("price_qq_positions", """
+WITH d AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS value FROM part
+           WHERE p_retailprice IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY value, p_partkey) AS i, count(*) OVER () AS n FROM d)
+SELECT p_partkey, CAST(i - 1 AS BIGINT) AS pos, value,
+       round(CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+                  ELSE (i - 0.3175) / (n + 0.365) END, 9) AS m
+FROM r
+""")
+def price_qq_positions(spark, sf_dir):
+    """A17 (positions): part prices in order with Filliben's medians."""
+    p = io.load_table(spark, sf_dir, "part")
+    q = significance.qq_positions(p, "p_retailprice", "p_partkey")
+    return q.withColumn("m", F.round("m", 9))
+
+
 @register("residual_shapiro")
 def residual_shapiro(spark, sf_dir):
     """T4: Shapiro-Wilk W and p of the part prices."""
