@@ -250,3 +250,19 @@ def test_global_rank_with_a_hot_value(spark):
     q = exact_quantiles(df, "v", [0.1, 0.5], max_collect=50, buckets=8)
     assert abs(q[0.1] - float(np.quantile(vals, 0.1))) < 1e-9
     assert abs(q[0.5] - float(np.quantile(vals, 0.5))) < 1e-9
+
+
+def test_feature_sets_pick_column_families(spark):
+    from tidemark.operators.features import feature_set
+    cols = ["OBJECTID", "Longitude", "Latitude", "FID", "NDVI_2015H", "NDVI_2016L",
+            "NDVI_2024H", "NDVI_2024L", "WaveHeight2013", "SigWaveHeight2014", "AvgLowTide2015"]
+    df = spark.createDataFrame([tuple([1] + [0.0] * (len(cols) - 1))],
+                               ", ".join(f"{c} {'long' if c == 'OBJECTID' else 'double'}" for c in cols)
+                               ).withColumn("STRATCODE", F.lit("A"))
+    t = ["NDVI_2024H", "NDVI_2024L"]
+    base, _ = feature_set(df, "base", t)
+    assert base == ["NDVI_2015H", "NDVI_2016L", "WaveHeight2013", "SigWaveHeight2014", "AvgLowTide2015"]
+    code, v = feature_set(df, "basic_wave_with_code", t)
+    assert code == ["FID", "NDVI_2015H", "NDVI_2016L", "WaveHeight2013"] and v.white == 1e-4
+    cls, v = feature_set(df, "all_wave_with_class", t)
+    assert "NDVI_2015H" not in cls and v.sediment_class and v.steps == 200

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, gp, meanshift, models, reshape
+from tidemark.operators import clean, features, gp, meanshift, models, reshape
 from tidemark.operators._util import round_doubles
 from tidemark.plans.panel import NDVI, PANEL_CTE, YEARS, orders_panel
 from tidemark.plans.registry import register
@@ -73,10 +73,15 @@ def sparse_gp_panel(spark, sf_dir):
     """M7: sparse GP (500 inducing points) for the high-tide target,
     features standardised on the training rows; test-row predictions."""
     p = prepared_panel(spark, sf_dir).filter(F.col("NDVI_2000H").isNotNull())
-    p = models.standardise(p, FEATURES, fit_on=p.filter(~F.col("is_test"))).cache()
-    model = gp.fit(p.filter(~F.col("is_test")), FEATURES, "NDVI_2000H", "o_custkey",
-                   n_inducing=500, white=1e-4)
-    out = gp.predict(p.filter("is_test").select("o_custkey", *FEATURES, "NDVI_2000H"), model)
+    # The variant with train-only scaling and a white-noise term; later
+    # years than the target are not features
+    later = [c for c in NDVI if int(c[5:9]) >= 2000 and c not in TARGETS]
+    feats, var = features.feature_set(p.drop(*later), "all_wave_no_sediment", TARGETS)
+    train = p.filter(~F.col("is_test"))
+    p = models.standardise(p, feats, fit_on=train if var.scale == "train" else p).cache()
+    model = gp.fit(p.filter(~F.col("is_test")), feats, "NDVI_2000H", "o_custkey",
+                   n_inducing=500, white=var.white, jitter=var.jitter)
+    out = gp.predict(p.filter("is_test").select("o_custkey", *feats, "NDVI_2000H"), model)
     return out.select("o_custkey", "NDVI_2000H", "gp_mean", "gp_var", "gp_lower", "gp_upper")
 
 
