@@ -74,9 +74,24 @@ def cut_lineage(df):
     the real file size (a checkpoint keeps the estimate of the plan it
     replaced, which iterative joins multiply round after round).
     """
+    return cut_lineage_path(df)[0]
+
+
+def cut_lineage_path(df):
+    """``cut_lineage`` that also returns the table's folder, so an
+    iterative job can drop a round's table once the next one is written."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tidemark-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def drop_table(spark, path: str | None) -> None:
+    """Delete a folder written by ``cut_lineage_path`` (no-op for None)."""
+    if not path:
+        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
