@@ -210,3 +210,28 @@ def pair_grid(df: DataFrame, id_col: str, cols: Sequence[str], bins: int = 10) -
         for a in cols for c2 in cols if a != c2])).alias("p")).select("p.*")
     return (long_a.filter(F.col("bin_a").isNotNull() & F.col("bin_b").isNotNull())
             .groupBy("col_a", "col_b", "bin_a", "bin_b").agg(F.count("*").alias("count")))
+
+
+def kde_levels(grid: DataFrame, n_levels: int = 50, thresh: float = 0.05,
+               density_col: str = "density") -> DataFrame:
+    """A16 contour levels: for iso-proportions q in linspace(thresh, 1, n),
+    the density above which the grid holds a fraction 1 - q of the total
+    mass (cells sorted by density, descending cumulative share).
+
+    Works on the density grid (grid_size^2 rows, bounded by its
+    parameter), never on the data rows.
+    """
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col(density_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    g = grid.select(density_col).withColumn(
+        "__share", F.sum(density_col).over(w) / F.sum(density_col).over(Window.partitionBy()))
+    qs = ([thresh + (1.0 - thresh) * i / (n_levels - 1) for i in range(n_levels)]
+          if n_levels > 1 else [thresh])
+    one = g.agg(*[F.max(F.when(F.col("__share") >= F.lit(1.0 - q), F.col(density_col)))
+                  .alias(f"l{i}") for i, q in enumerate(qs)],
+                F.min(density_col).alias("__lowest"))
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(i).cast("int").alias("level"), F.lit(q).alias("iso_proportion"),
+                 F.coalesce(F.col(f"l{i}"), F.col("__lowest")).alias("threshold"))
+        for i, q in enumerate(qs)]))
+    return one.select(rows.alias("r")).select("r.*")

@@ -249,7 +249,7 @@ def embedding_kde_1d(spark, sf_dir):
     return round_doubles(stats.kde_1d(e, "v", 200))
 
 
-@register("embedding_kde_2d", """
+KDE2_SQL = """
 WITH p AS (SELECT CAST(embedding[2] AS DOUBLE) AS px, CAST(embedding[3] AS DOUBLE) AS py
            FROM embeddings),
 s AS (SELECT min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1, count(*) AS n,
@@ -264,7 +264,10 @@ SELECT i, j, round(gx, 6) AS gx, round(gy, 6) AS gy,
                              + a * (gy - py) * (gy - py)) / det))
              / (n * 2 * pi() * sqrt(det)), 6) AS density
 FROM g CROSS JOIN p GROUP BY i, j, gx, gy, n, det
-""")
+"""
+
+
+@register("embedding_kde_2d", KDE2_SQL)
 def embedding_kde_2d(spark, sf_dir):
     """2-D Gaussian KDE of point locations on a 50 x 50 grid."""
     e = io.load_table(spark, sf_dir, "embeddings").select(
@@ -290,6 +293,32 @@ def _pair_sql():
             f"WHERE bin_a IS NOT NULL AND bin_b IS NOT NULL GROUP BY 1, 2, 3, 4")
 
 
+def _levels_sql():
+    qs = [0.05 + 0.95 * i / 49 for i in range(50)]
+    cols = ", ".join(f"max(density) FILTER (WHERE share >= 1 - {q!r}) AS l{i}"
+                     for i, q in enumerate(qs))
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS level, {q!r} AS iso_proportion, "
+        f"round(coalesce(l{i}, lowest), 9) AS threshold FROM one" for i, q in enumerate(qs))
+    grid = KDE2_SQL.split("SELECT i, j,")[0]
+    return (f"{grid}, d AS (SELECT i, j, sum(exp(-0.5 * (c * (gx - px) * (gx - px) "
+            f"- 2 * b * (gx - px) * (gy - py) + a * (gy - py) * (gy - py)) / det)) "
+            f"/ (n * 2 * pi() * sqrt(det)) AS density FROM g CROSS JOIN p GROUP BY i, j, n, det), "
+            f"sh AS (SELECT density, sum(density) OVER (ORDER BY density DESC ROWS BETWEEN "
+            f"UNBOUNDED PRECEDING AND CURRENT ROW) / sum(density) OVER () AS share FROM d), "
+            f"one AS (SELECT {cols}, min(density) AS lowest FROM sh) {rows}")
+
+
+@register("embedding_kde_2d_levels", _levels_sql())
+def embedding_kde_2d_levels(spark, sf_dir):
+    """A16 (levels): 50 filled-contour thresholds of the 2-D density grid."""
+    e = io.load_table(spark, sf_dir, "embeddings").select(
+        F.col("embedding")[1].cast("double").alias("px"),
+        F.col("embedding")[2].cast("double").alias("py"))
+    lv = stats.kde_levels(stats.kde_2d(e, "px", "py", 50), 50, 0.05)
+    return lv.withColumn("threshold", F.round("threshold", 9))
+
+
 @register("pair_grid", _pair_sql())
 def pair_grid(spark, sf_dir):
     """10 x 10 binned counts for every pair of the listed columns."""
