@@ -132,3 +132,14 @@ def test_rollup_unchanged_under_repartitioning(spark):
     ra = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in a.collect())
     rb = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in b.collect())
     assert ra == rb
+
+
+def test_qq_fit_on_normal_scores(spark):
+    # values equal to their own normal scores: slope 1, intercept 0, r 1
+    n = 200
+    m = [(i - 0.3175) / (n + 0.365) for i in range(1, n + 1)]
+    m[-1], m[0] = 0.5 ** (1 / n), 1 - 0.5 ** (1 / n)
+    z = dist.norm_ppf(np.array(m))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z)], "id long, x double")
+    f = significance.qq_fit(significance.qq_points(df, "x", "id")).first()
+    assert abs(f["slope"] - 1) < 1e-9 and abs(f["intercept"]) < 1e-9 and abs(f["r"] - 1) < 1e-9

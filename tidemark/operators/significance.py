@@ -140,6 +140,14 @@ def qq_points(df: DataFrame, col: str, id_col: str) -> DataFrame:
     return q.select(id_col, "pos", "value", _norm_ppf(F.col("m")).alias("theoretical"))
 
 
+def qq_fit(qq: DataFrame) -> DataFrame:
+    """A17, line: least squares of the ordered values on the normal
+    quantiles (slope, intercept) and their correlation r."""
+    x, y = F.col("theoretical"), F.col("value")
+    return qq.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+                  safe_corr("theoretical", "value").alias("r"))
+
+
 # Polynomial coefficients of Royston's (1995) approximation
 # for the Shapiro-Wilk test (algorithm AS R94): weights of the two largest
 # order statistics (C1, C2), and the mean / log-sd of the normalising

@@ -415,6 +415,14 @@ def price_qq_positions(spark, sf_dir):
     return q.withColumn("m", F.round("m", 9))
 
 
+@register("residual_qq_fit")
+def residual_qq_fit(spark, sf_dir):
+    """A17 (line): slope, intercept and r of the residual Q-Q points."""
+    t = test_rows(spark, sf_dir).withColumn(
+        "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_quantity"))
+    return significance.qq_fit(significance.qq_points(t, "residual", "row_key"))
+
+
 @register("residual_shapiro")
 def residual_shapiro(spark, sf_dir):
     """T4: Shapiro-Wilk W and p of the part prices."""
