@@ -266,3 +266,20 @@ def test_feature_sets_pick_column_families(spark):
     assert code == ["FID", "NDVI_2015H", "NDVI_2016L", "WaveHeight2013"] and v.white == 1e-4
     cls, v = feature_set(df, "all_wave_with_class", t)
     assert "NDVI_2015H" not in cls and v.sediment_class and v.steps == 200
+
+
+def test_approx_knn_single_leaf_is_exact_and_hot_values_split(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    pts = rng.normal(size=(120, 3))
+    pts[:40] = 0.5                      # a third of the points identical
+    v = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)],
+                              "id long, vec array<double>")
+    exact = sorted((r.src, r.dst, r.rank) for r in knn.knn_edges(v, 4).collect())
+    one_leaf = sorted((r.src, r.dst, r.rank) for r in
+                      knn.approx_knn_edges(v, 4, trees=1, leaf_rows=1000).collect())
+    assert one_leaf == exact
+    approx = knn.approx_knn_edges(v, 4, trees=3, leaf_rows=20).collect()
+    assert sorted({r.src for r in approx}) == list(range(120))
+    got = {(r.src, r.dst) for r in approx}
+    assert len(got & {(s, d) for s, d, _ in exact}) / len(exact) > 0.5

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 EDGE_SCHEMA = T.StructType([
     T.StructField("src", T.LongType(), False),
     T.StructField("dst", T.LongType(), False),
@@ -122,3 +124,56 @@ def remove_duplicates(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
 
 
+
+
+def _leaf_topk(k: int):
+    inner = _pair_topk(k)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf[["id", "vec"]]
+        return inner(part, part)
+    return fn
+
+
+def approx_knn_edges(vectors: DataFrame, k: int, trees: int = 4, leaf_rows: int = 2000,
+                     seed: int = 42, n_rows: int | None = None) -> DataFrame:
+    """C1, approximate, for point sets too large for the exact blocked join.
+
+    Each of ``trees`` random-projection trees splits every node at the
+    approximate median of a random-sign projection (ties split by a hash of
+    the id, so repeated values cannot pile into one leaf) until leaves hold
+    at most ``leaf_rows`` points; neighbours are searched inside each leaf
+    (a bounded group, top-k per point only) and the trees' candidates are
+    merged to the k nearest.  Same output as ``knn_edges``.
+    """
+    n = n_rows if n_rows is not None else vectors.count()
+    depth = max(0, math.ceil(math.log2(max(1.0, n / leaf_rows))))
+    v = vectors.select("id", "vec")
+    dims = len(v.select("vec").first()["vec"])
+    partial = None
+    for t in range(trees):
+        cur = v.withColumn("node", F.lit(0).cast("long"))
+        for level in range(depth):
+            signs = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda j: F.when(
+                F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.col("node"), j), F.lit(2)) == 0,
+                F.lit(1.0)).otherwise(F.lit(-1.0)))
+            proj = F.aggregate(F.zip_with("vec", signs, lambda a, b: a * b), F.lit(0.0),
+                               lambda acc, x: acc + x)
+            cur = cur.withColumn("proj", proj)
+            med = cur.groupBy("node").agg(F.percentile_approx("proj", 0.5).alias("med"))
+            side = (F.col("proj") > F.col("med")) | (
+                (F.col("proj") == F.col("med"))
+                & (F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(t), F.lit(level), F.col("id")),
+                          F.lit(2)) == 0))
+            cur = cur.join(F.broadcast(med) if 2 ** level <= 65536 else med, "node") \
+                .select("id", "vec", (F.col("node") * 2 + side.cast("long")).alias("node"))
+            cur = cut_lineage(cur)
+        leaf = cur.groupBy("node").applyInPandas(_leaf_topk(k), EDGE_SCHEMA)
+        partial = leaf if partial is None else partial.unionByName(leaf)
+    top = (partial.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+           .groupBy("src")
+           .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k).alias("nb")))
+    merged = top.select("src", F.explode("nb").alias("e")).select(
+        "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"))
+    return merged.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))

@@ -61,6 +61,14 @@ def knn_radius(spark, sf_dir):
     return round_doubles(knn.knn_radius(knn.knn_edges(vectors(spark, sf_dir), K), K))
 
 
+@register("knn_graph_approx")
+def knn_graph_approx(spark, sf_dir):
+    """C1, approximate: random-projection leaves of at most 100 points,
+    8 trees (the path for point sets beyond exact search)."""
+    e = knn.approx_knn_edges(vectors(spark, sf_dir), K, trees=8, leaf_rows=100)
+    return round_doubles(e)
+
+
 @register("mutual_graph", f"""
 WITH RECURSIVE {VEC_CTE}
 SELECT src, dst, round(dist, 6) AS dist FROM mutual
