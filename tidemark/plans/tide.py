@@ -180,46 +180,46 @@ def customer_with_wave_means(spark, sf_dir):
 
 
 NEAREST_SQL = """
-WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
-           FROM embeddings),
-s AS (SELECT vec_id AS site_id, CAST(embedding[1] AS DOUBLE) AS sx,
-             CAST(embedding[2] AS DOUBLE) AS sy, label AS site_label
-      FROM embeddings WHERE vec_id < 10),
-c AS (SELECT p.vec_id, s.site_id, s.site_label,
+WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+                  label FROM embeddings),
+s AS (SELECT CAST(label AS BIGINT) AS site_id, avg(x) AS sx, avg(y) AS sy,
+             count(*) AS site_size
+      FROM p WHERE label IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+c AS (SELECT p.vec_id, s.site_id, s.site_size,
              sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) AS d FROM p CROSS JOIN s),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, site_id) AS rn FROM c)
-SELECT vec_id, site_id AS nearest_site_id, CAST(site_label AS BIGINT) AS site_label,
-       round(d, 6) AS nearest_dist
+SELECT vec_id, site_id AS nearest_site_id, site_size, round(d, 6) AS nearest_dist
 FROM r WHERE rn = 1
 """
 
 
-def _xy(df, id_col="vec_id"):
-    return df.select(F.col(id_col), F.col("embedding")[0].cast("double").alias("x"),
-                     F.col("embedding")[1].cast("double").alias("y"),
-                     F.col("label").cast("long").alias("label"))
+def _points_and_stations(spark, sf_dir):
+    """Points: dims 1-2 of every vector.  Stations: one per label, at the
+    label's centroid, carrying its point count (derived from the table)."""
+    emb = io.load_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding")[0].cast("double").alias("x"),
+        F.col("embedding")[1].cast("double").alias("y"), F.col("label").cast("long").alias("label"))
+    sites = (emb.filter(F.col("label").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+             .groupBy(F.col("label").alias("site_id"))
+             .agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("site_size")))
+    return emb.select("vec_id", "x", "y"), sites
 
 
 @register("nearest_station", NEAREST_SQL)
 def nearest_station(spark, sf_dir):
-    """Each point takes the values of its nearest station (broadcast path)."""
-    emb = _xy(io.load_table(spark, sf_dir, "embeddings"))
-    sites = emb.filter("vec_id < 10").select(
-        F.col("vec_id").alias("site_id"), "x", "y", F.col("label").alias("site_label"))
-    out = enrich.nearest_join(emb.select("vec_id", "x", "y"), sites, ["x", "y"], ["x", "y"],
-                              "site_id", ["site_label"])
-    return round_doubles(out.select("vec_id", "nearest_site_id", "site_label", "nearest_dist"))
+    """Each point takes the values of its nearest station (inline path)."""
+    pts, sites = _points_and_stations(spark, sf_dir)
+    out = enrich.nearest_join(pts, sites, ["x", "y"], ["x", "y"], "site_id", ["site_size"])
+    return round_doubles(out.select("vec_id", "nearest_site_id", "site_size", "nearest_dist"))
 
 
 @register("nearest_station_grid", NEAREST_SQL)
 def nearest_station_grid(spark, sf_dir):
-    """J3 through the exact grid path (what large site sets take)."""
-    emb = _xy(io.load_table(spark, sf_dir, "embeddings"))
-    sites = emb.filter("vec_id < 10").select(
-        F.col("vec_id").alias("site_id"), "x", "y", F.col("label").alias("site_label"))
-    out = enrich.nearest_join(emb.select("vec_id", "x", "y"), sites, ["x", "y"], ["x", "y"],
-                              "site_id", ["site_label"], max_broadcast=0, cell=0.01)
-    return round_doubles(out.select("vec_id", "nearest_site_id", "site_label", "nearest_dist"))
+    """J3 through the exact grid path (what large station sets take)."""
+    pts, sites = _points_and_stations(spark, sf_dir)
+    out = enrich.nearest_join(pts, sites, ["x", "y"], ["x", "y"], "site_id", ["site_size"],
+                              max_broadcast=0, cell=0.01)
+    return round_doubles(out.select("vec_id", "nearest_site_id", "site_size", "nearest_dist"))
 
 
 SENSOR_SCHEMA = T.StructType([
