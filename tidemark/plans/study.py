@@ -428,3 +428,25 @@ def residual_shapiro(spark, sf_dir):
     """T4: Shapiro-Wilk W and p of the part prices."""
     p = io.load_table(spark, sf_dir, "part")
     return significance.shapiro(p, "p_retailprice", "p_partkey")
+
+
+@register("reading_sigma_outliers", """
+SELECT event_id, value FROM events
+WHERE value > (SELECT avg(value) + 3 * stddev_samp(value) FROM events)
+""")
+def reading_sigma_outliers(spark, sf_dir):
+    """A9 on heavy-tailed readings: values above mean + 3 sd."""
+    e = io.load_table(spark, sf_dir, "events").select("event_id", "value")
+    return stats.sigma_outliers(e, "value", 3)
+
+
+@register("reading_tukey_outliers", """
+SELECT event_id, value FROM events
+WHERE value > (SELECT quantile_cont(value, 0.75)
+                      + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25))
+               FROM events)
+""")
+def reading_tukey_outliers(spark, sf_dir):
+    """A10 on heavy-tailed readings: values above Q3 + 1.5 IQR."""
+    e = io.load_table(spark, sf_dir, "events").select("event_id", "value")
+    return stats.tukey_outliers(e, "value", 1.5)
