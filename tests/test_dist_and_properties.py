@@ -143,3 +143,16 @@ def test_qq_fit_on_normal_scores(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(z)], "id long, x double")
     f = significance.qq_fit(significance.qq_points(df, "x", "id")).first()
     assert abs(f["slope"] - 1) < 1e-9 and abs(f["intercept"]) < 1e-9 and abs(f["r"] - 1) < 1e-9
+
+
+def test_prebinned_kde_close_to_exact(spark):
+    from tidemark.operators import stats
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(3000, 2)) @ np.array([[1.0, 0.3], [0.0, 0.5]])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
+    e1 = {r.g: r.density for r in stats.kde_1d(df, "x", 50).collect()}
+    p1 = {r.g: r.density for r in stats.kde_1d(df, "x", 50, prebin=1024).collect()}
+    assert max(abs(e1[g] - p1[g]) for g in e1) < 1e-3 * max(e1.values())
+    e2 = {(r.i, r.j): r.density for r in stats.kde_2d(df, "x", "y", 20).collect()}
+    p2 = {(r.i, r.j): r.density for r in stats.kde_2d(df, "x", "y", 20, prebin=512).collect()}
+    assert max(abs(e2[k] - p2[k]) for k in e2) < 1e-2 * max(e2.values())
