@@ -283,3 +283,12 @@ def test_approx_knn_single_leaf_is_exact_and_hot_values_split(spark):
     assert sorted({r.src for r in approx}) == list(range(120))
     got = {(r.src, r.dst) for r in approx}
     assert len(got & {(s, d) for s, d, _ in exact}) / len(exact) > 0.5
+
+
+def test_mean_shift_empty_input(spark):
+    import math as _m
+    from tidemark.operators import meanshift
+    v = spark.createDataFrame([], "id long, vec array<double>")
+    assert _m.isnan(meanshift.estimate_bandwidth(v))
+    labels, centres = meanshift.mean_shift(v, 1.0)
+    assert labels.count() == 0 and centres.count() == 0

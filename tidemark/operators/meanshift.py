@@ -35,7 +35,10 @@ def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int
     query points, and averaged by an aggregate.
     """
     samp = cut_lineage(sample_n(vectors, "id", n_samples, seed))
-    ref = np.stack([np.asarray(r["vec"], dtype=float) for r in samp.select("vec").collect()])
+    sample_rows = samp.select("vec").collect()          # at most n_samples rows
+    if not sample_rows:
+        return float("nan")
+    ref = np.stack([np.asarray(r["vec"], dtype=float) for r in sample_rows])
     m = len(ref)
     k = max(1, int(m * quantile))
     ref_b = vectors.sparkSession.sparkContext.broadcast(ref)
@@ -103,7 +106,11 @@ def mean_shift(vectors: DataFrame, bandwidth: float, max_iter: int = 300,
     seeds_df = bin_seeds(pts, bandwidth, min_bin_freq)
     if bounded_rows(seeds_df, max_seeds) is None:
         raise ValueError("more occupied seed cells than max_seeds")
-    seeds = np.stack([np.asarray(r["seed"], dtype=float) for r in seeds_df.collect()])
+    seed_rows = seeds_df.collect()                      # counted above: bounded
+    if not seed_rows:
+        empty = spark.createDataFrame([], "id long, label int")
+        return empty, spark.createDataFrame([], "label int, centre array<double>, support long")
+    seeds = np.stack([np.asarray(r["seed"], dtype=float) for r in seed_rows])
     d = seeds.shape[1]
     means = seeds.copy()
     support = np.zeros(len(seeds), dtype=np.int64)
