@@ -292,3 +292,11 @@ def test_mean_shift_empty_input(spark):
     assert _m.isnan(meanshift.estimate_bandwidth(v))
     labels, centres = meanshift.mean_shift(v, 1.0)
     assert labels.count() == 0 and centres.count() == 0
+
+
+def test_training_partitions_rule():
+    from tidemark.operators.models import training_partitions
+    assert training_partitions(12_000, 8) == 6
+    assert training_partitions(500, 8) == 1
+    assert training_partitions(10 ** 9, 8) == 1000
+    assert training_partitions(10 ** 9, 8000) == 8000

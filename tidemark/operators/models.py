@@ -8,6 +8,7 @@ a Spark ML transform, so scoring a table is a map-only stage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -134,15 +135,32 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
                     (F.lit(1.0) - F.try_divide(F.col("ve"), F.col("vy"))).alias("explained_variance"))
 
 
+def training_partitions(rows: int, cores: int, min_rows_per_task: int = 2_000,
+                        max_rows_per_task: int = 1_000_000) -> int:
+    """Task count for an iterative learner that runs several jobs per round:
+    few tasks for small data (per-task overhead dominates), never more than
+    the cores then, and about ``max_rows_per_task`` rows per task at scale."""
+    small = min(max(1, cores), max(1, math.ceil(rows / min_rows_per_task)))
+    return max(small, math.ceil(rows / max_rows_per_task))
+
+
 def boosted_fit(df: DataFrame, features: Sequence[str], target: str, max_iter: int = 100,
                 max_depth: int = 5, step_size: float = 0.1, seed: int = 42,
                 checkpoint_interval: int = 10):
-    """M6: gradient-boosted regression trees (squared error) with Spark ML."""
+    """M6: gradient-boosted regression trees (squared error) with Spark ML.
+
+    The training rows are re-partitioned by ``training_partitions`` (one
+    count), since every round runs one job per tree level over them.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
     va = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")
     train = va.transform(df.filter(F.col(target).isNotNull())).select(
         "__features", F.col(target).cast("double").alias("__label"))
+    rows = train.count()
+    parts = training_partitions(rows, df.sparkSession.sparkContext.defaultParallelism)
+    current = train.rdd.getNumPartitions()
+    train = train.coalesce(parts) if parts < current else train.repartition(parts)
     gbt = GBTRegressor(featuresCol="__features", labelCol="__label", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step_size, seed=seed,
                        lossType="squared", checkpointInterval=checkpoint_interval,
