@@ -8,8 +8,9 @@ as Parquet in the shared folder and read again as the next stage's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, quality
+from tidemark.llm import byte_bpe, decontaminate, minhash, quality, repeats
 from tidemark.session import cut_lineage
 
 
@@ -18,6 +19,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, the smallest id."""
+    return minhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also stand earlier are cut out of the texts; ``n_chars``
+    follows."""
+    cut = repeats.cut_texts(docs)
+    if "n_chars" in cut.columns:
+        kind = cut.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
+    return cut
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return byte_bpe.digests(docs, *byte_bpe.default_ranks())
@@ -25,6 +46,9 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
     ("encode_tokens", encode_tokens),
 ]
 

@@ -7,6 +7,7 @@ whole table.
 
 from . import (  # noqa: F401 - importing a module registers its query
     byte_bpe,
+    decontaminate,
     minhash,
     quality,
     repeats,

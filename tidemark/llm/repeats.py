@@ -460,6 +460,38 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every repeated place taken out of its text; all rows and
+    columns stay (a text may become empty).  A character of which a removed
+    range takes only some bytes goes with it."""
+    found = find_repeats(docs, id_col, text_col)
+    fields = docs.schema.fields
+    at = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(fields))]
+    plain = docs.toDF(*names)
+    key = F.col(names[docs.columns.index(id_col)])
+    joined = (plain.filter(key.isNotNull()).join(found, key.cast("long") == F.col("id"), "left")
+              .select(*names, "ps")
+              .unionByName(plain.filter(key.isNull())
+                           .withColumn("ps", F.lit(None).cast("array<long>"))))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for i, ps in enumerate(b.column(len(names)).to_pylist()):
+                if ps and texts[i]:
+                    raw = texts[i].encode("utf-8", "surrogatepass")
+                    cuts = [0, *(c for s in merge(ps, len(raw)) for c in s), len(raw)]
+                    kept = b"".join(raw[x:y] for x, y in zip(cuts[0::2], cuts[1::2], strict=True))
+                    texts[i] = kept.decode("utf-8", "ignore")
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i)
+                    for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)])
+    return joined.mapInArrow(run, schema).toDF(*docs.columns)
+
+
 @query("op6_bucket_pointer_repeats")
 def op6_bucket_pointer_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, removed bytes and spans of every document, and the digest of

@@ -78,6 +78,18 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+def rolling_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hash of every ``k`` consecutive words, each from the one
+    before by one word in and one out (as differences of running sums)."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    powers, inverse = (_POW, _INV) if n <= len(_POW) else (_powers(_BASE, n), _powers(_INVERSE, n))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * powers[:n], out=sums[1:])
+    return (sums[k:] - sums[:-k]) * inverse[:n - k + 1]
+
+
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's ``k``-word shingles (A-Z lowered)."""
     if not text:
