@@ -8,9 +8,11 @@ whole table.
 from . import (  # noqa: F401 - importing a module registers its query
     byte_bpe,
     decontaminate,
+    license_scan,
     minhash,
     quality,
     repeats,
+    reply_trees,
     shards,
     token_counts,
 )
