@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 from .license_rules import BASE, CONFIDENCE, GATES, KINDS, rules
 from .registry import load, query
 
@@ -56,10 +58,11 @@ def detections(texts: DataFrame) -> DataFrame:
     ``end`` (words, end exclusive) of every rule match in the gated rows
     (``id``, ``h``, ``words``)."""
     spark = texts.sparkSession
-    table = spark.createDataFrame(
-        [(n, label, kind, KINDS.index(kind), keyword, _phrase(pattern))
-         for n, (label, kind, keyword, pattern) in enumerate(rules())],
-        "rule int, label string, kind string, rank int, keyword string, pattern string")
+    table = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("rule"), F.lit(label).alias("label"), F.lit(kind).alias("kind"),
+                 F.lit(KINDS.index(kind)).alias("rank"), F.lit(keyword).alias("keyword"),
+                 F.lit(_phrase(pattern)).alias("pattern"))
+        for n, (label, kind, keyword, pattern) in enumerate(rules())])))
     keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()})])
     present = texts.withColumn("keyword", F.explode(F.filter(
         keywords, lambda k: F.contains(F.col("words"), k))))
@@ -104,6 +107,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     gated = _any_of(F.col("low"), GATES)
     rows = rows.select("id", "h", (_spaces(F.col("raw")) - 1).cast("long").alias("n_words"),
                        F.when(gated, F.translate("raw", UPPER, LOWER)).alias("words"))
+    # written once: the words of gated texts only, and numbers for the others
+    rows = cut_lineage(rows)
 
     # base phrases do not overlap themselves: pieces between them tell all
     counts, firsts, lasts, labels = [], [], [], []
