@@ -15,6 +15,7 @@ from . import (  # noqa: F401 - importing a module registers its query
     reply_trees,
     shards,
     token_counts,
+    wrappers,
 )
 from .registry import ORACLES, QUERIES
 
