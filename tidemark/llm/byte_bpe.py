@@ -135,8 +135,11 @@ def unpack_ids(packed):
     """Column: the array of ids in a packed binary column."""
     n = (F.octet_length(packed) / 4).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.conv(F.hex(F.reverse(F.substring(packed, i * 4 + 1, 4))),
-                                            16, 10).cast("long"))
+
+    def number(i):
+        low_first = F.hex(F.substring(packed, i * 4 + 1, 4))
+        return F.conv(F.concat(*[F.substring(low_first, k, 2) for k in (7, 5, 3, 1)]), 16, 10)
+    return F.transform(at, lambda i: number(i).cast("long"))
 
 
 def default_ranks() -> tuple[str, str]:

@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = (usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
                .filter("rep < top").select("set_key", "rep"))
     rows = (salted_left_join(sketches, cut_lineage(classes), "set_key", "id")
-            .withColumn("rep", F.coalesce("rep", "id")))
+            .withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))))
     rows = cut_lineage(rows.select("id", "n", "rep", F.when(
         F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
     reps = rows.filter("bands IS NOT NULL AND n > 0 AND id IS NOT NULL").select("id", "n", "bands")
