@@ -198,7 +198,7 @@ def test_exact_quantiles_match_linear_interpolation(spark):
     from tidemark.operators.rank import exact_quantiles
     vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    q = exact_quantiles(df, "v", [0.25, 0.5, 0.75], max_collect=2, buckets=4)
+    q = exact_quantiles(df, "v", [0.25, 0.5, 0.75], buckets=4)
     for p in (0.25, 0.5, 0.75):
         assert abs(q[p] - float(np.quantile(vals, p))) < 1e-12
 
@@ -247,7 +247,7 @@ def test_global_rank_with_a_hot_value(spark):
     assert order == expect
     import numpy as np
     vals = [x.v for x in df.collect()]
-    q = exact_quantiles(df, "v", [0.1, 0.5], max_collect=50, buckets=8)
+    q = exact_quantiles(df, "v", [0.1, 0.5], buckets=8)
     assert abs(q[0.1] - float(np.quantile(vals, 0.1))) < 1e-9
     assert abs(q[0.5] - float(np.quantile(vals, 0.5))) < 1e-9
 
@@ -261,11 +261,18 @@ def test_feature_sets_pick_column_families(spark):
                                ).withColumn("STRATCODE", F.lit("A"))
     t = ["NDVI_2024H", "NDVI_2024L"]
     base, _ = feature_set(df, "base", t)
-    assert base == ["NDVI_2015H", "NDVI_2016L", "WaveHeight2013", "SigWaveHeight2014", "AvgLowTide2015"]
+    places = ["Longitude", "Latitude"]
+    rest = ["NDVI_2015H", "NDVI_2016L", "WaveHeight2013", "SigWaveHeight2014", "AvgLowTide2015"]
+    assert base == places + rest
+    assert feature_set(df, "no_sediment_class", t)[0] == [*places, "FID", *rest]
+    assert feature_set(df, "all_wave_no_sediment", t)[0] == places + rest
+    assert feature_set(df, "all_wave_with_code", t)[0] == [*places, "FID", *rest]
+    with_class, v = feature_set(df, "basic_wave_with_class", t)
+    assert with_class == [*places, "FID", *rest] and v.sediment_class
     code, v = feature_set(df, "basic_wave_with_code", t)
-    assert code == ["FID", "NDVI_2015H", "NDVI_2016L", "WaveHeight2013"] and v.white == 1e-4
+    assert code == [*places, "FID", *rest] and v.white == 1e-4
     cls, v = feature_set(df, "all_wave_with_class", t)
-    assert "NDVI_2015H" not in cls and v.sediment_class and v.steps == 200
+    assert cls == ["NDVI_2016L", "WaveHeight2013"] and v.sediment_class and v.steps == 200
 
 
 def test_approx_knn_single_leaf_is_exact_and_hot_values_split(spark):
@@ -300,3 +307,74 @@ def test_training_partitions_rule():
     assert training_partitions(500, 8) == 1
     assert training_partitions(10 ** 9, 8) == 1000
     assert training_partitions(10 ** 9, 8000) == 8000
+
+
+def test_knn_edges_count_and_projections(spark):
+    import numpy as np
+
+    from tidemark.operators import knn
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(60, 3))
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, vec array<double>")
+    for metric in knn.METRICS:
+        for block_rows in (17, 2000):
+            e = knn.knn_edges(v, 4, block_rows=block_rows, metric=metric)
+            assert e.count() == 240
+            for c in e.columns:
+                assert len(e.select(c).collect()) == 240
+            assert {(r.src, r.dst) for r in e.select("src", "dst").collect() if r.src == r.dst} == {
+                (i, i) for i in range(60)}
+    d = np.abs(pts[:, None] - pts[None]).sum(2)
+    e = {(r.src, r["rank"]): r.dst for r in knn.knn_edges(v, 4, 17, metric="manhattan").collect()}
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert all(e[i, k + 1] == want[i, k] for i in range(60) for k in range(4))
+
+
+def test_sample_n_never_draws_null_ids(spark):
+    from tidemark.operators.clean import sample_n
+    df = spark.range(100).selectExpr("CASE WHEN id < 10 THEN NULL ELSE id END AS id")
+    one, two = (sorted(r.id for r in sample_n(df, "id", 10, prefilter=p).collect())
+                for p in (True, False))
+    assert one == two and len(one) == 10
+
+
+def test_nearest_join_without_sites(spark):
+    from tidemark.operators.enrich import nearest_join
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id long, x double, y double")
+    sites = spark.createDataFrame([], "sid long, sx double, sy double, level double")
+    r = nearest_join(points, sites, ["x", "y"], ["sx", "sy"], "sid").first()
+    assert r.id == 1 and r.nearest_sid is None and r.level is None and r.nearest_dist is None
+
+
+def test_impute_mean_of_integers(spark):
+    from tidemark.operators.clean import impute_mean
+    df = spark.createDataFrame([(1,), (2,), (2,), (None,)], "v int")
+    assert sorted(r.v for r in impute_mean(df).collect())[1] == 5 / 3
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    from tidemark.sources import io
+    (tmp_path / "one.csv").write_text("id,b,a\n1,10,20\n")
+    (tmp_path / "two.csv").write_text("a,more,id,b\n21,x,2,\n")
+    paths = [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")]
+    rows = io.read_table(spark, paths, "id long, a double, b double", fmt="csv").collect()
+    assert [tuple(r) for r in rows] == [(1, 20.0, 10.0), (2, 21.0, None)]
+    with pytest.raises(ValueError, match="no column c"):
+        io.read_table(spark, paths, "id long, c double", fmt="csv")
+
+
+def test_parquet_nan_is_missing(spark, tmp_path):
+    from tidemark.sources import io
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1.0,), (float("nan"),)], "v double").write.parquet(path)
+    assert io.read_table(spark, path).filter("v IS NULL").count() == 1
+    assert io.load_table(spark, str(tmp_path), "t").filter("v IS NULL").count() == 1
+
+
+def test_order_statistics_on_ties_and_extremes(spark):
+    from tidemark.operators.rank import order_statistics
+    vals = [1e308, -1e308, 0.0, 5e-324, 1.0, 1.0, 1.0, 2.0, -0.0, 3.0] * 7
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    want = sorted(vals)
+    got = order_statistics(df, "v", range(0, len(vals), 6), buckets=4)
+    assert got == {r: want[r] for r in range(0, len(vals), 6)}

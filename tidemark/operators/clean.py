@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exprs import all_not_null, md5_below, md5_key, row_mean
 from tidemark.operators._util import numeric_columns
@@ -38,7 +39,8 @@ def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
     One aggregate computes every mean (a single one-row result, so the
     cross join is a broadcast of one row).  A column that is NULL on every
-    row stays NULL; names missing from ``df`` are skipped.
+    row stays NULL; names missing from ``df`` are skipped.  Integral columns
+    become double, so that the mean is not cut.
     """
     cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c in df.columns]
     if not cols:
@@ -50,7 +52,10 @@ def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         if name in cols:
             i = cols.index(name)
             typ = df.schema[name].dataType
-            out.append(F.coalesce(F.col(name), F.col(f"__mean_{i}").cast(typ)).alias(name))
+            if isinstance(typ, T.IntegralType):  # a mean of whole numbers is none
+                typ = T.DoubleType()
+            out.append(F.coalesce(F.col(name).cast(typ), F.col(f"__mean_{i}").cast(typ))
+                       .alias(name))
         else:
             out.append(F.col(name))
     return j.select(*out)
@@ -144,12 +149,14 @@ def sample_fraction(df: DataFrame, id_col: str, fraction: float, seed: int = 42)
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42,
              prefilter: bool = True) -> DataFrame:
     """``n`` rows without replacement: the ``n`` smallest md5 keys.
+    Rows with a NULL id have no key and are never drawn.
 
     With ``prefilter`` the table is first cut by an md5 threshold sized to
     keep about 4n rows (one count job), so the final top-k sorts a bounded
     candidate set; it is retried without the cut if too few survive.
     """
     key = md5_key(id_col, seed)
+    df = df.filter(F.col(id_col).isNotNull())
     cand = df
     if prefilter:
         total = df.count()

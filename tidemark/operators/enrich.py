@@ -187,6 +187,12 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
     site_rows = s.select(F.col(site_id).alias("__sid"),
                          F.col(sx).cast("double").alias("__sx"),
                          F.col(sy).cast("double").alias("__sy")).collect()
+    if not site_rows:  # no site: every point stays, without values
+        kept = points.drop(*[c for c in value_cols if c in points.columns])
+        none = {c: F.lit(None).cast(sites.schema[c].dataType) for c in value_cols}
+        return kept.withColumns({
+            f"nearest_{site_id}": F.lit(None).cast(sites.schema[site_id].dataType),
+            dist_col: F.lit(None).cast("double"), **none})
     site_arr = F.array(*[F.struct(F.lit(r["__sx"]).alias("x"), F.lit(r["__sy"]).alias("y"),
                                   F.lit(r["__sid"]).alias("id")) for r in site_rows])
     x, y = F.col(px).cast("double"), F.col(py).cast("double")

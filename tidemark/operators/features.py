@@ -1,79 +1,58 @@
 """Named feature sets (M11): the model variants as parameters.
 
-Each variant names which columns of a point panel feed the model, how they
-are scaled, and the kernel options of the sparse GP.  Columns are chosen by
-name pattern from the table at hand, so a panel without some column family
-simply contributes none of it.
+A variant takes every numeric column of the table at hand but the ones it
+drops; one variant names its columns instead.  It also says whether the
+sediment class is added one-hot, how the columns are scaled, and the options
+of the sparse GP.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Column-name families of the point panel.
-ID_COLUMNS = ["OBJECTID", "Longitude", "Latitude"]
+# Columns of the point panel.
+ID = "OBJECTID"
 SEDIMENT_CODE = "FID"
 SEDIMENT_CLASS = "STRATCODE"
-INDEX_PATTERN = r"^NDVI_(\d{4})([HL])$"
-BASE_WAVE = ["WaveHeight", "WavePeriod", "WavePower", "SeaTemp"]
-EXTRA_WAVE = ["WaveFrequency", "SigWaveHeight"]
-TIDE = ["AvgHighTide", "AvgLowTide"]
+INDEX_COLUMNS = tuple(f"NDVI_{y}{t}" for t in "HL" for y in range(2016, 2024))
+BASE_WAVE_COLUMNS = tuple(f"{w}{y}" for y in range(2013, 2024)
+                          for w in ("WaveHeight", "WavePeriod", "WavePower", "SeaTemp"))
 
 
 @dataclass(frozen=True)
 class Variant:
-    sediment_code: bool          # keep FID (NULL -> 0)
-    sediment_class: bool         # one-hot STRATCODE
-    wave: tuple[str, ...]        # wave / tide column families
-    index_years: tuple[int, int] | None   # restrict NDVI years (inclusive)
+    drop: tuple[str, ...]        # left out besides the targets
+    only: tuple[str, ...] | None # the columns by name, instead of all numeric ones
+    sediment_class: bool         # one-hot STRATCODE is added
     scale: str                   # "none", "all", "train"
     white: float                 # white-noise term of the kernel
     jitter: float
     steps: int                   # optimiser steps of the original (reported only)
 
 
-ALL_WAVE = tuple(BASE_WAVE + EXTRA_WAVE + TIDE)
-
 VARIANTS = {
-    "base": Variant(False, False, ALL_WAVE, None, "none", 0.0, 1e-4, 100),
-    "no_sediment_class": Variant(True, False, ALL_WAVE, None, "all", 0.0, 1e-4, 100),
-    "all_wave_no_sediment": Variant(False, False, tuple(BASE_WAVE + EXTRA_WAVE + TIDE), None,
-                                    "train", 1e-4, 1e-3, 100),
-    "all_wave_with_code": Variant(True, False, tuple(BASE_WAVE + EXTRA_WAVE + TIDE), None,
-                                  "train", 1e-4, 1e-3, 100),
-    "basic_wave_with_code": Variant(True, False, tuple(BASE_WAVE), None, "all", 1e-4, 1e-3, 100),
-    "basic_wave_with_class": Variant(False, True, tuple(BASE_WAVE), None, "all", 0.0, 1e-4, 100),
-    "all_wave_with_class": Variant(False, True, tuple(BASE_WAVE + EXTRA_WAVE + TIDE),
-                                   (2016, 2023), "all", 1e-4, 1e-3, 200),
+    "base": Variant((ID, SEDIMENT_CODE), None, False, "none", 0.0, 1e-4, 100),
+    "no_sediment_class": Variant((ID, SEDIMENT_CLASS), None, False, "all", 0.0, 1e-4, 100),
+    "all_wave_no_sediment": Variant((ID, SEDIMENT_CODE), None, False, "train", 1e-4, 1e-3, 100),
+    "all_wave_with_code": Variant((ID,), None, False, "train", 1e-4, 1e-3, 100),
+    "basic_wave_with_code": Variant((ID,), None, False, "all", 1e-4, 1e-3, 100),
+    "basic_wave_with_class": Variant((ID, SEDIMENT_CLASS), None, True, "all", 0.0, 1e-4, 100),
+    "all_wave_with_class": Variant((), INDEX_COLUMNS + BASE_WAVE_COLUMNS, True, "all",
+                                   1e-4, 1e-3, 200),
 }
 
 
 def feature_set(df: DataFrame, name: str, targets: list[str]) -> tuple[list[str], Variant]:
-    """Numeric feature columns of ``df`` for variant ``name`` (targets and
-    id / coordinate columns excluded) and the variant's settings.  The
-    one-hot class columns, when the variant asks for them, are added by
-    ``models.one_hot`` on ``STRATCODE``."""
+    """Numeric feature columns of ``df`` for variant ``name``, in table order
+    (in the variant's own order where it names them; a named column that the
+    table lacks is skipped), and the variant's settings.  The one-hot class
+    columns, when the variant asks for them, are added by ``models.one_hot``
+    on ``STRATCODE``."""
     v = VARIANTS[name]
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-    skip = {*ID_COLUMNS, *targets}
-    cols = []
-    for c in df.columns:
-        if c in skip or c not in numeric:
-            continue
-        m = re.match(INDEX_PATTERN, c)
-        if m:
-            y = int(m.group(1))
-            if v.index_years and not (v.index_years[0] <= y <= v.index_years[1]):
-                continue
-            cols.append(c)
-        elif c == SEDIMENT_CODE:
-            if v.sediment_code:
-                cols.append(c)
-        elif any(c.startswith(p) for p in (*BASE_WAVE, *EXTRA_WAVE, *TIDE)):
-            if any(c.startswith(p) for p in v.wave):
-                cols.append(c)
-    return cols, v
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    if v.only is not None:
+        return [c for c in v.only if c in numeric and c not in targets], v
+    return [c for c in numeric if c not in (*v.drop, *targets)], v

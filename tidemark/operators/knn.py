@@ -35,7 +35,23 @@ def as_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         .filter(F.col("vec").isNotNull())
 
 
-def _pair_topk(k: int, chunk: int = 32):
+def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Distance matrix of two sets of vectors."""
+    if metric == "cosine":
+        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return 1.0 - np.nan_to_num(q @ r.T / norms)
+    diff = q[:, None, :] - r[None, :, :]
+    if metric == "euclidean":
+        return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    diff = np.abs(diff)
+    return diff.sum(2) if metric == "manhattan" else diff.max(2)
+
+
+METRICS = ("euclidean", "manhattan", "chebyshev", "cosine")
+
+
+def _pair_topk(k: int, chunk: int = 32, metric: str = "euclidean"):
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"src": pd.Series([], dtype="int64"),
@@ -48,8 +64,7 @@ def _pair_topk(k: int, chunk: int = 32):
         kk = min(k, len(rid))
         srcs, dsts, dists = [], [], []
         for s in range(0, len(qid), chunk):
-            diff = qv[s:s + chunk, None, :] - rv[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+            d = _distances(qv[s:s + chunk], rv, metric)
             # order by (distance, id): lexsort on the id then the distance
             for i in range(d.shape[0]):
                 row = d[i]
@@ -70,32 +85,35 @@ def _pair_topk(k: int, chunk: int = 32):
 
 
 def knn_edges(vectors: DataFrame, k: int, block_rows: int = 2000,
-              n_rows: int | None = None) -> DataFrame:
+              n_rows: int | None = None, metric: str = "euclidean") -> DataFrame:
     """The k nearest neighbours of every point, the point itself
-    included (distance 0), Euclidean; ties broken by the lower id.
+    included (distance 0), by one of ``METRICS``; ties broken by the lower id.
 
     ``vectors`` is ``(id, vec)``.  Returns ``(src, dst, dist, rank)`` with
     rank 1..k per src.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     n = n_rows if n_rows is not None else vectors.count()
     blocks = max(1, math.ceil(n / block_rows))
     blk = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     q = vectors.withColumn("qb", blk).withColumn(
         "rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = vectors.withColumn("rb", blk).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    partial = (q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-               .applyInPandas(lambda a, b: _pair_topk(k)(a[["id", "vec"]], b[["id", "vec"]]),
-                              EDGE_SCHEMA))
-    if blocks == 1:
-        merged = partial
-    else:
-        # each src has at most blocks * k partial candidates: bounded list
-        top = (partial.groupBy("src")
-               .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k)
-                    .alias("nb")))
-        merged = top.select("src", F.explode("nb").alias("e")).select(
-            "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"))
+    # names of its own: both sides come from one table, and columns of the
+    # same name would be pruned from the second one
+    r = vectors.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), blk.alias("rb")) \
+        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    search = _pair_topk(k, metric=metric)
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return search(a[["id", "vec"]], b[["rid", "rvec"]].set_axis(["id", "vec"], axis=1))
+
+    partial = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(pair, EDGE_SCHEMA)
+    # each src has at most blocks * k partial candidates: bounded list
+    top = (partial.groupBy("src")
+           .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k).alias("nb")))
+    merged = top.select("src", F.explode("nb").alias("e")).select(
+        "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"))
     # k rows per src: a bounded window
     return merged.withColumn(
         "rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))

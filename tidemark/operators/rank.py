@@ -7,8 +7,8 @@ Neither puts a whole table or group into one task:
   partition (one row per partition reaches the driver) and adds the
   preceding partitions' total to each row's position inside its partition.
 * ``exact_quantiles`` selects order statistics by repeated histogram
-  passes that narrow a value interval around each wanted rank; only an
-  interval holding at most ``max_collect`` rows is ever collected.
+  passes that narrow a value interval around each wanted rank until it
+  holds one value, at any table size; the driver sees bucket counts only.
 """
 
 from __future__ import annotations
@@ -56,14 +56,14 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
-                     buckets: int = 4096, max_collect: int = 200_000,
-                     stats=None) -> dict[int, float]:
+                     buckets: int = 4096, stats=None) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of the non-NULL values of ``col``.
 
     Each pass groups the rows of every still-open interval into ``buckets``
-    equal-width buckets (count, min, max per bucket: a bounded result) and
-    keeps the bucket holding the wanted rank; an interval of at most
-    ``max_collect`` rows, or of one distinct value, is resolved directly.
+    equal-width buckets (count, min, max per bucket: a bounded result, all
+    intervals in one job) and goes on with the bucket that holds the wanted
+    rank.  An interval's ends are values of the table, so it always falls
+    into two buckets or more, and the passes end.
     """
     v = _values(df, col)
     want = sorted(set(int(r) for r in ranks))
@@ -71,41 +71,35 @@ def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
                         F.count("*").alias("n")).first()
     if st["n"] == 0:
         return {r: None for r in want}
-    result: dict[int, float] = {}
-    # per wanted rank: (lo, hi, rows below lo, rows inside) with lo <= value <= hi
-    state = {r: (st["lo"], st["hi"], 0, st["n"]) for r in want}
-    for _ in range(256):
-        groups: dict[tuple, list[int]] = {}
-        for r, s_ in state.items():
-            if r not in result:
-                groups.setdefault(s_, []).append(r)
-        if not groups:
-            break
-        for (lo, hi, below, n_in), rs in groups.items():
-            if lo == hi:
-                for r in rs:
-                    result[r] = lo
-                continue
-            inside = v.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-            if n_in <= max_collect:
-                vals = sorted(x["v"] for x in inside.collect())
-                for r in rs:
-                    result[r] = vals[r - below]
-                continue
+    # per wanted rank: (lo, hi, rows below lo) with lo <= value <= hi
+    state = {r: (st["lo"], st["hi"], 0) for r in want}
+    while True:
+        spans = sorted({s_ for s_ in state.values() if s_[0] < s_[1]})
+        if not spans:
+            return {r: s_[0] for r, s_ in state.items()}
+        g = b = None
+        for i, (lo, hi, _) in enumerate(spans):
+            inside = (F.col("v") >= lo) & (F.col("v") <= hi)
             width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"),
-                        F.lit(buckets - 1))
-            hist = (inside.groupBy(b.alias("b"))
-                    .agg(F.count("*").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .orderBy("b").collect())
-            for r in rs:
-                acc = below
-                for h in hist:
+            at = (F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"),
+                          F.lit(buckets - 1)) if width > 0 and math.isfinite(width)
+                  else (F.col("v") > (lo / 2 + hi / 2)).cast("long"))
+            g = F.when(inside, F.lit(i)) if g is None else g.when(inside, F.lit(i))
+            b = F.when(inside, at) if b is None else b.when(inside, at)
+        hist: dict[int, list] = {}
+        for h in (v.select(g.alias("g"), b.alias("b"), "v").filter("g IS NOT NULL")
+                  .groupBy("g", "b").agg(F.count("*").alias("c"), F.min("v").alias("mn"),
+                                         F.max("v").alias("mx")).collect()):
+            hist.setdefault(h["g"], []).append(h)
+        for i, span in enumerate(spans):
+            rows = sorted(hist[i], key=lambda h: h["mn"])
+            for r in [r for r, s_ in state.items() if s_ == span]:
+                acc = span[2]
+                for h in rows:
                     if r < acc + h["c"]:
-                        state[r] = (h["mn"], h["mx"], acc, h["c"])
+                        state[r] = (h["mn"], h["mx"], acc)
                         break
                     acc += h["c"]
-    return result
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **kw) -> dict[float, float | None]:

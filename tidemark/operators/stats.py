@@ -76,15 +76,16 @@ def tukey_outliers(df: DataFrame, col: str, m: float = 1.5) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (a, b, corr, n);
-    absent columns are skipped.  One aggregate pass for every pair."""
+    absent columns are skipped.  One aggregate pass over the unordered pairs;
+    each off-diagonal result is given in both orders."""
     cols = [c for c in cols if c in df.columns]
-    pairs = [(a, b) for a in cols for b in cols]
+    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k:]]
     one = df.agg(*[e for i, (a, b) in enumerate(pairs) for e in (
         safe_corr(a, b).alias(f"c{i}"), pair_count(a, b).alias(f"n{i}"))])
     stacked = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+        F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
                  F.col(f"c{i}").alias("corr"), F.col(f"n{i}").alias("n"))
-        for i, (a, b) in enumerate(pairs)]))
+        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]))
     return one.select(stacked.alias("s")).select("s.*")
 
 

@@ -52,6 +52,21 @@ def knn_graph(spark, sf_dir):
     return round_doubles(e)
 
 
+@register("knn_graph_manhattan", f"""
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+           WHERE embedding IS NOT NULL),
+x AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v),
+d AS (SELECT a.id AS src, b.id AS dst, sum(abs(a.x - b.x)) AS dist
+      FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2)
+SELECT src, dst, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d)
+WHERE rank <= {K}
+""")
+def knn_graph_manhattan(spark, sf_dir):
+    """C1 with another metric: sums of absolute differences."""
+    return round_doubles(knn.knn_edges(vectors(spark, sf_dir), K, metric="manhattan"))
+
+
 @register("knn_radius", f"""
 WITH RECURSIVE {VEC_CTE}
 SELECT id, round(knn_radius, 6) AS knn_radius FROM radius

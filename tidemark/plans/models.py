@@ -76,7 +76,8 @@ def sparse_gp_panel(spark, sf_dir):
     # The variant with train-only scaling and a white-noise term; later
     # years than the target are not features
     later = [c for c in NDVI if int(c[5:9]) >= 2000 and c not in TARGETS]
-    feats, var = features.feature_set(p.drop(*later), "all_wave_no_sediment", TARGETS)
+    feats, var = features.feature_set(p.drop("o_custkey", *later), "all_wave_no_sediment",
+                                      TARGETS)
     train = p.filter(~F.col("is_test"))
     p = models.standardise(p, feats, fit_on=train if var.scale == "train" else p).cache()
     model = gp.fit(p.filter(~F.col("is_test")), feats, "NDVI_2000H", "o_custkey",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, enrich, reshape
+from tidemark.operators import clean, enrich, features, reshape
 from tidemark.operators._util import round_doubles
 from tidemark.plans.registry import register
 from tidemark.sources import io
@@ -88,7 +88,8 @@ def panel_impute_mean(spark, sf_dir):
     return round_doubles(clean.impute_mean(orders_panel(spark, sf_dir), NDVI))
 
 
-_COMPLETE = ["NDVI_1998H", "NDVI_1998L", "NDVI_1999H"]
+# every half-year but the last year's, whose second half has hardly any order
+_COMPLETE = [c for c in NDVI if not c.startswith("NDVI_2001")]
 
 
 @register("panel_drop_null_rows", f"""
@@ -251,3 +252,53 @@ def heat_matrix(spark, sf_dir):
     """Points [60:110] x years of the low tide."""
     return round_doubles(reshape.heat_matrix(orders_panel(spark, sf_dir), "o_custkey",
                                              ["o_custkey"], 60, 50, YEARS, "L"))
+
+
+@register("customer_impute_integer", """
+WITH c AS (SELECT c_custkey, nullif(c_nationkey, 3) AS c_nationkey FROM customer)
+SELECT c_custkey, round(coalesce(CAST(c_nationkey AS DOUBLE), avg(c_nationkey) OVER ()), 6)
+       AS c_nationkey FROM c
+""")
+def customer_impute_integer(spark, sf_dir):
+    """P3 on a whole-number column: its mean is no whole number."""
+    c = io.load_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("c_nationkey"))
+    return round_doubles(clean.impute_mean(c, ["c_nationkey"]))
+
+
+# the panel's years moved so that its last one is the scripts' target year
+_MOVED = {c: f"NDVI_{int(c[5:9]) + 23}{c[9]}" for c in NDVI}
+_INDEX = list(_MOVED.values())
+_NO_TARGET = [c for c in _INDEX if c not in ("NDVI_2024H", "NDVI_2024L")]
+_EXPECTED = {
+    "base": ["Longitude", *_NO_TARGET],
+    "no_sediment_class": ["Longitude", "FID", *_NO_TARGET],
+    "all_wave_no_sediment": ["Longitude", *_NO_TARGET],
+    "all_wave_with_code": ["Longitude", "FID", *_NO_TARGET],
+    "basic_wave_with_code": ["Longitude", "FID", *_NO_TARGET],
+    "basic_wave_with_class": ["Longitude", "FID", *_NO_TARGET],
+    "all_wave_with_class": [f"NDVI_{y}{t}" for t in "HL" for y in range(2018, 2024)],
+}
+
+
+@register("variant_columns", f"""
+WITH {PANEL_CTE},
+w AS (SELECT o_custkey AS OBJECTID, o_custkey / 10.0 AS Longitude, nullif(o_custkey % 5, 0) AS FID,
+      {", ".join(f"{a} AS {b}" for a, b in _MOVED.items())} FROM panel)
+{" UNION ALL ".join(
+    f"SELECT '{v}' AS variant, CAST({i} AS INTEGER) AS place, '{c}' AS name, count({c}) AS n FROM w"
+    for v, cols in _EXPECTED.items() for i, c in enumerate(cols))}
+""")
+def variant_columns(spark, sf_dir):
+    """The columns of every model variant, with their known values."""
+    p = orders_panel(spark, sf_dir).withColumnsRenamed(_MOVED)
+    w = p.select(F.col("o_custkey").alias("OBJECTID"),
+                 (F.col("o_custkey") / 10.0).alias("Longitude"),
+                 F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("FID"),
+                 F.lit("clay").alias("STRATCODE"), *_INDEX)
+    chosen = [(v, i, c) for v in features.VARIANTS for i, c in enumerate(
+        features.feature_set(w, v, ["NDVI_2024H", "NDVI_2024L"])[0])]
+    counts = w.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for _, _, c in chosen)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variant"), F.lit(i).alias("place"), F.lit(c).alias("name"),
+                 F.col(c).alias("n")) for v, i, c in chosen])))

@@ -238,7 +238,8 @@ GROUP BY 1, 2
 """)
 def sensor_csv_roundtrip(spark, sf_dir):
     """S4 -> S2 -> S3 -> A1: readings written as two CSV sources with a units
-    line, read back (units row dropped by content), unioned, rolled up."""
+    line, their columns in another order in the second one, read back by name
+    (units row dropped by content), unioned, rolled up."""
     import uuid
     ev = io.load_table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -247,10 +248,12 @@ def sensor_csv_roundtrip(spark, sf_dir):
     units = spark.createDataFrame([("", "UTC", "", "metres")], ev.schema)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-io/{uuid.uuid4().hex}"
     paths = []
-    # source a: every reading plus the units line; source b: units line only
-    for part, rows in (("a", ev.unionByName(units)), ("b", units)):
+    # the readings split over two sources, each with the units line
+    first = F.coalesce(F.xxhash64("event_id") >= 0, F.lit(False))
+    for part, rows, order in (("a", ev.filter(first), ev.columns),
+                              ("b", ev.filter(~first), ev.columns[::-1])):
         path = f"{base}/{part}"
-        io.write_table(rows, path, fmt="csv")
+        io.write_table(rows.unionByName(units).select(*order), path, fmt="csv")
         paths.append(path)
     srcs = [io.read_sensor(spark, p, SENSOR_SCHEMA, time_col="ts") for p in paths]
     readings = io.union_sources(srcs)
@@ -276,3 +279,18 @@ def sensor_stream_daily_extremes(spark, sf_dir):
     run_to_table(s, f"{base}/table", f"{base}/state", ["event_type"])
     return spark.read.parquet(f"{base}/table").select(
         "event_type", "date", "daily_min", "daily_max", "year")
+
+
+@register("customer_csv_by_name", """
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+""")
+def customer_csv_by_name(spark, sf_dir):
+    """S4 -> S1: a table written as CSV with its columns reversed and one more,
+    read back by the names in the header."""
+    import uuid
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    c = io.load_table(spark, sf_dir, "customer").select(*names)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-io/{uuid.uuid4().hex}"
+    io.write_table(c.withColumn("c_extra", F.lit("x")).select("c_extra", *names[::-1]), path,
+                   fmt="csv")
+    return io.read_table(spark, path, c.schema, fmt="csv")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    always used.  Only a session without it (a local test) gets a fresh
-    folder of its own.
+    always used.  Only a local session without it (a test) gets a fresh
+    folder of its own: on a cluster a machine's own folder would be read by
+    one executor only, so there the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             configured = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset key
             configured = None
+    if not configured and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-",
                                       dir=os.environ.get("TMPDIR", "/tmp"))

@@ -1,7 +1,8 @@
 """Readers and writers.
 
-All readers take an explicit schema: nothing is inferred, so a read is one
-scan with column pruning and filter push-down, never a sampling pass first.
+All readers take an explicit schema: no types are inferred, so a read is one
+scan with column pruning and filter push-down.  CSV columns are found by the
+names in the header line, whatever their order; only that line is read first.
 """
 
 from __future__ import annotations
@@ -16,32 +17,60 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import nan_to_null
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """Floating NaN becomes NULL: missing values stay missing (Spark orders
+    NaN above every number and ``avg`` would propagate it)."""
+    if not any(isinstance(f.dataType, (T.DoubleType, T.FloatType)) for f in df.schema.fields):
+        return df
+    return df.select(*[nan_to_null(f.name).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder (``{sf_dir}/{name}.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return without_nan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def _csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One CSV source with a header line, its columns matched by name.
+
+    The read schema follows the header (columns that ``schema`` lacks are
+    read as strings and left out); a file of another header fails the read.
+    """
+    header = spark.read.option("header", True).csv(path).columns  # the header line only
+    known = {f.name: f for f in schema.fields}
+    missing = [n for n in known if n not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(header)}")
+    in_file = T.StructType([T.StructField(h, known[h].dataType if h in known else T.StringType())
+                            for h in header])
+    return (spark.read.schema(in_file).option("header", True).option("enforceSchema", False)
+            .option("nullValue", "").option("mode", "PERMISSIVE").csv(path)
+            .select(*[F.col(f"`{n}`") for n in schema.names]))
+
+
+def _csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return reduce(DataFrame.unionByName, [_csv_by_name(spark, p, schema) for p in paths])
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str],
                schema: T.StructType | str | None = None,
                fmt: str = "parquet") -> DataFrame:
-    """A table from CSV (header line, empty field = NULL) or parquet.
-
-    Floating NaN read from CSV becomes NULL: missing values stay missing
-    (Spark orders NaN above every number and ``avg`` would propagate it).
+    """A table from CSV (header line, columns by name, empty field =
+    NULL) or parquet; floating NaN becomes NULL.
     """
     if fmt == "csv":
         if schema is None:
             raise ValueError("CSV needs an explicit schema (no inference)")
-        df = (spark.read.schema(schema).option("header", True)
-              .option("nullValue", "").option("mode", "PERMISSIVE")
-              .csv(path))
-        return df.select(*[nan_to_null(f.name).alias(f.name)
-                           if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-                           else F.col(f.name) for f in df.schema.fields])
+        if isinstance(schema, str):
+            schema = T._parse_datatype_string(schema)
+        return without_nan(_csv(spark, path, schema))
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.format(fmt).load(path)
+    return without_nan(r.format(fmt).load(path))
 
 
 def read_sensor(spark: SparkSession, paths: str | Sequence[str],
@@ -57,8 +86,7 @@ def read_sensor(spark: SparkSession, paths: str | Sequence[str],
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType(), True)
                             for f in schema.fields])
-    raw = (spark.read.schema(as_text).option("header", True)
-           .option("nullValue", "").csv(paths))
+    raw = _csv(spark, paths, as_text)
     raw = raw.filter(F.col(time_col).isNull()
                      | (F.trim(F.col(time_col)) != F.lit(units_marker)))
     out = []
