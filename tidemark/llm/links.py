@@ -10,6 +10,27 @@ from tidemark.session import cut_lineage_path, drop_table
 SALTS = 16
 
 
+class Scratch:
+    """Tables in the shared folder that a job needs only while it runs."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        df, path = cut_lineage_path(df)
+        self.paths.append(path)
+        return df
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for path in self.paths:
+            drop_table(self.spark, path)
+        self.paths.clear()
+
+
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """``big`` left join ``small`` on ``key``; ``small`` holds a key once.
 

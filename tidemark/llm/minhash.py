@@ -14,11 +14,12 @@ No group is ever expanded into its pairs:
 * Texts with equal sets form one class (an aggregate on a 128-bit digest);
   only its smallest id goes on.
 * Inside a band's bucket every member is first compared with the smallest
-  one.  The confirmed links are turned into components.
-* Buckets whose members then lie in several components are compared
-  completely, but only across components: members are dealt into blocks,
-  block pairs are the tasks, and a task hands on only pairs that pass the
-  estimate, each from the first band that its two members share.
+  one, the pivot.  The confirmed links are turned into components.
+* Members of one pivot that then lie in several components are compared
+  completely, but only across components: they are dealt into blocks of a
+  bounded number of shingles, block pairs are the tasks, and a task
+  estimates and confirms its pairs where they are.  It hands on only links
+  that join components, fewer than its members.
 
 Defined results: texts without words have no shingles and link with
 nothing; NULL ids have a NULL component, are kept, and link with nothing;
@@ -28,7 +29,6 @@ rows that repeat an id are one vertex and each row keeps its own set size.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
-from .links import components, salted_left_join
+from .links import Scratch, components, salted_left_join
 from .registry import load, query
 from .shingles import shingle_set
 
@@ -50,7 +50,7 @@ BANDS = REGISTERS // ROWS_PER_BAND
 EMPTY = 0xFFFF
 EMPTY_BAND = -1            # four empty registers
 DEVIATIONS = 5             # an estimate may lie so many standard deviations too low
-BLOCK = 256                # members of one bucket compared in one task
+BLOCK = 1 << 19            # shingles of one pivot's members in one block
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -205,101 +205,129 @@ def _groups(batches, n_keys: int):
         yield rest
 
 
-def _pairs_across(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs of one bucket, in different components, that pass the estimate.
-
-    ``members``: ``band``, ``key``, ``size`` (of the bucket), ``id``,
-    ``root``, ``n``, ``bands``.
+def _links_across(own, ids, roots, sets, one_block: bool, similarity: float):
+    """Links between different components among a group's members that join
+    components not joined before (inside one block, or between two)."""
+    per_cent = round(100 * similarity)
+    n = np.array([len(s) for s in sets])
+    regs = np.stack([registers(s) for s in sets])
+    joined: dict = {}
+
+    def find(x):
+        while x in joined:
+            x = joined[x]
+        return x
+
+    left = np.arange(len(ids)) if one_block else np.flatnonzero(own == own.min())
+    right = np.arange(len(ids)) if one_block else np.flatnonzero(own != own.min())
+    for i in left.tolist():
+        j = right[right > i] if one_block else right
+        j = j[roots[j] != roots[i]]
+        if not len(j):
+            continue
+        j = j[passes(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], n[i], n[j], similarity)]
+        for k in j.tolist():
+            a, b = find(roots[i]), find(roots[k])
+            if a == b:
+                continue
+            p, q = sets[i], sets[k]
+            at = np.searchsorted(p, q)
+            at[at == len(p)] = 0
+            both = int((p[at] == q).sum())
+            if 100 * both >= per_cent * (len(p) + len(q) - both):
+                joined[max(a, b)] = min(a, b)
+                yield ids[i], ids[k]
+
+
+def _across(members: DataFrame, texts: DataFrame, words: int, similarity: float,
+            block: int) -> DataFrame:
+    """Confirmed links between components among the members of each pivot.
+
+    ``members``: ``pivot``, ``id``, ``root``, ``blocks`` (of about ``block``
+    shingles, by the sum of the group's set sizes).
     """
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = (members.withColumn("blocks", blocks).withColumn("own", own)
+    rows = (members.join(texts.hint("merge"), "id").withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", "key", F.least("own", "other").alias("p"),
-                    F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "bands")
-            .repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q"))
+            .select("pivot", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                    "own", "id", "root", "z")
+            .repartition("pivot", "p", "q").sortWithinPartitions("pivot", "p", "q", "id"))
 
     def run(batches):
-        for g in _groups(batches, 4):
-            band, p, q = g.column(0)[0].as_py(), g.column(2)[0].as_py(), g.column(3)[0].as_py()
-            own, ids, root, n = (g.column(i).to_numpy() for i in (4, 5, 6, 7))
-            regs = _sketches(g.column(8).combine_chunks())
-            raw = np.ascontiguousarray(regs).view(np.int64)
-            if p == q:
-                i, j = np.triu_indices(len(ids), 1)
-            else:
-                x, y = np.flatnonzero(own == p), np.flatnonzero(own == q)
-                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-            differ = root[i] != root[j]
-            i, j = i[differ], j[differ]
-            for lo in range(0, len(i), 8192):
-                x, y = i[lo:lo + 8192], j[lo:lo + 8192]
-                same = (raw[x] == raw[y]) & (raw[x] != EMPTY_BAND)
-                ok = (same.argmax(1) == band) & passes(regs[x], regs[y], n[x], n[y], similarity)
-                a, b = ids[x[ok]], ids[y[ok]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    kind = members.schema["id"].dataType
-    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        import zstandard
+        z = zstandard.ZstdDecompressor()
+        for g in _groups(batches, 3):
+            own, ids, roots = (g.column(i).to_numpy() for i in (3, 4, 5))
+            if (roots == roots[0]).all():
+                continue
+            sets = [shingle_set(z.decompress(x).decode("utf-8", "surrogatepass"), words)
+                    for x in g.column(6).to_pylist()]
+            one = g.column(1)[0] == g.column(2)[0]
+            if not one and (own == own[0]).all():
+                continue
+            found = list(_links_across(own, ids, roots, sets, one, similarity))
+            if found:
+                a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = 5, similarity: float = 0.75, block: int = BLOCK) -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
-    sketches = cut_lineage(sketch(df, id_col, text_col, words))
-    usable = sketches.filter("n > 0 AND id IS NOT NULL")
-
-    # classes of equal sets
-    classes = (usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-               .filter("rep < top").select("set_key", "rep"))
-    rows = (salted_left_join(sketches, cut_lineage(classes), "set_key", "id")
-            .withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))))
-    rows = cut_lineage(rows.select("id", "n", "rep", F.when(
-        F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
-    reps = rows.filter("bands IS NOT NULL AND n > 0 AND id IS NOT NULL").select("id", "n", "bands")
-
-    # buckets with several members, and their smallest one
-    spread = (reps.select("id", F.posexplode("bands").alias("band", "key"))
-              .filter(F.col("key") != EMPTY_BAND))
-    buckets = cut_lineage(spread.groupBy("band", "key").agg(
-        F.min("id").alias("pivot"), F.max("id").alias("top"), F.count(F.lit(1)).alias("size"))
-        .filter("pivot < top").drop("top"))
-    members = cut_lineage(spread.join(buckets, ["band", "key"]))
-    starred = (members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-               .distinct())
-    starred = cut_lineage(_estimated(starred, reps, similarity))
-
-    packed = _packed_texts(df, id_col, text_col)
-
-    def linked(pairs):
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = cut_lineage(packed.join(ends, "id", "left_semi"))
-        return cut_lineage(confirm(pairs, texts, words, similarity))
-
-    links = linked(starred)
-    roots = cut_lineage(components(links))
-
-    # buckets that still span several components
-    placed = salted_left_join(members, roots, "id", "key").withColumn(
-        "root", F.coalesce("root", "id"))
-    placed = cut_lineage(placed.select("band", "key", "size", "id", "root"))
-    open_ = (placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .filter("lo < hi").select("band", "key"))
-    rest = placed.join(open_, ["band", "key"]).join(reps, "id")
-    across = cut_lineage(_pairs_across(rest, similarity, block))
-    if not across.isEmpty():
-        more = linked(across)
-        roots = cut_lineage(components(
-            more.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))))
-
-    named = salted_left_join(rows.select("id", "n", "rep"), roots.withColumnRenamed("id", "rep"),
-                             "rep", "id")
-    component = F.coalesce("root", "rep")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                        component.alias("component_id"),
-                        (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    """``id_col`` (whole numbers), ``n_shingles``, ``component_id`` and
+    ``kept`` of every row."""
+    df = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
+    with Scratch(df.sparkSession) as tables:
+        sketches = tables.write(sketch(df, id_col, text_col, words))
+        usable = sketches.filter("n > 0 AND id IS NOT NULL")
+
+        # classes of equal sets
+        classes = (usable.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+                   .filter("rep < top").select("set_key", "rep"))
+        rows = salted_left_join(sketches, tables.write(classes), "set_key", "id").withColumn(
+            "rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+        rows = tables.write(rows.select("id", "n", "rep", F.when(
+            F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+        reps = rows.filter("bands IS NOT NULL AND n > 0").select("id", "n", "bands")
+
+        # buckets with several members, and their smallest one
+        spread = (reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
+                  .filter(F.col("key") != EMPTY_BAND))
+        buckets = tables.write(spread.groupBy("band", "key").agg(
+            F.min("id").alias("pivot"), F.max("id").alias("top")).filter("pivot < top").drop("top"))
+        members = tables.write(spread.join(buckets, ["band", "key"]).filter("id <> pivot")
+                               .groupBy("pivot", "id").agg(F.max("n").alias("n")))
+        ends = members.select("id").union(members.select("pivot")).distinct()
+        # no bound is known for the ids, so they are never broadcast
+        texts = tables.write(_packed_texts(df, id_col, text_col)
+                             .join(ends.hint("merge"), "id", "left_semi"))
+
+        starred = members.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        starred = tables.write(_estimated(starred, reps, similarity))
+        roots = tables.write(components(tables.write(confirm(starred, texts, words, similarity))))
+
+        # pivots whose members lie in several components
+        placed = salted_left_join(members, roots, "id", "pivot").withColumn(
+            "root", F.coalesce("root", "id"))
+        placed = tables.write(placed.select("pivot", "id", "n", "root"))
+        open_ = (placed.groupBy("pivot")
+                 .agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                      F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+                 .filter("lo < hi").select("pivot", "blocks"))
+        more = tables.write(_across(placed.join(open_, "pivot"), texts, words, similarity, block))
+        if not more.isEmpty():
+            roots = tables.write(components(
+                more.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))))
+
+        named = salted_left_join(rows.select("id", "n", "rep"),
+                                 roots.withColumnRenamed("id", "rep"), "rep", "id")
+        component = F.coalesce("root", "rep")
+        return cut_lineage(named.select(
+            F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+            component.alias("component_id"),
+            (F.col("id").isNull() | (F.col("id") == component)).alias("kept")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -308,7 +336,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a NULL id stay."""
     found = near_duplicates(docs, id_col, text_col, words, similarity)
     gone = cut_lineage(found.filter("NOT kept").select(F.col(id_col)).distinct())
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
 
 
 @query("op1_hyperminhash_dedup")
