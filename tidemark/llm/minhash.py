@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
+from .batches import groups, slices
 from .links import Scratch, components, salted_left_join
 from .registry import load, query
 from .shingles import shingle_set
@@ -103,7 +104,7 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("v"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             n, key, bands = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
@@ -127,7 +128,7 @@ def _packed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches, 1):
             out = [z.compress((t or "").encode("utf-8", "surrogatepass"))
                    for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())],
@@ -186,25 +187,6 @@ def _estimated(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFram
     return rows.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _groups(batches, n_keys: int):
-    """Whole groups (runs of equal values in the first ``n_keys`` columns) of
-    a sorted stream; a group is bounded by its maker."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-        keys = [rest.column(i).to_numpy() for i in range(n_keys)]
-        change = np.zeros(max(0, len(keys[0]) - 1), bool)
-        for k in keys:
-            change |= k[1:] != k[:-1]
-        cuts = np.r_[0, np.flatnonzero(change) + 1]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield rest.slice(lo, hi - lo)
-        rest = rest.slice(cuts[-1])
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _links_across(own, ids, roots, sets, one_block: bool, similarity: float):
     """Links between different components among a group's members that join
     components not joined before (inside one block, or between two)."""
@@ -256,7 +238,7 @@ def _across(members: DataFrame, texts: DataFrame, words: int, similarity: float,
     def run(batches):
         import zstandard
         z = zstandard.ZstdDecompressor()
-        for g in _groups(batches, 3):
+        for g in groups(batches, 3):
             own, ids, roots = (g.column(i).to_numpy() for i in (3, 4, 5))
             if (roots == roots[0]).all():
                 continue

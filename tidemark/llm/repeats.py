@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
+from .batches import groups, slices
 from .registry import load, query
 from .shingles import mix
 
@@ -144,8 +145,19 @@ def _deal(deal: np.ndarray, kind: int, *columns):
             pa.array(np.full(n, kind, np.int32), pa.int32()), *cols], order, cuts
 
 
-def _flat(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+def _column(table: pa.Table, i: int) -> np.ndarray:
+    """All numbers of an array column."""
+    flat = table.column(i).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+def _by_kind(table: pa.Table) -> dict[int, pa.Table]:
+    kind = table.column(1).to_numpy()
+    return {int(k): table.filter(pa.array(kind == k)) for k in np.unique(kind)}
+
+
+def _found(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p)], names=["doc", "p"])
 
 
 def _spread(doc: np.ndarray, place: np.ndarray, deals: int) -> np.ndarray:
@@ -210,35 +222,22 @@ def _places(df: DataFrame, id_col: str, text_col: str, deals: int) -> DataFrame:
            .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")))
 
     def local(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             for cols in _scan_batch(b.column(0).to_numpy(), b.column(1).to_pylist(), deals):
                 yield pa.RecordBatch.from_arrays(cols, names=_RUN_NAMES)
 
     def judge(batches):
-        held, marks = [], []
-        for b in batches:
-            kind = b.column(1).to_numpy()
-            for k in np.unique(kind):
-                part = b.filter(pa.array(kind == k))
-                if k == 0:
-                    held.append([_flat(part.column(i)) for i in range(2, 6)])
-                elif k == 3:
-                    marks.append(_flat(part.column(2)))
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(_flat(part.column(4))),
-                                                      pa.array(_flat(part.column(5)))],
-                                                     names=["doc", "p"])
-        if held:
-            bucket, run, doc, p = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            doc, p = _judge_runs(bucket, run, doc, p,
-                                 np.concatenate(marks) if marks else np.zeros(0, np.int64))
-            for lo in range(0, len(doc), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[lo:lo + (1 << 16)]),
-                                                  pa.array(p[lo:lo + (1 << 16)])],
-                                                 names=["doc", "p"])
-
-    return (src.mapInArrow(local, _RUNS).repartition("deal").mapInArrow(judge, "doc long, p long"))
+        for deal in groups(batches, 1):
+            by_kind = _by_kind(deal)
+            for k in (1, 2):
+                if k in by_kind:
+                    yield _found(_column(by_kind[k], 4), _column(by_kind[k], 5))
+            if 0 in by_kind:
+                marks = _column(by_kind[3], 2) if 3 in by_kind else np.zeros(0, np.int64)
+                yield _found(*_judge_runs(*(_column(by_kind[0], i) for i in range(2, 6)), marks))
+
+    return (src.mapInArrow(local, _RUNS).repartition("deal").sortWithinPartitions("deal")
+            .mapInArrow(judge, "doc long, p long"))
 
 
 _STRINGS = ("deal int, kind int, k1 array<long>, k2 array<long>, doc array<long>, p array<long>, "
@@ -327,54 +326,41 @@ def _repeated_strings(texts: DataFrame, places: DataFrame, deals: int) -> DataFr
     def local(batches):
         import zstandard
         z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                rows = ((d, z.decompress(x), ps) for d, x, ps in
-                        zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
-                for cols in _open_batch(rows, deals):
-                    if cols[-1] is None:
-                        cols[-1] = pa.nulls(len(cols[0]), pa.binary())
-                    yield pa.RecordBatch.from_arrays(cols, names=_STRING_NAMES)
+        for part in slices(batches, 1):
+            rows = ((d, z.decompress(x), ps) for d, x, ps in
+                    zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+            for cols in _open_batch(rows, deals):
+                if cols[-1] is None:
+                    cols[-1] = pa.nulls(len(cols[0]), pa.binary())
+                yield pa.RecordBatch.from_arrays(cols, names=_STRING_NAMES)
 
     def judge(batches):
-        keys, spans, docs, packs = [], [], [], []
-        for b in batches:
-            kind = b.column(1).to_numpy()
-            for k in np.unique(kind):
-                part = b.filter(pa.array(kind == k))
-                if k == 0:
-                    docs.append(_flat(part.column(4)))
-                    packs.append(_flat(part.column(5)))
-                    spans.extend(part.column(6).to_pylist())
-                elif k == 1:
-                    keys.append([_flat(part.column(i)) for i in range(2, 6)])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(_flat(part.column(4))),
-                                                      pa.array(_flat(part.column(5)))],
-                                                     names=["doc", "p"])
-        if docs:
-            doc, p = np.concatenate(docs), np.concatenate(packs)
-            start, count, _, _ = _unpack(p)
-            length = count + LENGTH - 1
-            begin = np.cumsum(length) - length
-            step = _each(count)
-            k1, k2 = _string_keys(b"".join(spans), np.repeat(begin, count) + step)
-            spans.clear()
-            keys.append([k1.view(np.int64), k2.view(np.int64), np.repeat(doc, count),
-                         np.repeat(start, count) + step])
-        if keys:
+        for deal in groups(batches, 1):
+            by_kind = _by_kind(deal)
+            keys = []
+            if 2 in by_kind:
+                yield _found(_column(by_kind[2], 4), _column(by_kind[2], 5))
+            if 1 in by_kind:
+                keys.append([_column(by_kind[1], i) for i in range(2, 6)])
+            if 0 in by_kind:
+                doc, p = _column(by_kind[0], 4), _column(by_kind[0], 5)
+                start, count, _, _ = _unpack(p)
+                length = count + LENGTH - 1
+                begin = np.cumsum(length) - length
+                step = _each(count)
+                k1, k2 = _string_keys(b"".join(by_kind[0].column(6).to_pylist()),
+                                      np.repeat(begin, count) + step)
+                keys.append([k1.view(np.int64), k2.view(np.int64), np.repeat(doc, count),
+                             np.repeat(start, count) + step])
+            if not keys:
+                continue
             k1, k2, doc, place = (np.concatenate(c) for c in zip(*keys, strict=True))
             order, _, later = _first_of([k1, k2], doc, place)
-            doc, place = doc[order][later], place[order][later]
-            if len(doc):
-                doc, p = _packed_runs(doc, place)
-                for lo in range(0, len(doc), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[lo:lo + (1 << 16)]),
-                                                      pa.array(p[lo:lo + (1 << 16)])],
-                                                     names=["doc", "p"])
+            if later.any():
+                yield _found(*_packed_runs(doc[order][later], place[order][later]))
 
-    return rows.mapInArrow(local, _STRINGS).repartition("deal").mapInArrow(judge, "doc long, p long")
+    return (rows.mapInArrow(local, _STRINGS).repartition("deal").sortWithinPartitions("deal")
+            .mapInArrow(judge, "doc long, p long"))
 
 
 def _pack_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -384,7 +370,7 @@ def _pack_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches, 1):
             out = [z.compress((t or "").encode("utf-8", "surrogatepass"))
                    for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())],
@@ -436,21 +422,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import zstandard
         z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                size, spans, kept = [], [], []
-                for x, ps in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    raw = z.decompress(x)
-                    gone = merge(ps or [], len(raw))
-                    cuts = [0, *(c for s in gone for c in s), len(raw)]
-                    size.append(len(raw))
-                    spans.append([{"start": a, "end": e} for a, e in gone])
-                    kept.append(b"".join(raw[a:e] for a, e in zip(cuts[0::2], cuts[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                     pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+        for part in slices(batches, 1):
+            size, spans, kept = [], [], []
+            for x, ps in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                raw = z.decompress(x)
+                gone = merge(ps or [], len(raw))
+                cuts = [0, *(c for s in gone for c in s), len(raw)]
+                size.append(len(raw))
+                spans.append([{"start": a, "end": e} for a, e in gone])
+                kept.append(b"".join(raw[a:e] for a, e in zip(cuts[0::2], cuts[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size, pa.int64()),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
@@ -476,7 +460,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                            .withColumn("ps", F.lit(None).cast("array<long>"))))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             texts = b.column(at).to_pylist()
             for i, ps in enumerate(b.column(len(names)).to_pylist()):
                 if ps and texts[i]:

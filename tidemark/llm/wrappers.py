@@ -44,7 +44,7 @@ from tidemark.session import cut_lineage
 from .links import salted_left_join
 from .registry import load, query
 
-SLOT = "#"
+SLOT = "#"              # a slot's token goes on with the open elements that decide on it
 LONGEST_GROUP = 24      # nodes of a group that may repeat
 FOLDS = 16              # partial folds of one host's wrappers
 
@@ -93,6 +93,14 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
     slots: list[list[str]] = []
     line: list[str] = []
     blocks: list[str] = []
+    open_: list[str] = []
+
+    def end_slot():
+        end_block()
+        if blocks:
+            tokens.append(SLOT + "/".join(x for x in open_ if _decides(x)))
+            slots.append(blocks.copy())
+            blocks.clear()
 
     def end_block():
         text = " ".join(unescape("".join(line)).split())
@@ -101,12 +109,18 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
             blocks.append(text)
 
     def put(token: str):
-        end_block()
-        if blocks:
-            tokens.append(SLOT)
-            slots.append(blocks.copy())
-            blocks.clear()
+        end_slot()
         tokens.append(token)
+        if token[0] == "/":
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k].rstrip("!") == token[1:]:
+                    del open_[k:]
+                    break
+        elif token in ROOTS and not any(x in ROOTS for x in open_):
+            open_.clear()       # whatever was left open before an article
+            open_.append(token)
+        elif token not in TEXT_BLOCKS:
+            open_.append(token)
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -122,13 +136,14 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
         else:
             put(_tag(name, m["attrs"]))
     line.append(html[at:])
-    end_block()
-    if blocks:
-        tokens.append(SLOT)
-        slots.append(blocks.copy())
+    end_slot()
     return tuple(tokens), slots
 
 
+def _decides(element: str) -> bool:
+    return element in ROOTS or element in BOILERPLATE or element[-1] == "!"
+
+
 # --- wrappers: tuples of tokens, ("+", wrapper) and ("?", wrapper) -----------------------------
 
 def fold(nodes: tuple) -> tuple:
@@ -247,7 +262,8 @@ class Automaton:
         self.tokens: list[str] = []
         self.follow: list[set[int]] = []
         self.first, self.last, self.empty = self._sequence(wrapper)
-        self.content = self._content()
+        # (outside boilerplate, and inside an article or main element too)
+        self.content = [self._verdict(t) for t in self.tokens]
 
     def _sequence(self, nodes):
         first: set[int] = set()
@@ -273,33 +289,17 @@ class Automaton:
             empty = empty and n
         return first, last, empty
 
-    def _content(self) -> list[bool]:
-        """By the open elements at each slot: outside boilerplate, and inside
-        the article or main element where the wrapper has one with text."""
-        good, rooted = [], []
-        open_: list[str] = []
-        for token in self.tokens:
-            inside = any(x in ROOTS for x in open_)
-            if token == SLOT:
-                good.append(not any(x[-1] == "!" or x in BOILERPLATE for x in open_))
-                rooted.append(good[-1] and inside)
-                continue
-            good.append(False)
-            rooted.append(False)
-            if token[0] == "/":
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k].rstrip("!") == token[1:]:
-                        del open_[k:]
-                        break
-            elif token in ROOTS and not inside:
-                open_ = [x for x in open_ if x in ROOTS] + [token]  # whatever is left open
-            elif token.rstrip("!") not in TEXT_BLOCKS or token[-1] == "!":
-                open_.append(token)
-        return rooted if any(rooted) else good
+    @staticmethod
+    def _verdict(token: str) -> tuple[bool, bool]:
+        if token[0] != SLOT:
+            return False, False
+        path = token[1:].split("/") if len(token) > 1 else []
+        good = all(x in ROOTS for x in path)
+        return good, good and bool(path)
 
     def read(self, tokens) -> list[bool] | None:
         """Whether each slot of the stream is content, or None if the wrapper
-        does not read it."""
+        does not read it.  Where slots lie in an article, only those are."""
         if not tokens:
             return []
         steps: list[dict[int, int]] = []
@@ -320,10 +320,11 @@ class Automaton:
             return None
         p, out = min(ends), []
         for t, step in zip(reversed(tokens), reversed(steps), strict=True):
-            if t == SLOT:
+            if t[0] == SLOT:
                 out.append(self.content[p])
             p = step[p]
-        return out[::-1]
+        inside = any(rooted for _, rooted in out)
+        return [rooted if inside else good for good, rooted in reversed(out)]
 
 
 def _load(x):
