@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import slices
 from .registry import load, query
 
 LEAF_CHARS = 4096
@@ -103,7 +104,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             ids = [codec.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())],
                                              names=["k", "v"])
@@ -120,7 +121,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b in batches:
+        for b in slices(batches, 1):
             out = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k", "v", "w"])

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
+from .batches import slices
 from .registry import load, query
 from .shingles import rolling_hashes, run_hashes, word_hashes
 
@@ -161,7 +162,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches, shared=shared):
             seeds = Seeds(shared.value, seed)
-            for b in batches:
+            for b in slices(batches, 1):
                 ids, rows = [], []
                 for at, t in enumerate(b.column(1).to_pylist()):
                     doc = tokens(t)

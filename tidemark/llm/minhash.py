@@ -146,7 +146,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     def run(batches):
         import zstandard
         z = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches, 3):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             sets: dict = {}  # of this batch, few at a time
             keep = []

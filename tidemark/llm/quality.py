@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import slices
 from .registry import load, query
 
 SYMBOLS = "#*$%&|<>"
@@ -101,7 +102,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=bands.level)
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [measure(t, bands, z) for t in b.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * len(SCHEMA)
             arrays = [pa.array(c, pa.float64() if f.dataType == T.DoubleType() else pa.int64())
@@ -139,7 +140,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=bands.level)
-        for b in batches:
+        for b in slices(batches, at):
             rows = [measure(t, bands, z) for t in b.column(at).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * len(SCHEMA)
             arrays = [pa.array(c, pa.float64() if f.dataType == T.DoubleType() else pa.int64())

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import slices
 from .registry import load, query
 
 TABLE_SIZE = 16_384       # entries broadcast
@@ -110,7 +111,7 @@ def frequent_lengths(df: DataFrame, model_path: str, text_col: str = "text",
     ``table_size``.  One pass; only ``task_top`` rows leave a task."""
     def summary(batches):
         counts, floor = Counter(), 0
-        for b in batches:
+        for b in slices(batches, 0):
             for t in b.column(0).to_pylist():
                 counts.update((t or "").replace("\n", " ").split(" "))
                 while len(counts) > task_keep:  # lossy counting: the rare ones go
@@ -140,7 +141,7 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         lengths = Lengths(_model(model_path), table.value)
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),

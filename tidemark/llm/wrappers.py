@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
+from .batches import slices
 from .links import salted_left_join
 from .registry import load, query
 
@@ -360,7 +361,7 @@ def infer(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFr
     def local(batches):
         wrappers: dict[str, tuple] = {}
         seen: set[tuple] = set()
-        for b in batches:
+        for b in slices(batches, 1):
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes = fold(stream(html)[0])
                 if (host, nodes) not in seen:
@@ -398,7 +399,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             .select("k", "u", "html", "wrapper"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             text = [main_text(h, w) for h, w in
                     zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())],
