@@ -34,7 +34,10 @@ def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int
     the per-point order statistic is computed by the tasks that hold the
     query points, and averaged by an aggregate.
     """
-    samp = cut_lineage(sample_n(vectors, "id", n_samples, seed))
+    # the sample comes out of one sorted partition: deal it over the tasks
+    # that compute its distances
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    samp = cut_lineage(sample_n(vectors, "id", n_samples, seed).repartition(parts, "id"))
     sample_rows = samp.select("vec").collect()          # at most n_samples rows
     if not sample_rows:
         return float("nan")
@@ -45,12 +48,15 @@ def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int
 
     def fn(it):
         r = ref_b.value
+        r2 = (r * r).sum(1)
         for pdf in it:
             x = _matrix(pdf)
             out = []
             for s in range(0, len(x), chunk):
-                d = np.sqrt(((x[s:s + chunk, None, :] - r[None, :, :]) ** 2).sum(-1))
-                out.append(np.partition(d, k - 1, axis=1)[:, k - 1])
+                # |x - r|^2 by products: one chunk x sample matrix at a time
+                xc = x[s:s + chunk]
+                d2 = np.maximum((xc * xc).sum(1)[:, None] + r2[None, :] - 2.0 * (xc @ r.T), 0.0)
+                out.append(np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]))
             yield pd.DataFrame({"kd": np.concatenate(out) if out else np.zeros(0)})
 
     kd = samp.select("vec").mapInPandas(fn, "kd double")
@@ -67,24 +73,28 @@ def bin_seeds(vectors: DataFrame, bandwidth: float, min_bin_freq: int = 1) -> Da
 
 
 def _shift_sums(seeds: np.ndarray, bandwidth: float, chunk: int = 512):
+    """Per-task sums of the points in each seed's ball: one row per seed and
+    task, whatever the number of batches; temporaries of chunk x chunk x dims."""
     r2 = bandwidth * bandwidth
     d = seeds.shape[1]
 
     def fn(it):
+        sums = np.zeros_like(seeds)
+        cnt = np.zeros(len(seeds), dtype=np.int64)
         for pdf in it:
             x = _matrix(pdf)
-            sums = np.zeros_like(seeds)
-            cnt = np.zeros(len(seeds), dtype=np.int64)
             for s in range(0, len(x), chunk):
                 xc = x[s:s + chunk]
-                d2 = ((xc[:, None, :] - seeds[None, :, :]) ** 2).sum(-1)
-                mask = d2 <= r2
-                sums += mask.T.astype(np.float64) @ xc
-                cnt += mask.sum(0)
-            cols = {"seed": np.arange(len(seeds), dtype=np.int64), "cnt": cnt}
-            for j in range(d):
-                cols[f"s{j}"] = sums[:, j]
-            yield pd.DataFrame(cols)
+                for t in range(0, len(seeds), chunk):
+                    sc = seeds[t:t + chunk]
+                    d2 = ((xc[:, None, :] - sc[None, :, :]) ** 2).sum(-1)
+                    mask = d2 <= r2
+                    sums[t:t + chunk] += mask.T.astype(np.float64) @ xc
+                    cnt[t:t + chunk] += mask.sum(0)
+        cols = {"seed": np.arange(len(seeds), dtype=np.int64), "cnt": cnt}
+        for j in range(d):
+            cols[f"s{j}"] = sums[:, j]
+        yield pd.DataFrame(cols)
     return fn
 
 

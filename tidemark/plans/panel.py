@@ -88,8 +88,8 @@ def panel_impute_mean(spark, sf_dir):
     return round_doubles(clean.impute_mean(orders_panel(spark, sf_dir), NDVI))
 
 
-# every half-year but the last year's, whose second half has hardly any order
-_COMPLETE = [c for c in NDVI if not c.startswith("NDVI_2001")]
+# three whole years: few points of the test tables have more of them complete
+_COMPLETE = [c for c in NDVI if 1996 <= int(c[5:9]) <= 1998]
 
 
 @register("panel_drop_null_rows", f"""
