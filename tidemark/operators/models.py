@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,11 +86,35 @@ class LinearModel:
         return e
 
 
+def cross_products(df: DataFrame, cols: Sequence[str], means: Sequence[float]) -> np.ndarray:
+    """Matrix of centred cross products of ``cols`` (no NULLs).
+
+    Every task adds up its own matrix and hands on one; a grouped sum over
+    the cells adds the tasks'.  No expression grows with the column count.
+    """
+    k = len(cols)
+    centre = np.asarray(means, dtype=float)
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float) - centre
+            total += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(k * k), "v": total.ravel()})
+
+    cells = (df.select(*cols).mapInPandas(run, "cell long, v double")
+             .groupBy("cell").agg(F.sum("v").alias("v")).collect())   # k x k rows
+    out = np.zeros(k * k)
+    for c in cells:
+        out[c["cell"]] = c["v"]
+    return out.reshape(k, k)
+
+
 def linear_fit(df: DataFrame, features: Sequence[str], target: str) -> LinearModel:
     """M5: ordinary least squares (rows with any NULL are skipped).
 
-    Pass 1: means.  Pass 2: centred cross products X'X, X'y (d x d sums in
-    one aggregate).  Solved by least squares on the driver, so constant
+    Pass 1: means.  Pass 2: centred cross products X'X, X'y (one matrix per
+    task, added up).  Solved by least squares on the driver, so constant
     columns get weight 0.
     """
     feats = list(features)
@@ -99,17 +124,9 @@ def linear_fit(df: DataFrame, features: Sequence[str], target: str) -> LinearMod
     n = int(mrow["__n"])
     if n == 0:
         return LinearModel(feats, [0.0] * len(feats), float("nan"), 0)
-    cen = {c: F.col(c) - F.lit(mrow[c]) for c in [*feats, target]}
-    aggs = [F.sum(cen[a] * cen[b]).alias(f"xx_{i}_{j}")
-            for i, a in enumerate(feats) for j, b in enumerate(feats) if j >= i]
-    aggs += [F.sum(cen[a] * cen[target]).alias(f"xy_{i}") for i, a in enumerate(feats)]
-    s = d.agg(*aggs).first()
     k = len(feats)
-    xx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = s[f"xx_{i}_{j}"]
-    xy = np.array([s[f"xy_{i}"] for i in range(k)])
+    every = cross_products(d, [*feats, target], [mrow[c] for c in [*feats, target]])
+    xx, xy = every[:k, :k], every[:k, k]
     beta = np.linalg.lstsq(xx, xy, rcond=1e-10)[0] if k else np.zeros(0)
     intercept = mrow[target] - float(np.dot(beta, [mrow[c] for c in feats]))
     return LinearModel(feats, [float(b) for b in beta], float(intercept), n)
@@ -179,20 +196,14 @@ def boosted_predict(df: DataFrame, fitted, out: str) -> DataFrame:
 def pca_2d(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
     """M9: centred projection on the two leading principal components.
 
-    Covariance is one aggregate of centred cross products (d x d); the
+    Covariance is one matrix of centred cross products per task, added up; the
     eigenvectors are signed so their largest-magnitude loading is positive.
     """
     cols = list(cols)
     d = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     m = d.agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("__n")).first()
     cen = {c: F.col(c) - F.lit(m[c]) for c in cols}
-    s = d.agg(*[F.sum(cen[a] * cen[b]).alias(f"c_{i}_{j}")
-                for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]).first()
-    k = len(cols)
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = s[f"c_{i}_{j}"] / max(1, m["__n"] - 1)
+    cov = cross_products(d, cols, [m[c] or 0.0 for c in cols]) / max(1, m["__n"] - 1)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:2]
     comps = []
@@ -213,6 +224,3 @@ def pca_2d(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
 def predictions_table(df: DataFrame, keep: Sequence[str], preds: Sequence[str]) -> DataFrame:
     """Id / coordinate columns plus predictions."""
     return df.select(*keep, *preds)
-
-
-VECTOR = T.ArrayType(T.DoubleType())
