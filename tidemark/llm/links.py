@@ -31,14 +31,18 @@ class Scratch:
         self.paths.clear()
 
 
-def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str,
+                     merge: bool = True) -> DataFrame:
     """``big`` left join ``small`` on ``key``; ``small`` holds a key once.
 
     One key may stand on a large part of ``big``: its rows are dealt over
     ``SALTS`` tasks by the column ``by``, and ``small`` is repeated as often.
+    With ``merge`` it is never broadcast, whatever its estimated size;
+    without, Spark's own size check decides.
     """
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
     many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = many.hint("merge") if merge else many
     return big.withColumn("_salt", salt).join(many, [key, "_salt"], "left").drop("_salt")
 
 

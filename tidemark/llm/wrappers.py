@@ -395,7 +395,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     wrappers = cut_lineage(infer(df, url_col, html_col))
     src = df.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"),
                     F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
-    rows = (salted_left_join(src.withColumn("by", F.xxhash64("k", "u")), wrappers, "host", "by")
+    rows = (salted_left_join(src.withColumn("by", F.xxhash64("k", "u")), wrappers, "host", "by",
+                             merge=False)
             .select("k", "u", "html", "wrapper"))
 
     def run(batches):
