@@ -126,12 +126,17 @@ def branches(messages: DataFrame, best: int = 1, id_col: str = "id", parent_col:
                       (F.col("total") / F.col("steps")).alias("score")))
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "id"))
     chosen = leaves.withColumn("branch", rank).filter(F.col("branch") <= best)
+    chosen, path = cut_lineage_path(chosen)
+    paths.append(path)
     # back to the root: after the jump of 2^k every branch holds 2^(k+1) messages
+    # (each round is written, as it would otherwise stand twice in the next one's plan)
     walk = chosen.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("back"))
     for k, jump in enumerate(levels):
         further = (walk.join(jump, "id")
                    .select("leaf", F.col("up").alias("id"),
                            (F.col("back") + F.lit(1 << k)).alias("back")))
+        further, path = cut_lineage_path(further)
+        paths.append(path)
         walk = walk.unionByName(further)
     turns = (walk.join(nodes.select("id", "role", "text"), "id")
              .withColumn("turn", write_turn(F.col("role"), F.col("text"))))
