@@ -378,3 +378,18 @@ def test_order_statistics_on_ties_and_extremes(spark):
     want = sorted(vals)
     got = order_statistics(df, "v", range(0, len(vals), 6), buckets=4)
     assert got == {r: want[r] for r in range(0, len(vals), 6)}
+
+
+def test_operators_leave_one_table(spark):
+    import numpy as np
+
+    from tidemark.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:") + "/tidemark-tables"
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(size=(40, 2)))],
+                              "id long, vec array<double>")
+    for run in (lambda: cpf.cpf_fit(v, [4]), lambda: knn.approx_knn_edges(v, 3, trees=2, leaf_rows=10)):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        out = run()
+        assert len(set(os.listdir(folder)) - before) == 1
+        assert out.count() == len(out.collect()) > 0

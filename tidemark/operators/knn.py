@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, leaves_one_table
 
 EDGE_SCHEMA = T.StructType([
     T.StructField("src", T.LongType(), False),
@@ -153,6 +153,7 @@ def _leaf_topk(k: int):
     return fn
 
 
+@leaves_one_table
 def approx_knn_edges(vectors: DataFrame, k: int, trees: int = 4, leaf_rows: int = 2000,
                      seed: int = 42, n_rows: int | None = None) -> DataFrame:
     """C1, approximate, for point sets too large for the exact blocked join.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -69,6 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# paths of tables written by the operators now running, innermost last
+_OPEN_JOBS: list[list[str]] = []
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and continue from the written files.
@@ -88,10 +93,37 @@ def cut_lineage_path(df):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tidemark-tables/{uuid.uuid4().hex}"
+    if _OPEN_JOBS:
+        _OPEN_JOBS[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), path
 
 
+def leaves_one_table(operator):
+    """Decorator for an operator whose first argument and result are
+    DataFrames: the result is written, and every other table that the
+    operator wrote on the way is deleted."""
+    @functools.wraps(operator)
+    def run(df, *args, **kwargs):
+        spark = df.sparkSession
+        written: list[str] = []
+        _OPEN_JOBS.append(written)
+        try:
+            out, path = cut_lineage_path(operator(df, *args, **kwargs))
+        except BaseException:
+            path = None
+            raise
+        finally:
+            _OPEN_JOBS.pop()
+            for p in written:
+                if p != path:
+                    drop_table(spark, p)
+        if _OPEN_JOBS:  # the result is one of the enclosing operator's tables
+            _OPEN_JOBS[-1].append(path)
+        return out
+    return run
+
+
 def drop_table(spark, path: str | None) -> None:
     """Delete a folder written by ``cut_lineage_path`` (no-op for None)."""
     if not path:
