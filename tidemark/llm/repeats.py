@@ -44,6 +44,7 @@ from pyspark.sql import types as T
 from tidemark.session import cut_lineage
 
 from .batches import groups, slices
+from .links import Scratch
 from .registry import load, query
 from .shingles import mix
 
@@ -398,7 +399,12 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     deals = DEALS * partitions
     places = (_places(df, id_col, text_col, deals).groupBy(F.col("doc").alias("id"))
               .agg(F.collect_list("p").alias("ps")))
-    places = cut_lineage(places)
+    with Scratch(df.sparkSession) as tables:
+        return _with_strings(df, tables.write(places), id_col, text_col, deals)
+
+
+def _with_strings(df, places, id_col, text_col, deals) -> DataFrame:
+    """The settled places and those found among the open runs, by document."""
     texts = _pack_texts(df.filter(F.col(id_col).isNotNull()), id_col, text_col)
     strings = (_repeated_strings(texts, places, deals).groupBy(F.col("doc").alias("id"))
                .agg(F.collect_list("p").alias("more")))
