@@ -298,7 +298,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  .agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                       F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
                  .filter("lo < hi").select("pivot", "blocks"))
-        more = tables.write(_across(placed.join(open_, "pivot"), texts, words, similarity, block))
+        dealt = salted_left_join(placed, tables.write(open_), "pivot", "id")
+        more = tables.write(_across(dealt.filter("blocks IS NOT NULL"), texts, words, similarity,
+                                    block))
         if not more.isEmpty():
             roots = tables.write(components(
                 more.unionByName(roots.select(F.col("root").alias("a"), F.col("id").alias("b")))))
