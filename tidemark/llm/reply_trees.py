@@ -79,15 +79,15 @@ def _jumps(nodes: DataFrame):
                 F.when(F.col("up").isNull(), F.col("id")).alias("root")))
     left = state.filter("root IS NULL").count()
     while left:
-        # a message that has not reached a root adds what its ancestor knows
+        # a message that has not reached a root adds what its ancestor knows;
+        # the others have nothing to join
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"),
                            F.col("steps").alias("more"), F.col("total").alias("extra"),
                            F.col("root").alias("top"))
-        new = (state.join(far, "up", "left")
-               .select("id", F.when(F.col("up").isNotNull(), F.col("next")).alias("up"),
-                       (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-                       (F.col("total") + F.coalesce("extra", F.lit(0.0))).alias("total"),
-                       F.coalesce("root", "top").alias("root")))
+        new = (state.filter("root IS NULL").join(far, "up")
+               .select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"),
+                       (F.col("total") + F.col("extra")).alias("total"), F.col("top").alias("root"))
+               .unionByName(state.filter("root IS NOT NULL")))
         new, new_path = cut_lineage_path(new)
         drop_table(spark, state_path)
         state, state_path = new, new_path
