@@ -27,6 +27,34 @@ def test_main_text():
     assert w.main_text("a < b &amp; c <", None) == "a < b & c <"
 
 
+def test_marked_text_block_ends():
+    def text(body):
+        return w.main_text(f"<p>outside</p><article>{body}</article>", None)
+
+    assert text("<p class=share>x</p><p>body</p><ul><li>y</ul>tail") == "body\ny\ntail"
+    assert text("<p class=share>x<p>body") == "body"
+    assert text("<h2 class=related>x</h2>body") == "body"
+    assert text("<h2 class=related>x<p>body</p>") == "body"
+    assert text("<ul><li class=share>x<ul><li>y</li></ul>z<li>body</ul>") == "body"
+    assert text("<ul><li class=share>x<p>y</ul>body") == "body"
+    assert text("<blockquote class=notice>x<blockquote><p>y</p></blockquote>z</blockquote>b") == "b"
+    assert text("<table><tr><td class=ad>x<table><tr><td>y</table>z<td>b<tr class=ad><td>x"
+                "<tr><td>c</table>") == "b\nc"
+    assert text("<dl><dt class=ad>x<dd>body</dl>") == "body"
+    assert text("<p class=share>x<hr>body") == "body"
+    assert text("<li><p class=share>x</li>body") == "body"
+    assert text("<p>a</p><div class=ad><p>x</p>y</div><p>b</p>") == "a\nb"
+
+
+def test_raw_names_are_whole():
+    def text(body):
+        return w.main_text(f"<article>{body}</article>", None)
+
+    assert text("<svg-icon></svg-icon><p>a</p><svg><text>x</text></svg><p>b") == "a\nb"
+    assert text("<video-player>a</video-player><title-bar>b</title-bar><p>c<video>x</video>") == "a\nb\nc"
+    assert text("<p>a</p><svg width='1'/><p>b</p><svg>x</svg><math/>c<svg />d") == "a\nb\ncd"
+
+
 def test_wrapper_groups():
     one, two = (w.fold(w.stream(page(k, ["x"] * m))[0]) for k, m in ((2, 3), (5, 1)))
     wrapper = w.align(one, two)

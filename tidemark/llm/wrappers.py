@@ -54,6 +54,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 TEXT_BLOCKS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr caption blockquote pre address "
                         "figcaption summary".split())
+# Where an open element ends without its end tag.  A start tag ends the open
+# elements of its entry that lie above the innermost one of the entry's bounds.
+P_ENDS = TEXT_BLOCKS | frozenset("address article aside center details dialog dir div dl fieldset "
+                                 "figure footer form header hgroup hr main menu nav ol search "
+                                 "section table tbody tfoot thead ul".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol menu dl table".split())
+CELLS = frozenset("td th caption".split())
+ROWS = CELLS | frozenset("tr tbody thead tfoot".split())
+ENDED_BY = {"li": (frozenset(["li"]), LISTS), "tr": (CELLS | {"tr"}, frozenset(["table"])),
+            **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), LISTS)),
+            **dict.fromkeys(CELLS, (CELLS, frozenset(["table"]))),
+            **dict.fromkeys(("tbody", "thead", "tfoot"), (ROWS, frozenset(["table"])))}
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select",
        "object", "math", "canvas", "audio", "video")
@@ -69,7 +82,9 @@ MARKS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"     # empty
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    r".*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
     re.S | re.I)
@@ -109,6 +124,42 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
         if text:
             blocks.append(text)
 
+    def last_open(names, bounds):
+        """Place of the innermost open element of ``names`` above ``bounds``."""
+        for k in range(len(open_) - 1, -1, -1):
+            name = open_[k].rstrip("!")
+            if name in names:
+                return k
+            if name in bounds or name in ROOTS:
+                break
+        return None
+
+    def close(k: int):
+        if any(_decides(x) for x in open_[k:]):
+            end_slot()
+        del open_[k:]
+
+    def ended_by(name: str):
+        """Ends the text blocks that a start tag ends."""
+        if name in P_ENDS:
+            k = last_open(("p",), LISTS | CELLS | {"button"})
+            if k is not None:
+                close(k)
+            if open_ and open_[-1].rstrip("!") in LEAVES:
+                close(len(open_) - 1)
+        names, bounds = ENDED_BY.get(name, ((), ()))
+        while names and (k := last_open(names, bounds)) is not None:
+            close(k)
+
+    def end_text(name: str):
+        """The end tag of a text block; it ends what is open inside it too."""
+        end_block()
+        k = last_open((name,), ("table",) if name in ROWS else LISTS | CELLS)
+        if k is not None:
+            close(k)
+        elif name not in LEAVES and open_ and open_[-1].rstrip("!") in LEAVES:
+            close(len(open_) - 1)
+
     def put(token: str):
         end_slot()
         tokens.append(token)
@@ -117,11 +168,11 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
                 if open_[k].rstrip("!") == token[1:]:
                     del open_[k:]
                     break
-        elif token in ROOTS and not any(x in ROOTS for x in open_):
+            return
+        ended_by(token.rstrip("!"))
+        if token in ROOTS and not any(x in ROOTS for x in open_):
             open_.clear()       # whatever was left open before an article
-            open_.append(token)
-        elif token not in TEXT_BLOCKS:
-            open_.append(token)
+        open_.append(token)
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -130,8 +181,11 @@ def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
         name = (m["name"] or "").lower()
         if not name or name in INLINE:
             continue
-        if name in VOID or (m["end"] and name in TEXT_BLOCKS):
-            end_block()      # these end a block, but their end tags may be missing
+        if name in VOID:
+            end_block()
+            ended_by(name)
+        elif m["end"] and name in TEXT_BLOCKS:
+            end_text(name)      # no token, as these end tags may be missing
         elif m["end"]:
             put("/" + name)
         else:
