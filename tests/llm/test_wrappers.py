@@ -106,3 +106,37 @@ def test_rows(spark):
             assert text.startswith("Head & line\n")
     assert got == sorted(want, key=str)
     assert w.extract(df.limit(0)).count() == 0
+
+
+def test_unmarked_constants(spark):
+    def plain(i, note):
+        """A page without an article, and without a word that marks boilerplate."""
+        return (f"<div><p>{'Read on' if i == 3 else f'intro {i}'}</p></div><section><p>text {i}</p>"
+                + "".join(f"<p>more {i} {n}</p>" for n in range(i % 3))
+                + f"</section><div><div><p>{note}</p></div></div>")
+
+    rows = [(i, f"http://a.example.com/{i}", plain(i, "Read on")) for i in range(12)]
+    # the same text at the same place, but on two pages only
+    rows += [(100 + i, f"http://b.example.com/{i}", plain(i, "Read on")) for i in (0, 1)]
+    # a note that most pages do not share
+    rows += [(200 + i, f"http://c.example.com/{i}", plain(i, "Read on" if i < 5 else f"note {i}"))
+             for i in range(4, 16) for _ in range(2)]
+    # copies of one page share everything
+    rows += [(300 + i, f"http://d.example.com/{i}", plain(1, "Read on")) for i in range(6)]
+    # among the repeated paragraphs of an article; its title stays
+    rows += [(400 + i, f"http://e.example.com/{i}", "<article><h1>News</h1>" + "".join(
+        f"<p>text {i} {n}</p>" for n in range(1 + i % 4)) + "<p>Ask us for more</p></article>")
+             for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted((r.page_id, r.text) for r in w.extract(df).collect())
+    want = []
+    for i, u, h in rows:
+        text = w.main_text(h, None).split("\n")
+        if "//a." in u:
+            assert text[-1] == "Read on"
+            text.pop()
+        if "//e." in u:
+            text.remove("Ask us for more")
+            assert text[0] == "News"
+        want.append((i, "\n".join(text)))
+    assert got == sorted(want)

@@ -7,31 +7,40 @@ alternatives:
 * neighbouring equal groups of a stream fold into a repeated group, and a
   single group folds where the other side already repeats it;
 * tags that stand on one side only become an optional group;
-* text becomes a slot, whatever it says.
+* text becomes a place, whatever it says.
 
 Every page of a host is then read with the host's wrapper (as an automaton
-over its positions), which gives each text the slot it fills.  A slot is
-content or not by its place in the wrapper: inside the article, and outside
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments.
+over its positions), which gives each text the place it fills.  A block of
+text that is the same on the host's pages is a constant of the template: it
+stands at one place on at least ``LEAST`` pages and on ``SHARE`` of those that
+have the place.  Pages that say the same count once.  What is no constant
+fills a slot, and is content where the tags allow it: inside the article, and
+outside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments.  The ``h1`` of an article is its title and stays, also
+where all pages of a host have the same.
 
 Skew: a task folds its own pages of a host, so that one partial wrapper for
 each host and task leaves it, equal ones only once; these are aligned in two
 levels.  Pages meet their wrapper in a join that deals a large host over
-many tasks.
+many tasks.  Constants are counted by host, place and hash of the text, added
+up before the shuffle; a host has at most 1 / ``SHARE`` times the constants
+that its pages have blocks.
 
 Defined results: NULL or empty html gives an empty text and no characters; a
 page without a host in its url (or with NULL url) belongs to the nameless
 host; every row is kept, repeated ones too.  A page that its host's wrapper
-cannot read (none that took part) is read as a wrapper of its own.
+cannot read (none that took part) is read as a wrapper of its own, without
+constants; a host of fewer than ``LEAST`` different pages has none either.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -42,12 +51,14 @@ from pyspark.sql import types as T
 from tidemark.session import cut_lineage
 
 from .batches import slices
-from .links import salted_left_join
+from .links import Scratch, salted_left_join
 from .registry import load, query
 
 SLOT = "#"              # a slot's token goes on with the open elements that decide on it
 LONGEST_GROUP = 24      # nodes of a group that may repeat
 FOLDS = 16              # partial folds of one host's wrappers
+LEAST = 3               # different pages that have to share a constant
+SHARE = 0.8             # of the different pages that have a constant's place
 
 # HTML element names by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark "
@@ -352,9 +363,9 @@ class Automaton:
         good = all(x in ROOTS for x in path)
         return good, good and bool(path)
 
-    def read(self, tokens) -> list[bool] | None:
-        """Whether each slot of the stream is content, or None if the wrapper
-        does not read it.  Where slots lie in an article, only those are."""
+    def places(self, tokens) -> list[int] | None:
+        """The position that each slot of the stream fills, or None if the
+        wrapper does not read it."""
         if not tokens:
             return []
         steps: list[dict[int, int]] = []
@@ -376,10 +387,21 @@ class Automaton:
         p, out = min(ends), []
         for t, step in zip(reversed(tokens), reversed(steps), strict=True):
             if t[0] == SLOT:
-                out.append(self.content[p])
+                out.append(p)
             p = step[p]
-        inside = any(rooted for _, rooted in out)
-        return [rooted if inside else good for good, rooted in reversed(out)]
+        return out[::-1]
+
+    def allowed(self, places: list[int]) -> list[bool]:
+        """Whether the tags allow each place as content.  Where places lie in
+        an article, only those are."""
+        inside = any(self.content[p][1] for p in places)
+        return [self.content[p][inside] for p in places]
+
+    def read(self, tokens) -> list[bool] | None:
+        """Whether the tags allow each slot of the stream as content, or None
+        if the wrapper does not read it."""
+        places = self.places(tokens)
+        return None if places is None else self.allowed(places)
 
 
 def _load(x):
@@ -391,14 +413,40 @@ def _automaton(wrapper: str) -> Automaton:
     return Automaton(_load(json.loads(wrapper)))
 
 
-def main_text(html: str | None, wrapper: str | None) -> str:
-    """The content slots of a page, one block to a line."""
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(),
+                          "big", signed=True)
+
+
+@lru_cache(maxsize=512)
+def _constants(written: str) -> frozenset[tuple[int, int]]:
+    return frozenset(tuple(map(int, x.split(":"))) for x in written.split(",") if x)
+
+
+def blocks_of(html: str | None, wrapper: str | None) -> Iterator[tuple[int | None, bool, str]]:
+    """Place, whether it is an article's title, and text of every block that
+    the tags allow as content.  The place is None where no wrapper reads it."""
     tokens, slots = stream(html or "")
-    chosen = _automaton(wrapper).read(tokens) if wrapper else None
-    if chosen is None:
-        chosen = Automaton(fold(tokens)).read(tokens)
-    return "\n".join(x for keep, blocks in zip(chosen or [], slots, strict=False) if keep
-                     for x in blocks)
+    machine = _automaton(wrapper) if wrapper else None
+    places = machine.places(tokens) if machine else None
+    known = places is not None
+    if not known:
+        machine = Automaton(fold(tokens))
+        places = machine.places(tokens) or []
+    before = [a for a, b in zip(("", *tokens), tokens, strict=False) if b[0] == SLOT]
+    for keep, place, tag, blocks in zip(machine.allowed(places), places, before, slots,
+                                        strict=False):
+        if keep:
+            for n, text in enumerate(blocks):
+                title = n == 0 and tag == "h1" and machine.content[place][1]
+                yield place if known else None, title, text
+
+
+def main_text(html: str | None, wrapper: str | None, constants: str | None = None) -> str:
+    """The content of a page, one block to a line."""
+    fixed = _constants(constants or "")
+    return "\n".join(text for place, title, text in blocks_of(html, wrapper)
+                     if title or not fixed or (place, _hash(text)) not in fixed)
 
 
 def _host(url):
@@ -443,20 +491,60 @@ def infer(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFr
     return some.groupBy("host").applyInPandas(together, schema)
 
 
+def constants(pages: DataFrame) -> DataFrame:
+    """``host`` and ``constants`` (place:hash, by commas) of the pages, given
+    as ``host``, ``html`` and ``wrapper``."""
+    def local(batches):
+        for b in slices(batches, 1):
+            host, page, place, text = [], [], [], []
+            for h, html, wrapper in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                blocks = list(blocks_of(html, wrapper))
+                says = _hash("\n".join(x for _, _, x in blocks))
+                found = {(p, _hash(x)) for p, title, x in blocks if p is not None and not title}
+                found |= {(p, None) for p, _ in found}
+                host += [h] * len(found)
+                page += [says] * len(found)
+                place += [p for p, _ in found]
+                text += [x for _, x in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(host, pa.string()), pa.array(page, pa.int64()),
+                 pa.array(place, pa.int32()), pa.array(text, pa.int64())],
+                names=["host", "page", "place", "text"])
+
+    with Scratch(pages.sparkSession) as scratch:
+        # text is NULL in the row that counts all pages of a place
+        found = scratch.write(
+            pages.select("host", "html", "wrapper")
+            .mapInArrow(local, "host string, page long, place int, text long").distinct()
+            .groupBy("host", "place", "text").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= LEAST)
+            .withColumn("spot", F.struct("host", "place")))
+        texts = found.filter("text IS NOT NULL")
+        pages_of = found.filter("text IS NULL").select("spot", F.col("n").alias("pages"))
+        return cut_lineage(
+            salted_left_join(texts, pages_of, "spot", "text", merge=False)
+            .filter(F.col("n") >= F.col("pages") * SHARE)
+            .select("host", F.concat_ws(":", "place", "text").alias("one"))
+            .groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list("one")))
+                                 .alias("constants")))
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """``id_col``, ``url_col`` and ``text`` of every page."""
     wrappers = cut_lineage(infer(df, url_col, html_col))
     src = df.select(F.col(id_col).alias("k"), F.col(url_col).alias("u"),
                     F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
-    rows = (salted_left_join(src.withColumn("by", F.xxhash64("k", "u")), wrappers, "host", "by",
-                             merge=False)
-            .select("k", "u", "html", "wrapper"))
+    src = src.withColumn("by", F.xxhash64("k", "u"))
+    fixed = constants(salted_left_join(src, wrappers, "host", "by", merge=False))
+    wrappers = cut_lineage(wrappers.join(fixed, "host", "left"))
+    rows = (salted_left_join(src, wrappers, "host", "by", merge=False)
+            .select("k", "u", "html", "wrapper", "constants"))
 
     def run(batches):
         for b in slices(batches, 2):
-            text = [main_text(h, w) for h, w in
-                    zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            text = [main_text(*x) for x in
+                    zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())],
                                              names=["k", "u", "text"])
 
