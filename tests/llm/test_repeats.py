@@ -63,3 +63,43 @@ def test_cut_texts(spark, edge_docs):
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
     texts = {r.doc_id: r.text for r in out.collect()}
     assert texts[3] == "" and texts[1] and texts[6] is None and texts[17] == "the quickend"
+
+
+def phrase_rows(n):
+    """One phrase with other words around it in every document, which some
+    documents hold in part together."""
+    phrase = "0123456789 the same words in every document 0123456789 "
+    rows = [(i, prose(100 + i, 12) + phrase + prose(900 + i, 12)) for i in range(n)]
+    rows += [(n + i, "zz" + rows[i][1][40:] + prose(2000 + i, 5)) for i in range(0, n, 7)]
+    return rows
+
+
+def test_many_variants_are_not_gathered():
+    """Batches that each hold few different runs of a bucket."""
+    rows = phrase_rows(1000)
+    deals, sent, variants = 8, {}, repeats.Variants(repeats.FAR)
+    spread = marked = 0
+    for lo in range(0, len(rows), 10):
+        docs, texts = zip(*rows[lo:lo + 10], strict=True)
+        for cols in repeats._scan_batch(np.array(docs), texts, deals, variants):
+            for kind, buckets, p in zip(cols[1].to_pylist(), cols[2].to_pylist(),
+                                        cols[5].to_pylist(), strict=True):
+                if kind == 0:
+                    for b in buckets:
+                        sent[b] = sent.get(b, 0) + 1
+                spread += len(p) if kind == 2 else 0
+                marked += len(buckets) if kind == 3 else 0
+    assert max(sent.values()) <= 2 * repeats.FAR and spread > 500 and marked
+
+
+def test_spread_over_batches(spark):
+    rows = phrase_rows(1000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).persist()
+    assert df.count() == len(rows) and repeats._near(df) == repeats.NEAR
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "9")
+    try:
+        assert result(df) == brute(rows)
+    finally:
+        spark.conf.set(size, before)

@@ -20,10 +20,14 @@ starts earlier.  Suffixes are refined only as deep as that length:
 
 Skew: a task first compares the runs of its own Arrow batch, settles the
 repeats among them, and sends on only the earliest, so a passage that a
-third of all documents hold arrives once per batch.  Where the runs of one
-bucket all differ, they are never gathered: beyond ``HOT`` of them the
-bucket is marked, and its strings are dealt one by one by their own
-identifiers.
+third of all documents hold arrives once per batch.  The different runs of
+one bucket are gathered only while they are few: a task counts them over its
+batches, and beyond a number of them in a window of ``WINDOW`` runs (about 150
+MB of text) it marks the bucket, whose strings are then dealt one by one by
+their own identifiers, also those of other tasks.  The number is ``NEAR`` or
+less, so that all windows of the corpus together send about ``GATHERED`` runs
+of a bucket (or ``FAR`` each, in a corpus of more than a TB); a bucket of more
+than ``HOT`` among them is spread as well.
 
 Texts move compressed, and only twice.  Matches never cross documents.
 
@@ -57,6 +61,12 @@ REST = LENGTH - DEEP           # second identifier's offset
 CHUNK = 1 << 18                # places of one text scanned at once
 PLACE = _U((1 << 20) - 1)      # bits of a place inside a chunk
 HOT = 4096                     # different runs of one bucket that one task compares
+NEAR, FAR = 256, 8             # different runs of one bucket that a window sends to its task
+GATHERED = 1 << 16             # and that all windows send, about
+WINDOW = 1 << 22               # different runs counted together
+WINDOW_BYTES = 50 << 20        # of a stored table that make about one window
+PIECE = 1 << 14                # settled strings that travel together
+COUNTERS, BITS = 1 << 21, 1 << 23
 SETTLED, OPEN, SPREAD = 0, 1, 2
 DEALS = 4                      # deals for each shuffle partition
 
@@ -165,11 +175,49 @@ def _spread(doc: np.ndarray, place: np.ndarray, deals: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64) * _U(31) + place.astype(np.uint64)) % _U(deals)).astype(np.int64)
 
 
+def _pieces(doc: np.ndarray, place: np.ndarray, deals: int) -> np.ndarray:
+    """Deals of rows that need not meet any others: few pieces, anywhere."""
+    return (_spread(doc[:1], place[:1], deals) + np.arange(len(doc)) // PIECE) % deals
+
+
+def _near(df: DataFrame) -> int:
+    """Different runs of one bucket that a window may send."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(FAR, min(NEAR, GATHERED // (1 + size // WINDOW_BYTES)))
+
+
 _RUNS = "deal int, kind int, bucket array<long>, run array<long>, doc array<long>, p array<long>"
 _RUN_NAMES = ["deal", "kind", "bucket", "run", "doc", "p"]
 
 
-def _scan_batch(docs, texts, deals: int):
+class Variants:
+    """Different runs that a task has met, counted by bucket in a bounded
+    table.  Buckets that share a counter, and runs met in an earlier window,
+    only mark more buckets; a run that shares its bit is not counted."""
+
+    def __init__(self, near: int = NEAR):
+        self.near = min(near, HOT)
+        self.clear()
+
+    def clear(self):
+        self.count = np.zeros(COUNTERS, np.int32)
+        self.seen = np.zeros(BITS, bool)
+        self.n = 0
+
+    def many(self, bucket: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Takes up different runs; whether the bucket of each has too many."""
+        if self.n > WINDOW:
+            self.clear()
+        bit = _pair(bucket, run) % _U(BITS)
+        fresh = ~self.seen[bit]
+        self.seen[bit] = True
+        self.n += int(fresh.sum())
+        counter = bucket % _U(COUNTERS)
+        np.add.at(self.count, counter[fresh], 1)
+        return self.count[counter] > self.near
+
+
+def _scan_batch(docs, texts, deals: int, variants: Variants):
     """The batch's runs: the earliest of equal ones by bucket, the rest settled."""
     found = [(d, scan((t or "").encode("utf-8", "surrogatepass")))
              for d, t in zip(docs, texts, strict=True)]
@@ -188,13 +236,12 @@ def _scan_batch(docs, texts, deals: int):
         yield _deal(_spread(d, s, deals), 1, None, None, d,
                     _pack(s, count[later], offset[later], SETTLED))[0]
     # the different runs of each bucket
-    first = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
-    hot = np.bincount(first, new)[first] > HOT
-    rest = new & ~hot
+    different = np.flatnonzero(new)
+    hot = variants.many(bucket[different], run[different])
+    rest, keep = different[~hot], different[hot]
     yield _deal((bucket[rest] % _U(deals)).astype(np.int64), 0, bucket[rest], run[rest], doc[rest],
                 _pack(start[rest], count[rest], offset[rest], OPEN))[0]
-    if hot.any():
-        keep = new & hot
+    if len(keep):
         d, s = doc[keep], start[keep]
         yield _deal(_spread(d, s, deals), 2, None, None, d,
                     _pack(s, count[keep], offset[keep], SPREAD))[0]
@@ -221,10 +268,13 @@ def _places(df: DataFrame, id_col: str, text_col: str, deals: int) -> DataFrame:
     """``doc`` and packed ``p`` of settled and of open runs."""
     src = (df.filter(F.col(id_col).isNotNull())
            .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")))
+    near = _near(df)
 
     def local(batches):
+        variants = Variants(near)
         for b in slices(batches, 1):
-            for cols in _scan_batch(b.column(0).to_numpy(), b.column(1).to_pylist(), deals):
+            for cols in _scan_batch(b.column(0).to_numpy(), b.column(1).to_pylist(), deals,
+                                    variants):
                 yield pa.RecordBatch.from_arrays(cols, names=_RUN_NAMES)
 
     def judge(batches):
@@ -302,7 +352,7 @@ def _open_batch(rows, deals: int):
         order, new, later = _first_of([k1, k2], d, s)
         k1, k2, d, s = (x[order] for x in (k1, k2, d, s))
         if later.any():
-            yield [*_deal(_spread(d[later], s[later], deals), 2, None, None, d[later],
+            yield [*_deal(_pieces(d[later], s[later], deals), 2, None, None, d[later],
                           _pack(s[later], 1, 0, SETTLED))[0], None]
         yield [*_deal((k1[new] % _U(deals)).astype(np.int64), 1, k1[new], k2[new], d[new], s[new])[0],
                None]
