@@ -56,6 +56,25 @@ def test_mean_shift_matches_numpy(spark):
     assert np.allclose(sc, C, atol=1e-9)
 
 
+def test_mean_shift_queries_over_all_dimensions(spark, tmp_path):
+    """Four clusters that the first two of 12 dimensions don't tell apart."""
+    from tidemark.plans import QUERIES
+    rng = np.random.default_rng(3)
+    X = rng.normal(scale=0.3, size=(240, 12))
+    X[:, 2:] += 4 * rng.choice([-1, 1], size=(4, 10))[np.arange(240) % 4]
+    spark.createDataFrame([(i, X[i].tolist(), 0) for i in range(240)],
+                          "vec_id long, embedding array<double>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    Z = (X - X.mean(0)) / X.std(0)
+    D = np.sqrt(((Z[:, None, :] - Z[None, :, :]) ** 2).sum(-1))
+    bw = np.sort(D, 1)[:, int(240 * 0.2) - 1].mean()
+    got = QUERIES["meanshift_bandwidth_all"](spark, str(tmp_path)).first().bandwidth
+    assert abs(got - bw) < 1e-6
+    _, lab = mean_shift_numpy(Z, bw)
+    labels = {r.id: r.label for r in QUERIES["meanshift_labels_all"](spark, str(tmp_path)).collect()}
+    assert [labels[i] for i in range(240)] == list(lab) and len(set(lab)) > 2
+
+
 def test_sparse_gp_matches_dense_posterior(spark):
     rng = np.random.default_rng(11)
     X = rng.normal(size=(300, 3))

@@ -16,6 +16,7 @@ from tidemark.operators._util import round_doubles
 from tidemark.plans.panel import NDVI, PANEL_CTE, YEARS, orders_panel
 from tidemark.plans.registry import register
 from tidemark.plans.cluster import vectors as emb_vectors
+from tidemark.session import cut_lineage
 
 FEATURES = [c for c in NDVI if int(c[5:9]) < 2000]
 TARGETS = ["NDVI_2000H", "NDVI_2000L"]
@@ -147,3 +148,26 @@ def meanshift_labels(spark, sf_dir):
     bw = meanshift.estimate_bandwidth(v, 0.2, 50_000, 42)
     labels, _ = meanshift.mean_shift(v, bw)
     return labels
+
+
+def _emb_all(spark, sf_dir):
+    v = cut_lineage(emb_vectors(spark, sf_dir))
+    first = v.select(F.size("vec").alias("n")).head()
+    return meanshift.standardise_vectors(v, first.n) if first else v
+
+
+@register("meanshift_bandwidth_all")
+def meanshift_bandwidth_all(spark, sf_dir):
+    """C13 over all dimensions, as the reference clusters all its columns."""
+    v = _emb_all(spark, sf_dir)
+    bw = meanshift.estimate_bandwidth(v, 0.2, 50_000, 42)
+    return v.agg(F.round(F.lit(bw), 6).alias("bandwidth"))
+
+
+@register("meanshift_labels_all")
+def meanshift_labels_all(spark, sf_dir):
+    """C14 over all dimensions."""
+    v = _emb_all(spark, sf_dir)
+    bw = meanshift.estimate_bandwidth(v, 0.2, 50_000, 42)
+    labels, _ = meanshift.mean_shift(v, bw)
+    return labels
