@@ -9,6 +9,7 @@ from . import (  # noqa: F401 - importing a module registers its query
     byte_bpe,
     decontaminate,
     license_scan,
+    merkle,
     minhash,
     quality,
     repeats,
