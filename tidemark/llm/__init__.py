@@ -8,6 +8,7 @@ whole table.
 from . import (  # noqa: F401 - importing a module registers its query
     byte_bpe,
     decontaminate,
+    lexical,
     license_scan,
     merkle,
     minhash,
