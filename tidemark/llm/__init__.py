@@ -16,6 +16,7 @@ from . import (  # noqa: F401 - importing a module registers its query
     repeats,
     reply_trees,
     shards,
+    suffix_tree,
     token_counts,
     wrappers,
 )
