@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,22 @@ from tidemark.session import cut_lineage_path, drop_table
 SALTS = 16
 
 
+@contextmanager
+def shuffles_end_with_jobs(spark):
+    """Inside, a job's shuffle files go when the job has ended, instead of when
+    the driver collects its garbage.  For jobs that write their results."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables in the shared folder that a job needs only while it runs."""
 
