@@ -58,6 +58,32 @@ def test_passages(spark, monkeypatch, hot, chunk):
     assert result(df) == brute(rows)
 
 
+def one_id_rows():
+    """One id on different texts that share passages with others or nothing."""
+    a, b, c, d = (prose(i, 120) for i in (301, 302, 303, 304))
+    return [(0, c), (1, c[100:400]), (1, b), (1, b), (2, c[50:300] + d), (2, a + b[:200]), (2, a),
+            (1, "short"), (1, None), (3, a[200:450])]
+
+
+def hash_of(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h")
+    return {r.t: r.h for r in df.collect()}
+
+
+def test_one_id_on_different_texts(spark):
+    """Different texts with one id are documents of their own, in the order
+    of their hashes; a text that repeats nothing stays whole."""
+    rows = one_id_rows()
+    h = hash_of(spark, {t for _, t in rows})
+    order = {k: i for i, k in enumerate(sorted({(d, h[t]) for d, t in rows}))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    back = {i: k[0] for k, i in order.items()}
+    want = sorted([(back[i], *x) for i, *x in brute([(order[d, h[t]], t) for d, t in rows])], key=str)
+    assert result(df) == want
+    whole = {r.text for r in repeats.cut_texts(df).collect()}
+    assert rows[2][1] in whole or rows[5][1] in whole
+
+
 def test_cut_texts(spark, edge_docs):
     out = repeats.cut_texts(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
@@ -81,7 +107,7 @@ def test_many_variants_are_not_gathered():
     spread = marked = 0
     for lo in range(0, len(rows), 10):
         docs, texts = zip(*rows[lo:lo + 10], strict=True)
-        for cols in repeats._scan_batch(np.array(docs), texts, deals, variants):
+        for cols in repeats._scan_batch(np.array(docs), np.zeros(len(docs), int), texts, deals, variants):
             for kind, buckets, p in zip(cols[1].to_pylist(), cols[2].to_pylist(),
                                         cols[5].to_pylist(), strict=True):
                 if kind == 0:

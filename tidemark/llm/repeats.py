@@ -33,8 +33,8 @@ Texts move compressed, and only twice.  Matches never cross documents.
 
 Defined results: NULL and empty texts have no bytes; a row with a NULL id
 takes no part and comes back whole; rows that repeat an id and a text are
-one document, each gets the result; where one id stands on different texts,
-each is cut at the places found for the id, as far as it reaches.
+one document, each gets the result; different texts with one id are documents
+of their own, in the order of their hashes (``sub``).
 """
 
 from __future__ import annotations
@@ -122,10 +122,10 @@ def scan(raw: bytes):
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
 
-def _first_of(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
+def _first_of(keys: list[np.ndarray], doc: np.ndarray, sub: np.ndarray, place: np.ndarray):
     """Order by keys, document and place; the groups' starts in that order;
     and which rows have an earlier, different place in their group."""
-    order = np.lexsort((place, doc, *reversed(keys)))
+    order = np.lexsort((place, sub, doc, *reversed(keys)))
     new = np.zeros(len(order), bool)
     if len(order):
         new[0] = True
@@ -133,8 +133,8 @@ def _first_of(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray):
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    d, p = doc[order], place[order]
-    later = (d != d[head]) | (p != p[head])
+    d, s, p = doc[order], sub[order], place[order]
+    later = (d != d[head]) | (s != s[head]) | (p != p[head])
     return order, new, later
 
 
@@ -167,8 +167,12 @@ def _by_kind(table: pa.Table) -> dict[int, pa.Table]:
     return {int(k): table.filter(pa.array(kind == k)) for k in np.unique(kind)}
 
 
-def _found(doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p)], names=["doc", "p"])
+FOUND = "doc long, sub long, p long"
+
+
+def _found(doc: np.ndarray, sub: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sub), pa.array(p)],
+                                      names=["doc", "sub", "p"])
 
 
 def _spread(doc: np.ndarray, place: np.ndarray, deals: int) -> np.ndarray:
@@ -186,8 +190,9 @@ def _near(df: DataFrame) -> int:
     return max(FAR, min(NEAR, GATHERED // (1 + size // WINDOW_BYTES)))
 
 
-_RUNS = "deal int, kind int, bucket array<long>, run array<long>, doc array<long>, p array<long>"
-_RUN_NAMES = ["deal", "kind", "bucket", "run", "doc", "p"]
+_RUNS = ("deal int, kind int, bucket array<long>, run array<long>, doc array<long>, p array<long>, "
+         "sub array<long>")
+_RUN_NAMES = ["deal", "kind", "bucket", "run", "doc", "p", "sub"]
 
 
 class Variants:
@@ -217,43 +222,44 @@ class Variants:
         return self.count[counter] > self.near
 
 
-def _scan_batch(docs, texts, deals: int, variants: Variants):
+def _scan_batch(docs, subs, texts, deals: int, variants: Variants):
     """The batch's runs: the earliest of equal ones by bucket, the rest settled."""
-    found = [(d, scan((t or "").encode("utf-8", "surrogatepass")))
-             for d, t in zip(docs, texts, strict=True)]
-    found = [(d, x) for d, x in found if x is not None]
+    found = [(d, u, scan((t or "").encode("utf-8", "surrogatepass")))
+             for d, u, t in zip(docs, subs, texts, strict=True)]
+    found = [(d, u, x) for d, u, x in found if x is not None]
     if not found:
         return
-    doc = np.concatenate([np.full(len(x[0]), d, np.int64) for d, x in found])
+    doc, sub = (np.concatenate([np.full(len(f[2][0]), f[i], np.int64) for f in found]) for i in (0, 1))
     bucket, run, start, count, offset = (np.concatenate(c) for c in
-                                         zip(*(x for _, x in found), strict=True))
+                                         zip(*(x for *_, x in found), strict=True))
     del found
-    order, new, later = _first_of([bucket, run], doc, start)
-    doc, bucket, run, start, count, offset = (
-        x[order] for x in (doc, bucket, run, start, count, offset))
+    order, new, later = _first_of([bucket, run], doc, sub, start)
+    doc, sub, bucket, run, start, count, offset = (
+        x[order] for x in (doc, sub, bucket, run, start, count, offset))
     if later.any():
         d, s = doc[later], start[later]
         yield _deal(_spread(d, s, deals), 1, None, None, d,
-                    _pack(s, count[later], offset[later], SETTLED))[0]
+                    _pack(s, count[later], offset[later], SETTLED), sub[later])[0]
     # the different runs of each bucket
     different = np.flatnonzero(new)
     hot = variants.many(bucket[different], run[different])
     rest, keep = different[~hot], different[hot]
     yield _deal((bucket[rest] % _U(deals)).astype(np.int64), 0, bucket[rest], run[rest], doc[rest],
-                _pack(start[rest], count[rest], offset[rest], OPEN))[0]
+                _pack(start[rest], count[rest], offset[rest], OPEN), sub[rest])[0]
     if len(keep):
         d, s = doc[keep], start[keep]
         yield _deal(_spread(d, s, deals), 2, None, None, d,
-                    _pack(s, count[keep], offset[keep], SPREAD))[0]
+                    _pack(s, count[keep], offset[keep], SPREAD), sub[keep])[0]
         marks = np.unique(bucket[keep])
-        yield _deal((marks % _U(deals)).astype(np.int64), 3, marks, None, None, None)[0]
+        yield _deal((marks % _U(deals)).astype(np.int64), 3, marks, None, None, None, None)[0]
 
 
-def _judge_runs(bucket, run, doc, p, marks):
+def _judge_runs(bucket, run, doc, p, sub, marks):
     """Settled and open runs of whole buckets."""
     start, count, offset, _ = _unpack(p)
-    order, new, later = _first_of([bucket, run], doc, start)
-    bucket, doc, start, count, offset = (x[order] for x in (bucket, doc, start, count, offset))
+    order, new, later = _first_of([bucket, run], doc, sub, start)
+    bucket, doc, sub, start, count, offset = (
+        x[order] for x in (bucket, doc, sub, start, count, offset))
     group = np.cumsum(np.r_[True, bucket[1:] != bucket[:-1]]) - 1
     variants = np.bincount(group, new)[group]
     marked = np.isin(bucket, marks)
@@ -261,20 +267,21 @@ def _judge_runs(bucket, run, doc, p, marks):
     kind = np.where(marked | (variants > HOT), SPREAD, OPEN)
     out_p = np.where(later, _pack(start, count, offset, SETTLED), _pack(start, count, offset, kind))
     keep = later | open_
-    return doc[keep], out_p[keep]
+    return doc[keep], sub[keep], out_p[keep]
 
 
 def _places(df: DataFrame, id_col: str, text_col: str, deals: int) -> DataFrame:
-    """``doc`` and packed ``p`` of settled and of open runs."""
+    """``doc``, ``sub`` and packed ``p`` of settled and of open runs."""
+    text = F.col(text_col).cast("string")
     src = (df.filter(F.col(id_col).isNotNull())
-           .select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")))
+           .select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("sub"), text.alias("t")))
     near = _near(df)
 
     def local(batches):
         variants = Variants(near)
-        for b in slices(batches, 1):
-            for cols in _scan_batch(b.column(0).to_numpy(), b.column(1).to_pylist(), deals,
-                                    variants):
+        for b in slices(batches, 2):
+            for cols in _scan_batch(b.column(0).to_numpy(), b.column(1).to_numpy(),
+                                    b.column(2).to_pylist(), deals, variants):
                 yield pa.RecordBatch.from_arrays(cols, names=_RUN_NAMES)
 
     def judge(batches):
@@ -282,18 +289,18 @@ def _places(df: DataFrame, id_col: str, text_col: str, deals: int) -> DataFrame:
             by_kind = _by_kind(deal)
             for k in (1, 2):
                 if k in by_kind:
-                    yield _found(_column(by_kind[k], 4), _column(by_kind[k], 5))
+                    yield _found(*(_column(by_kind[k], i) for i in (4, 6, 5)))
             if 0 in by_kind:
                 marks = _column(by_kind[3], 2) if 3 in by_kind else np.zeros(0, np.int64)
-                yield _found(*_judge_runs(*(_column(by_kind[0], i) for i in range(2, 6)), marks))
+                yield _found(*_judge_runs(*(_column(by_kind[0], i) for i in range(2, 7)), marks))
 
     return (src.mapInArrow(local, _RUNS).repartition("deal").sortWithinPartitions("deal")
-            .mapInArrow(judge, "doc long, p long"))
+            .mapInArrow(judge, FOUND))
 
 
 _STRINGS = ("deal int, kind int, k1 array<long>, k2 array<long>, doc array<long>, p array<long>, "
-            "spans binary")
-_STRING_NAMES = ["deal", "kind", "k1", "k2", "doc", "p", "spans"]
+            "sub array<long>, spans binary")
+_STRING_NAMES = ["deal", "kind", "k1", "k2", "doc", "p", "sub", "spans"]
 
 
 def _each(count: np.ndarray) -> np.ndarray:
@@ -315,19 +322,19 @@ def _string_keys(buffer: bytes, at: np.ndarray):
 
 def _open_batch(rows, deals: int):
     """Bytes of open runs by bucket; strings of spread runs by identifier."""
-    doc, p, spans = [], [], []
-    for d, raw, ps in rows:
+    doc, sub, p, spans = [], [], [], []
+    for d, u, raw, ps in rows:
         ps = np.array(ps, np.int64)
         ps = ps[(ps & 3) != SETTLED]
         start, count, _, _ = _unpack(ps)
-        fits = start + count + LENGTH - 1 <= len(raw)  # another text with this id
-        for x, s, c in zip(ps[fits].tolist(), start[fits].tolist(), count[fits].tolist(), strict=True):
+        for x, s, c in zip(ps.tolist(), start.tolist(), count.tolist(), strict=True):
             doc.append(d)
+            sub.append(u)
             p.append(x)
             spans.append(raw[s:s + c + LENGTH - 1])
     if not doc:
         return
-    doc, p = np.array(doc, np.int64), np.array(p, np.int64)
+    doc, sub, p = (np.array(x, np.int64) for x in (doc, sub, p))
     length = np.fromiter(map(len, spans), np.int64, len(spans))
     begin = np.cumsum(length) - length
     buffer = b"".join(spans)
@@ -338,7 +345,7 @@ def _open_batch(rows, deals: int):
         at = (begin + offset)[by_bucket]
         bucket = _pair(_pair(e[at], e[at + 8]), _pair(e[at + 16], e[at + 24]))
         cols, order, cuts = _deal((bucket % _U(deals)).astype(np.int64), 0, None, None,
-                                  doc[by_bucket], p[by_bucket])
+                                  doc[by_bucket], p[by_bucket], sub[by_bucket])
         which = np.flatnonzero(by_bucket)[order]
         blobs = [b"".join(spans[i] for i in which[lo:hi])
                  for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -348,38 +355,38 @@ def _open_batch(rows, deals: int):
         n = count[far]
         step = _each(n)
         k1, k2 = _string_keys(buffer, np.repeat(begin[far], n) + step)
-        d, s = np.repeat(doc[far], n), np.repeat(start[far], n) + step
-        order, new, later = _first_of([k1, k2], d, s)
-        k1, k2, d, s = (x[order] for x in (k1, k2, d, s))
+        d, u, s = np.repeat(doc[far], n), np.repeat(sub[far], n), np.repeat(start[far], n) + step
+        order, new, later = _first_of([k1, k2], d, u, s)
+        k1, k2, d, u, s = (x[order] for x in (k1, k2, d, u, s))
         if later.any():
             yield [*_deal(_pieces(d[later], s[later], deals), 2, None, None, d[later],
-                          _pack(s[later], 1, 0, SETTLED))[0], None]
-        yield [*_deal((k1[new] % _U(deals)).astype(np.int64), 1, k1[new], k2[new], d[new], s[new])[0],
-               None]
+                          _pack(s[later], 1, 0, SETTLED), u[later])[0], None]
+        yield [*_deal((k1[new] % _U(deals)).astype(np.int64), 1, k1[new], k2[new], d[new], s[new],
+                      u[new])[0], None]
 
 
-def _packed_runs(doc: np.ndarray, place: np.ndarray):
+def _packed_runs(doc: np.ndarray, sub: np.ndarray, place: np.ndarray):
     """Single strings as runs of up to 127."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]
+    order = np.lexsort((place, sub, doc))
+    doc, sub, place = doc[order], sub[order], place[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (place[1:] != place[:-1] + 1)]
     head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     new |= (np.arange(len(doc)) - head) % 127 == 0
     first = np.flatnonzero(new)
-    return doc[first], _pack(place[first], np.diff(np.r_[first, len(doc)]), 0, SETTLED)
+    return doc[first], sub[first], _pack(place[first], np.diff(np.r_[first, len(doc)]), 0, SETTLED)
 
 
 def _repeated_strings(texts: DataFrame, places: DataFrame, deals: int) -> DataFrame:
-    """``doc`` and ``p`` of repeated strings among the open runs."""
+    """``doc``, ``sub`` and ``p`` of repeated strings among the open runs."""
     rows = texts.join(places.filter(F.exists("ps", lambda p: p.bitwiseAND(F.lit(3)) != SETTLED)),
-                      "id").select("id", "z", "ps")
+                      ["id", "sub"]).select("id", "sub", "z", "ps")
 
     def local(batches):
         import zstandard
         z = zstandard.ZstdDecompressor()
-        for part in slices(batches, 1):
-            rows = ((d, z.decompress(x), ps) for d, x, ps in
-                    zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+        for part in slices(batches, 2):
+            rows = ((d, u, z.decompress(x), ps) for d, u, x, ps in
+                    zip(*(part.column(i).to_pylist() for i in range(4)), strict=True))
             for cols in _open_batch(rows, deals):
                 if cols[-1] is None:
                     cols[-1] = pa.nulls(len(cols[0]), pa.binary())
@@ -390,44 +397,45 @@ def _repeated_strings(texts: DataFrame, places: DataFrame, deals: int) -> DataFr
             by_kind = _by_kind(deal)
             keys = []
             if 2 in by_kind:
-                yield _found(_column(by_kind[2], 4), _column(by_kind[2], 5))
+                yield _found(*(_column(by_kind[2], i) for i in (4, 6, 5)))
             if 1 in by_kind:
-                keys.append([_column(by_kind[1], i) for i in range(2, 6)])
+                keys.append([_column(by_kind[1], i) for i in range(2, 7)])
             if 0 in by_kind:
-                doc, p = _column(by_kind[0], 4), _column(by_kind[0], 5)
+                doc, p, sub = (_column(by_kind[0], i) for i in (4, 5, 6))
                 start, count, _, _ = _unpack(p)
                 length = count + LENGTH - 1
                 begin = np.cumsum(length) - length
                 step = _each(count)
-                k1, k2 = _string_keys(b"".join(by_kind[0].column(6).to_pylist()),
+                k1, k2 = _string_keys(b"".join(by_kind[0].column(7).to_pylist()),
                                       np.repeat(begin, count) + step)
                 keys.append([k1.view(np.int64), k2.view(np.int64), np.repeat(doc, count),
-                             np.repeat(start, count) + step])
+                             np.repeat(start, count) + step, np.repeat(sub, count)])
             if not keys:
                 continue
-            k1, k2, doc, place = (np.concatenate(c) for c in zip(*keys, strict=True))
-            order, _, later = _first_of([k1, k2], doc, place)
+            k1, k2, doc, place, sub = (np.concatenate(c) for c in zip(*keys, strict=True))
+            order, _, later = _first_of([k1, k2], doc, sub, place)
             if later.any():
-                yield _found(*_packed_runs(doc[order][later], place[order][later]))
+                yield _found(*_packed_runs(*(x[order][later] for x in (doc, sub, place))))
 
     return (rows.mapInArrow(local, _STRINGS).repartition("deal").sortWithinPartitions("deal")
-            .mapInArrow(judge, "doc long, p long"))
+            .mapInArrow(judge, FOUND))
 
 
 def _pack_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``z``, the compressed text (NULL stays NULL)."""
-    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("z"))
+    """``id``, ``sub`` (the text's hash) and ``z``, the compressed text."""
+    text = F.col(text_col).cast("string")
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("sub"), text.alias("z"))
 
     def run(batches):
         import zstandard
         z = zstandard.ZstdCompressor(level=3)
-        for b in slices(batches, 1):
+        for b in slices(batches, 2):
             out = [z.compress((t or "").encode("utf-8", "surrogatepass"))
-                   for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())],
-                                             names=["id", "z"])
+                   for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
+                                             names=["id", "sub", "z"])
 
-    return src.mapInArrow(run, "id long, z binary")
+    return src.mapInArrow(run, "id long, sub long, z binary")
 
 
 def merge(ps, size: int) -> list[tuple[int, int]]:
@@ -443,11 +451,11 @@ def merge(ps, size: int) -> list[tuple[int, int]]:
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` (long) and ``ps``: the packed repeated places of each document
-    that has any."""
+    """``id`` (long), ``sub`` (the text's hash) and ``ps``: the packed repeated
+    places of each document that has any."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = DEALS * partitions
-    places = (_places(df, id_col, text_col, deals).groupBy(F.col("doc").alias("id"))
+    places = (_places(df, id_col, text_col, deals).groupBy(F.col("doc").alias("id"), "sub")
               .agg(F.collect_list("p").alias("ps")))
     with Scratch(df.sparkSession) as tables:
         return _with_strings(df, tables.write(places), id_col, text_col, deals)
@@ -456,12 +464,12 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _with_strings(df, places, id_col, text_col, deals) -> DataFrame:
     """The settled places and those found among the open runs, by document."""
     texts = _pack_texts(df.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    strings = (_repeated_strings(texts, places, deals).groupBy(F.col("doc").alias("id"))
+    strings = (_repeated_strings(texts, places, deals).groupBy(F.col("doc").alias("id"), "sub")
                .agg(F.collect_list("p").alias("more")))
-    both = (places.select("id", F.filter("ps", lambda p: p.bitwiseAND(F.lit(3)) == SETTLED).alias("ps"))
-            .join(strings, "id", "full"))
+    both = (places.select("id", "sub", F.filter("ps", lambda p: p.bitwiseAND(F.lit(3)) == SETTLED).alias("ps"))
+            .join(strings, ["id", "sub"], "full"))
     none = F.array().cast("array<long>")
-    both = both.select("id", F.concat(F.coalesce("ps", none), F.coalesce("more", none)).alias("ps"))
+    both = both.select("id", "sub", F.concat(F.coalesce("ps", none), F.coalesce("more", none)).alias("ps"))
     return cut_lineage(both.filter(F.size("ps") > 0))
 
 
@@ -472,8 +480,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = _pack_texts(df.filter(F.col(id_col).isNotNull()), id_col, text_col)
     unknown = _pack_texts(df.filter(F.col(id_col).isNull()), id_col, text_col)
     none = F.lit(None).cast("array<long>")
-    rows = (known.join(found, "id", "left").select("id", "z", "ps")
-            .unionByName(unknown.withColumn("ps", none)))
+    rows = (known.join(found, ["id", "sub"], "left").select("id", "z", "ps")
+            .unionByName(unknown.select("id", "z", none.alias("ps"))))
 
     def run(batches):
         import zstandard
@@ -510,7 +518,8 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     names = [f"c{i}" for i in range(len(fields))]
     plain = docs.toDF(*names)
     key = F.col(names[docs.columns.index(id_col)])
-    joined = (plain.filter(key.isNotNull()).join(found, key.cast("long") == F.col("id"), "left")
+    same = (key.cast("long") == F.col("id")) & (F.xxhash64(F.col(names[at]).cast("string")) == F.col("sub"))
+    joined = (plain.filter(key.isNotNull()).join(found, same, "left")
               .select(*names, "ps")
               .unionByName(plain.filter(key.isNull())
                            .withColumn("ps", F.lit(None).cast("array<long>"))))
