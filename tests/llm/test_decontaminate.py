@@ -82,3 +82,27 @@ def test_close_items_by_difflib(spark):
     run = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
     assert dc.tile(x, y)[0][2] == run.size
     assert sum(t[2] for t in dc.tile(x, y)) == 59
+
+
+def test_item_ids_of_all_kinds(spark):
+    """NULL, int and string item ids, alone and mixed; a full copy never stays."""
+    a, b = prose(90, 40), prose(91, 40)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, prose(92, 60)), (4, a + " " + b)], "doc_id long, text string")
+    for kind, ids in (("int", (7, 8)), ("string", ("x", "y")), ("long", (None, 8)), ("int", (None, None)),
+                      ("date", (None, None))):
+        items = spark.createDataFrame([(ids[0], a), (ids[1], b)], f"item_id {kind}, text string")
+        found = {r.doc_id: r for r in dc.assess(docs, items).collect()}
+        listed = [i for i in ids if i is not None]
+        assert found[1].coverage == found[2].coverage == 1.0
+        assert found[4].leaked == listed and found[1].leaked == listed[:1] * (ids[0] is not None)
+        assert [r.doc_id for r in dc.keep_clean(docs, items).collect()] == [3]
+
+
+def test_repetitive_texts_cost_no_pairs():
+    """200,000 equal words against 2,000 of them, and mixed with others."""
+    one = np.uint64(12345)
+    tiles = dc.tile(np.full(200_000, one), np.full(2_000, one))
+    assert tiles == [(0, 0, 2000)]
+    doc = np.where(np.arange(200_000) % 7 == 6, np.arange(200_000).astype(np.uint64) + np.uint64(10 ** 9), one)
+    tiles = dc.tile(doc, np.full(2_000, one))
+    assert sum(k for *_, k in tiles) >= 1998 and {k for *_, k in tiles} <= {5, 6}

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.session import cut_lineage
 
@@ -44,49 +45,62 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def _common_runs(a, b, free_a, free_b, k: int):
-    """Places (i, j) where ``k`` unmarked tokens are equal, by rolling hashes."""
-    if len(a) < k or len(b) < k:
-        return np.zeros((0, 2), np.int64)
-    ok_a = np.convolve(free_a, np.ones(k, int), "valid") == k
-    ok_b = np.convolve(free_b, np.ones(k, int), "valid") == k
-    ia, ib = np.flatnonzero(ok_a), np.flatnonzero(ok_b)
-    ha, hb = rolling_hashes(a, k)[ia], rolling_hashes(b, k)[ib]
-    order = np.argsort(hb, kind="stable")
-    lo = np.searchsorted(hb[order], ha, "left")
-    n = np.searchsorted(hb[order], ha, "right") - lo
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.stack([np.repeat(ia, n), ib[order[np.repeat(lo, n) + step]]], 1)
+def _free_runs(x: np.ndarray, free: np.ndarray, k: int):
+    """Places of ``k`` unmarked tokens, and the rolling hashes there."""
+    if len(x) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    marked = np.r_[0, np.cumsum(~free)]
+    at = np.flatnonzero(marked[k:] == marked[:-k])
+    return at, rolling_hashes(x, k)[at]
+
+
+def _mark(doc, item, free_doc, free_item, k: int) -> list[tuple[int, int, int]]:
+    """Marks matches of ``k`` tokens, none of which is longer: by place in the
+    item, then in the document.  Places in the document are taken up in order
+    for each hash, so that equal passages cost no pairs."""
+    at_doc, hash_doc = _free_runs(doc, free_doc, k)
+    at_item, hash_item = _free_runs(item, free_item, k)
+    order = np.argsort(hash_doc, kind="stable")
+    at_doc, hash_doc = at_doc[order], hash_doc[order]
+    low = np.searchsorted(hash_doc, hash_item, "left")
+    high = np.searchsorted(hash_doc, hash_item, "right")
+    some = high > low
+    passed: dict[int, int] = {}  # of each hash, places before this one are marked
+    tiles = []
+    # tiles have k tokens or more: one inside a run would cover one of its ends
+    for j, lo, hi in zip(at_item[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+        if not (free_item[j] and free_item[j + k - 1]):
+            continue
+        p = passed.get(lo, lo)
+        while p < hi and not (free_doc[at_doc[p]] and free_doc[at_doc[p] + k - 1]):
+            p += 1
+        passed[lo] = p
+        for i in at_doc[p:hi].tolist():
+            if free_doc[i] and free_doc[i + k - 1] and np.array_equal(doc[i:i + k], item[j:j + k]):
+                free_doc[i:i + k] = free_item[j:j + k] = False
+                tiles.append((i, j, k))
+                break
+    return tiles
 
 
 def tile(doc: np.ndarray, item: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """Tiles (place in ``doc``, place in ``item``, tokens) in the order they
     are marked: longest first, then by place in the item and the document."""
     shortest = max(1, min(shortest, len(item)))
-    free_doc, free_item = np.ones(len(doc), int), np.ones(len(item), int)
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+
+    def matches(k: int) -> bool:
+        return bool(np.isin(_free_runs(item, free_item, k)[1], _free_runs(doc, free_doc, k)[1]).any())
+
     tiles: list[tuple[int, int, int]] = []
     longest = len(item)
-    while longest >= shortest:
-        # the greatest length that still matches, by halving
+    while longest >= shortest and matches(shortest):
         low, high = shortest, longest
-        if not len(_common_runs(doc, item, free_doc, free_item, low)):
-            break
-        while low < high:
+        while low < high:  # the greatest length that still matches
             mid = (low + high + 1) // 2
-            if len(_common_runs(doc, item, free_doc, free_item, mid)):
-                low = mid
-            else:
-                high = mid - 1
-        found = _common_runs(doc, item, free_doc, free_item, low)
-        for i, j in sorted(found.tolist(), key=lambda x: (x[1], x[0])):
-            if (free_doc[i:i + low].all() and free_item[j:j + low].all()
-                    and np.array_equal(doc[i:i + low], item[j:j + low])):
-                free_doc[i:i + low] = 0
-                free_item[j:j + low] = 0
-                tiles.append((i, j, low))
-        longest = low
-        if not len(_common_runs(doc, item, free_doc, free_item, low)):
-            longest = low - 1
+            low, high = (mid, high) if matches(mid) else (low, mid - 1)
+        tiles += _mark(doc, item, free_doc, free_item, low)
+        longest = low if matches(low) else low - 1
     return tiles
 
 
@@ -152,6 +166,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     kind = items.schema[item_col].dataType
+    item_type = to_arrow_type(kind)
     schema = T.StructType([
         T.StructField("id", src.schema["id"].dataType), T.StructField("item", kind),
         T.StructField("n_tiles", T.LongType()), T.StructField("n_tiled", T.LongType()),
@@ -176,7 +191,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(ids, pa.int64())),
                      *(pa.array(c, k) for c, k in zip(
-                         cols, (None if rows else pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+                         cols, (item_type, pa.int64(), pa.int64(), pa.int64(),
                                 pa.float64()), strict=True))], names=schema.names)
 
         out = out.unionByName(src.mapInArrow(run, schema))
@@ -188,8 +203,9 @@ def assess(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
            shortest: int = SHORTEST, threshold: float = THRESHOLD,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document that shares a seed with an item: ``n_items``, ``best_item``
-    (highest coverage, then smallest id), ``coverage``, ``leaked`` (sorted
-    items at or over the threshold)."""
+    (highest coverage, then smallest id, NULL first), ``coverage``,
+    ``n_leaked`` (items at or over the threshold) and ``leaked`` (their ids,
+    sorted; a NULL id counts in ``n_leaked`` but cannot be listed)."""
     pairs = overlaps(docs, items, id_col, text_col, item_col, item_text_col, seed, shortest,
                      block_bytes).filter("id IS NOT NULL")
     # rows that repeat an id: the item's best coverage counts
@@ -197,17 +213,18 @@ def assess(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     best = F.min(F.struct((-F.col("coverage")).alias("minus"), "item"))
     over = F.sort_array(F.collect_list(F.when(F.col("coverage") >= threshold, F.col("item"))))
     out = per_item.groupBy("id").agg(F.count(F.lit(1)).alias("n_items"), best.alias("best"),
+                                     F.count_if(F.col("coverage") >= threshold).alias("n_leaked"),
                                      over.alias("leaked"))
     return out.select(F.col("id").alias(id_col), "n_items",
                       F.col("best.item").alias("best_item"),
-                      (-F.col("best.minus")).alias("coverage"), "leaked")
+                      (-F.col("best.minus")).alias("coverage"), "n_leaked", "leaked")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
     """``docs`` without the rows that leak an item; NULL ids stay."""
     found = assess(docs, items, id_col, text_col, **options)
-    gone = cut_lineage(found.filter(F.size("leaked") > 0).select(id_col))
+    gone = cut_lineage(found.filter("n_leaked > 0").select(id_col))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
@@ -220,5 +237,5 @@ def op10_string_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id").join(found, "doc_id", "left")
     return rows.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "best_item",
                        F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
-                       F.coalesce("leaked", F.array().cast("array<bigint>")).alias("leaked"),
-                       (F.coalesce(F.size("leaked"), F.lit(0)) <= 0).alias("kept"))
+                       F.coalesce("leaked", F.array().cast(found.schema["leaked"].dataType)).alias("leaked"),
+                       (F.coalesce("n_leaked", F.lit(0)) == 0).alias("kept"))
