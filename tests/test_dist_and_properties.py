@@ -78,17 +78,6 @@ def test_cpf_labels_partition_ids(spark):
     assert len(labels - {-1}) >= 3
 
 
-def test_cpf_distributed_rounds_match_local(spark):
-    v = _blobs(spark, 2)
-    edges, mutual, nodes = cpf.build_graph(v, 5)
-    par = cpf.denser_parent(v, edges, nodes)
-    nodes_p = cpf.peak_score(nodes.join(par, "id", "left"))
-    a = sorted(r.id for r in cpf.select_centres(nodes_p, mutual, 0.4, 1.0, 2).collect())
-    b = sorted(r.id for r in cpf.select_centres(nodes_p, mutual, 0.4, 1.0, 2,
-                                                local_max=0).collect())
-    assert a == b
-
-
 def test_mean_shift_centres_apart_and_all_labelled(spark):
     v = _blobs(spark)
     bw = meanshift.estimate_bandwidth(v, 0.2, 50_000)

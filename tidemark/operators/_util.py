@@ -43,3 +43,34 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         F.round(F.col(f.name), digits).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
         for f in df.schema.fields])
+
+
+# Rows of one key that a join may bring into one task.
+ROWS_OF_KEY = 1_000_000
+
+
+class Spread:
+    """Joins on a key of which one value may hold most rows.
+
+    Values with more than ``rows`` rows of ``df`` are counted (at most
+    ``len(df) / rows`` of them, so their list is small beside the table) and
+    dealt over as many salts as they have multiples of ``rows``; all other
+    values have one.
+    """
+
+    def __init__(self, df: DataFrame, key: str, rows: int = ROWS_OF_KEY):
+        self.key = key
+        self.heavy = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+                      .select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias("__salts")))
+
+    def _salts(self, df: DataFrame) -> DataFrame:
+        return df.join(self.heavy, self.key, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
+
+    def join(self, big: DataFrame, small: DataFrame, by: str, on: Sequence[str] = (),
+             how: str = "inner") -> DataFrame:
+        """``big`` joined with ``small`` on the key (and ``on``); the rows of a
+        heavy value are dealt by the column ``by`` of ``big``."""
+        big = self._salts(big).withColumn("__salt", F.pmod(F.xxhash64(by), F.col("__salts"))).drop("__salts")
+        small = self._salts(small).withColumn(
+            "__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+        return big.join(small, [self.key, "__salt", *on], how).drop("__salt")

@@ -43,7 +43,7 @@ def global_rank(df: DataFrame, order_by: Sequence[str], rank_col: str = "rank",
         offsets[pid] = acc
         acc += counts[pid]
     off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) \
-        if offsets else F.create_map()
+        if offsets else F.lit(None).cast("map<int,bigint>")
     # position inside the partition = id minus the partition's first id
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return (ranged.withColumn(rank_col, (off_map[F.col("__pid")] + local).cast("long"))
