@@ -55,13 +55,15 @@ class Spread:
     Values with more than ``rows`` rows of ``df`` are counted (at most
     ``len(df) / rows`` of them, so their list is small beside the table) and
     dealt over as many salts as they have multiples of ``rows``; all other
-    values have one.
+    values have one.  With ``total`` (rows of ``df``, where known) of ``rows``
+    or less there is none to count.
     """
 
-    def __init__(self, df: DataFrame, key: str, rows: int = ROWS_OF_KEY):
-        self.key = key
-        self.heavy = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
-                      .select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias("__salts")))
+    def __init__(self, df: DataFrame, key: str, rows: int = ROWS_OF_KEY, total: int | None = None):
+        self.key, self.heavy = key, None
+        if total is None or total > rows:
+            self.heavy = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows)
+                          .select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias("__salts")))
 
     def _salts(self, df: DataFrame) -> DataFrame:
         return df.join(self.heavy, self.key, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
@@ -70,6 +72,8 @@ class Spread:
              how: str = "inner") -> DataFrame:
         """``big`` joined with ``small`` on the key (and ``on``); the rows of a
         heavy value are dealt by the column ``by`` of ``big``."""
+        if self.heavy is None:
+            return big.join(small, [self.key, *on], how)
         big = self._salts(big).withColumn("__salt", F.pmod(F.xxhash64(by), F.col("__salts"))).drop("__salts")
         small = self._salts(small).withColumn(
             "__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")

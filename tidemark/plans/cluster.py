@@ -105,9 +105,7 @@ def graph_components(spark, sf_dir):
     return graph.component_outliers(comps, 1)
 
 
-@register("denser_parent", f"""
-WITH RECURSIVE {VEC_CTE},
-nodes AS (SELECT id, component, knn_radius FROM comps JOIN radius USING (id)
+PARENT_CTE = """nodes AS (SELECT id, component, knn_radius FROM comps JOIN radius USING (id)
           WHERE component IS NOT NULL),
 cand AS (SELECT p.id, q.id AS qid, list_distance(pv.vec, qv.vec) AS dist
          FROM nodes p JOIN nodes q ON p.component = q.component AND q.knn_radius < p.knn_radius
@@ -123,7 +121,12 @@ rest AS (SELECT n.id, r.root FROM nodes n JOIN croot r USING (component)
 par AS (SELECT * FROM best
         UNION ALL SELECT id, id, CAST('inf' AS DOUBLE) FROM rest WHERE id = root
         UNION ALL SELECT rest.id, root, list_distance(a.vec, b.vec) FROM rest
-          JOIN v a ON a.id = rest.id JOIN v b ON b.id = rest.root WHERE rest.id <> root)
+          JOIN v a ON a.id = rest.id JOIN v b ON b.id = rest.root WHERE rest.id <> root)"""
+
+
+@register("denser_parent", f"""
+WITH RECURSIVE {VEC_CTE},
+{PARENT_CTE}
 SELECT n.id, n.component, round(n.knn_radius, 6) AS knn_radius, par.parent,
        round(par.best_distance, 6) AS best_distance,
        round(CASE WHEN n.knn_radius = 0 THEN CAST('inf' AS DOUBLE)
@@ -200,13 +203,71 @@ def remove_duplicate_vectors(spark, sf_dir):
     return knn.remove_duplicates(vectors(spark, sf_dir)).select("id")
 
 
-@register("cpf_clusters")
+def _fit_ctes(rho: float, alpha: float) -> str:
+    """C4-C7 in SQL after ``VEC_CTE``, ending in ``labels (id, label)``: every
+    candidate's piece is searched by itself, whether it is ever tested or not."""
+    return f"""{PARENT_CTE},
+scored AS (SELECT n.id, n.component, n.knn_radius AS r, par.parent,
+                  CASE WHEN n.knn_radius = 0 THEN CAST('inf' AS DOUBLE)
+                       ELSE par.best_distance / n.knn_radius END AS peak
+           FROM nodes n JOIN par USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY peak DESC, id) - 1 AS pos FROM scored),
+cuts AS (SELECT *, CASE WHEN pos > 0 THEN r / {alpha} ELSE CAST('inf' AS DOUBLE) END AS own,
+                CASE WHEN r > 0 THEN r / pow({rho}, 1.0 / (SELECT max(len(vec)) FROM v)) ELSE r END AS reach
+         FROM ranked),
+trial AS (SELECT *, min(own) OVER w AS cut, min(own) OVER b AS cut_before,
+                pos > 0 AND r > max(r) OVER b AS tops, peak = lag(peak) OVER w AS ties
+         FROM cuts WINDOW w AS (PARTITION BY component ORDER BY pos),
+              b AS (PARTITION BY component ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+piece(cid, id) AS (
+  SELECT id, id FROM trial WHERE pos > 0
+  UNION SELECT p.cid, m.dst FROM piece p JOIN trial c ON c.id = p.cid JOIN mutual m ON m.src = p.id
+        JOIN scored s ON s.id = m.dst
+        WHERE m.dist <= c.cut AND CASE WHEN c.r > 0 THEN s.r < c.reach ELSE s.r <= c.reach END),
+level(cid, id) AS (
+  SELECT id, id FROM trial WHERE tops
+  UNION SELECT l.cid, m.dst FROM level l JOIN trial c ON c.id = l.cid JOIN mutual m ON m.src = l.id
+        JOIN scored s ON s.id = m.dst WHERE m.dist <= c.cut_before AND s.r <= c.r),
+refused AS (
+  SELECT DISTINCT c.component, c.pos FROM piece p JOIN trial c ON c.id = p.cid
+  JOIN trial o ON o.id = p.id AND o.pos < c.pos WHERE NOT c.ties
+  UNION SELECT c.component, c.pos FROM trial c WHERE tops
+    AND (SELECT count(*) FROM level l WHERE l.cid = c.id)
+        = (SELECT count(*) FROM scored s WHERE s.component = c.component AND s.r <= c.r)),
+stops AS (SELECT component, min(pos) AS stop FROM refused GROUP BY 1),
+centres AS (SELECT c.id FROM trial c LEFT JOIN stops s USING (component) WHERE s.stop IS NULL OR c.pos < s.stop),
+up(id, top) AS (
+  SELECT id, id FROM scored
+  UNION SELECT u.id, s.parent FROM up u JOIN scored s ON s.id = u.top
+        WHERE u.top NOT IN (SELECT id FROM centres) AND s.parent <> u.top),
+ends AS (SELECT u.id, u.top AS root FROM up u JOIN scored s ON s.id = u.top
+         WHERE u.top IN (SELECT id FROM centres) OR s.parent = u.top),
+labels AS (SELECT v.id, CAST(coalesce(dense_rank() OVER (ORDER BY s.component, e.root) - 1, -1) AS INTEGER) AS label
+           FROM ends e JOIN scored s ON s.id = e.root JOIN v ON v.id = e.id
+           UNION ALL SELECT id, -1 FROM v WHERE id NOT IN (SELECT id FROM ends))"""
+
+
+@register("cpf_clusters", f"""
+WITH RECURSIVE {VEC_CTE},
+{_fit_ctes(0.4, 1.0)}
+SELECT id, label FROM labels
+""")
 def cpf_clusters(spark, sf_dir):
     """C6 + C7: centres by the component-wise peak rule, labels by parent
     chains (rho 0.4, alpha 1)."""
     return cpf.cpf_fit(vectors(spark, sf_dir), [K], [0.4], [1.0]).select("id", "label")
 
 
+@register("cpf_clusters_cut", f"""
+WITH RECURSIVE {VEC_CTE},
+{_fit_ctes(0.9, 1.05)}
+SELECT id, label FROM labels
+""")
+def cpf_clusters_cut(spark, sf_dir):
+    """C6 + C7 with a stricter cut of edges (rho 0.9, alpha 1.05)."""
+    return cpf.cpf_fit(vectors(spark, sf_dir), [K], [0.9], [1.05]).select("id", "label")
+
+
 @register("cpf_grid_merge")
 def cpf_grid_merge(spark, sf_dir):
     """C10 + C8 + C9: labels for a parameter grid with cluster merging."""

@@ -99,6 +99,15 @@ def cut_lineage_path(df):
     return spark.read.parquet(path), path
 
 
+def cut_lineage_counted(df, **figures):
+    """``cut_lineage_path`` that also returns the values of aggregate columns
+    over the written rows, taken while they are written."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    table, path = cut_lineage_path(df.observe(seen, *[c.alias(n) for n, c in figures.items()]))
+    return table, path, seen.get
+
+
 def leaves_one_table(operator):
     """Decorator for an operator whose first argument and result are
     DataFrames: the result is written, and every other table that the
