@@ -1,12 +1,13 @@
 """k-nearest-neighbour graph.
 
-The exact graph is a blocked self join: points are hashed into ``B``
-blocks, every (query block, reference block) pair is one ``cogroup`` task
-that computes its distance matrix in NumPy chunks and keeps a partial top-k
-per query point, and a second aggregate merges the ``B`` partial lists.
-No task holds more than two blocks, and the block size is bounded
-(``block_rows``), whatever the table size.  The work is quadratic, as exact
-kNN is, but spread over B^2 bounded tasks.
+The exact graph is a join of blocks of near points (``cells``): a point is
+first compared with its own block, which bounds the distance of its k-th
+neighbour, then with the blocks that the triangle inequality leaves within
+that bound.  Every pair of blocks is one ``cogroup`` task that computes its
+distance matrix in NumPy chunks; no task holds more than two blocks of about
+``block_rows`` points.  Where points lie in clusters or in few dimensions
+most pairs of blocks are never looked at; points without any structure in
+many dimensions are all compared, as every exact method must.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import cells
+from tidemark.operators.cells import METRICS, distances
 from tidemark.session import cut_lineage, leaves_one_table
 
 EDGE_SCHEMA = T.StructType([
@@ -35,23 +38,9 @@ def as_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         .filter(F.col("vec").isNotNull())
 
 
-def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Distance matrix of two sets of vectors."""
-    if metric == "cosine":
-        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return 1.0 - np.nan_to_num(q @ r.T / norms)
-    diff = q[:, None, :] - r[None, :, :]
-    if metric == "euclidean":
-        return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    diff = np.abs(diff)
-    return diff.sum(2) if metric == "manhattan" else diff.max(2)
-
-
-METRICS = ("euclidean", "manhattan", "chebyshev", "cosine")
-
-
 def _pair_topk(k: int, chunk: int = 32, metric: str = "euclidean"):
+    """The ``k`` nearest of ``r`` for every row of ``q``, no farther than its
+    ``bound`` where it has one."""
     def fn(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"src": pd.Series([], dtype="int64"),
@@ -61,19 +50,19 @@ def _pair_topk(k: int, chunk: int = 32, metric: str = "euclidean"):
         rv = np.stack(r["vec"].to_numpy()).astype(np.float64)
         qid = q["id"].to_numpy(dtype=np.int64)
         rid = r["id"].to_numpy(dtype=np.int64)
+        bound = q["bound"].to_numpy(dtype=float) if "bound" in q else np.full(len(qid), np.inf)
         kk = min(k, len(rid))
         srcs, dsts, dists = [], [], []
         for s in range(0, len(qid), chunk):
-            d = _distances(qv[s:s + chunk], rv, metric)
+            d = distances(qv[s:s + chunk], rv, metric)
             # order by (distance, id): lexsort on the id then the distance
             for i in range(d.shape[0]):
                 row = d[i]
+                cut = bound[s + i] * (1 + cells.SLACK)
                 if kk < len(row):
                     part = np.argpartition(row, kk - 1)[:kk]
-                    cut = row[part].max()
-                    cand = np.nonzero(row <= cut)[0]     # keep ties at the cut
-                else:
-                    cand = np.arange(len(row))
+                    cut = min(cut, row[part].max())
+                cand = np.nonzero(row <= cut)[0]     # keep ties at the cut
                 order = np.lexsort((rid[cand], row[cand]))[:kk]
                 sel = cand[order]
                 srcs.append(np.full(len(sel), qid[s + i], dtype=np.int64))
@@ -84,6 +73,24 @@ def _pair_topk(k: int, chunk: int = 32, metric: str = "euclidean"):
     return fn
 
 
+def _nearest(partial: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each point's partial lists, with their ranks."""
+    order = Window.partitionBy("src").orderBy("dist", "dst")
+    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def block_pairs(points: DataFrame, own: DataFrame, k: int, metric: str) -> DataFrame:
+    """``(qb, rb)``: other blocks that may hold one of the ``k`` nearest of a
+    point of ``qb``; ``own`` are the lists found in the points' own blocks."""
+    bounds = (own.groupBy("src").agg(F.max("dist").alias("d"), F.count(F.lit(1)).alias("n"))
+              .select(F.col("src").alias("id"), F.when(F.col("n") == k, F.col("d")).alias("bound")))
+    reach = (points.join(bounds, "id").groupBy("block")
+             .agg(F.when(F.count(F.when(F.col("bound").isNull(), 1)) == 0, F.max("bound")).alias("reach")))
+    balls = cut_lineage(cells.balls(points, metric).join(reach, "block"))
+    return cells.near_pairs(balls, balls.drop("reach"), metric, least=k)
+
+
+@leaves_one_table
 def knn_edges(vectors: DataFrame, k: int, block_rows: int = 2000,
               n_rows: int | None = None, metric: str = "euclidean") -> DataFrame:
     """The k nearest neighbours of every point, the point itself
@@ -94,29 +101,26 @@ def knn_edges(vectors: DataFrame, k: int, block_rows: int = 2000,
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    n = n_rows if n_rows is not None else vectors.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    blk = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    q = vectors.withColumn("qb", blk).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # names of its own: both sides come from one table, and columns of the
-    # same name would be pruned from the second one
-    r = vectors.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), blk.alias("rb")) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    points, n_blocks = cells.blocks(vectors, block_rows, metric, n_rows)
     search = _pair_topk(k, metric=metric)
+    own = points.groupBy("block").applyInPandas(
+        lambda p: search(p[["id", "vec"]], p[["id", "vec"]]), EDGE_SCHEMA)
+    if n_blocks == 1:
+        return _nearest(own, k)
+    own = cut_lineage(own)
+    pairs = cut_lineage(block_pairs(points, own, k, metric))
+    bounds = (own.groupBy("src").agg(F.max("dist").alias("d"), F.count(F.lit(1)).alias("n"))
+              .select(F.col("src").alias("id"), F.when(F.col("n") == k, F.col("d")).alias("bound")))
+    q = points.join(bounds, "id").withColumnRenamed("block", "qb").join(pairs, "qb")
+    r = points.select(F.col("id").alias("rid"), F.col("vec").alias("rvec"), F.col("block").alias("rb")).join(
+        pairs, "rb")
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return search(a[["id", "vec"]], b[["rid", "rvec"]].set_axis(["id", "vec"], axis=1))
+        return search(a[["id", "vec", "bound"]].fillna({"bound": np.inf}),
+                      b[["rid", "rvec"]].set_axis(["id", "vec"], axis=1))
 
-    partial = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(pair, EDGE_SCHEMA)
-    # each src has at most blocks * k partial candidates: bounded list
-    top = (partial.groupBy("src")
-           .agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "dst"))), 1, k).alias("nb")))
-    merged = top.select("src", F.explode("nb").alias("e")).select(
-        "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"))
-    # k rows per src: a bounded window
-    return merged.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst")))
+    other = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(pair, EDGE_SCHEMA)
+    return _nearest(own.unionByName(other), k)
 
 
 def knn_radius(edges: DataFrame, k: int) -> DataFrame:
