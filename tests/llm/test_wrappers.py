@@ -140,3 +140,20 @@ def test_unmarked_constants(spark):
             assert text[0] == "News"
         want.append((i, "\n".join(text)))
     assert got == sorted(want)
+
+
+def test_misleading_class_words():
+    """Names that only hold a mark among words of a subject mark nothing."""
+    text = lambda html: w.main_text(html, None)
+    for tag in ('<div class="article-body social-issues">', '<div class="post related-topic">', '<p id="search">',
+                '<div role="main" class="comment-free">', '<div class="banner-less">', '<section id="share-prices">',
+                '<h2 id="comments">', '<div class="shareholder news">', "<div data-class='ad'>"):
+        end = f"</{tag[1:].split()[0]}>"
+        assert text(f"<article>{tag}body text{end}</article>") == "body text", tag
+        assert text(f"{tag}body text{end}<p>more</p>") == "body text\nmore", tag
+    for tag in ('<div class="ad-box-top">', '<div class="shareBar">', '<div id="comments">', '<div class="x ad-2">',
+                '<ul class="related-posts">', '<div role="search">', '<div class="cookie_banner">'):
+        end = f"</{tag[1:].split()[0]}>"
+        assert text(f"<article>{tag}other{end}<p>body</p></article>") == "body", tag
+    assert text('<main class="comments">x</main><article class="comment-box">y</article><p>body</p>') == "body"
+    assert text('<article class="sidebar">body</article>') == "body"

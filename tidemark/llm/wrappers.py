@@ -90,6 +90,12 @@ MARKS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored
                   "newsletter subscribe subscription signup login share sharing social related "
                   "recommended comment comments disqus reply replies respond widget toolbar "
                   "pagination pager complementary contentinfo search".split())
+COMMENTS = frozenset(("comment", "comments", "disqus", "reply", "replies", "respond"))
+# Words that name no subject beside a mark in one compound (share-bar, ad-box-top).
+PLAIN = frozenset("area bar block body bottom box btn button buttons col column container content "
+                  "desktop el form global group head holder icon icons inner item items js layer left "
+                  "link links list main mobile outer page panel post posts right row section site small "
+                  "slot top ui unit user wrap wrapper zone".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -99,19 +105,32 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
     re.S | re.I)
-MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+MARKED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _tag(name: str, attrs: str) -> str:
-    """Start tag as a token; ``!`` stands behind the ones marked boilerplate."""
-    if attrs and (name not in ROOTS or "comment" in attrs.lower()):
-        words = {w for m in MARKED.finditer(attrs)
-                 for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        if words & MARKS or HIDDEN.search(attrs):
-            return name + "!"
-    return name
+    """Start tag as a token; ``!`` stands behind the ones marked boilerplate.
+
+    A class, id or role marks an element when all words of one of its names
+    are marks or plain (``ad``, ``share-bar``); a name with any other word in
+    it tells of a subject (``social-issues``, ``comment-free``).  The id of a
+    block of text is the target of a link and marks nothing; of an article or
+    main element only names of comments do.
+    """
+    if not attrs:
+        return name
+    marks = COMMENTS if name in ROOTS else MARKS
+    for m in MARKED.finditer(attrs):
+        if m[1].lower() == "id" and name in TEXT_BLOCKS:
+            continue
+        for one in (m[2] or m[3] or m[4] or "").split():
+            words = set(WORD.findall(CAMEL.sub("-", one).lower()))
+            if words & marks and words <= MARKS | PLAIN:
+                return name + "!"
+    return name + "!" if HIDDEN.search(attrs) and name not in ROOTS else name
 
 
 def stream(html: str) -> tuple[tuple[str, ...], list[list[str]]]:
