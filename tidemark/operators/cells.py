@@ -37,7 +37,7 @@ def distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return diff.sum(2) if metric == "manhattan" else diff.max(2)
 
 
-def _in_chunks(q: np.ndarray, r: np.ndarray, metric: str, cells_at_once: int = 1 << 21):
+def in_chunks(q: np.ndarray, r: np.ndarray, metric: str, cells_at_once: int = 1 << 21):
     """Distance matrices of pieces of ``q``, each of bounded size."""
     step = max(1, cells_at_once // max(1, r.size))
     for lo in range(0, len(q), step):
@@ -58,7 +58,7 @@ def blocks(vectors: DataFrame, block_rows: int = 2000, metric: str = "euclidean"
     def assign(batches):
         for b in batches:
             v = np.stack(b["vec"].to_numpy()).astype(float)
-            cell = np.concatenate([d.argmin(1) for _, d in _in_chunks(v, pivots.value, metric)])
+            cell = np.concatenate([d.argmin(1) for _, d in in_chunks(v, pivots.value, metric)])
             yield b.assign(cell=cell.astype(np.int64))
 
     schema = vectors.withColumn("cell", F.lit(0).cast("long")).schema
@@ -76,7 +76,7 @@ def balls(points: DataFrame, metric: str = "euclidean") -> DataFrame:
         v = np.stack(p["vec"].to_numpy()).astype(float)
         centre = v.mean(0)
         return pd.DataFrame({"block": p["block"].iloc[:1], "centre": [centre],
-                             "radius": [max(d.max() for _, d in _in_chunks(v, centre[None], metric))],
+                             "radius": [max(d.max() for _, d in in_chunks(v, centre[None], metric))],
                              "n": [len(v)]})
     return points.select("block", "vec").groupBy("block").applyInPandas(
         ball, "block long, centre array<double>, radius double, n long")
@@ -103,7 +103,7 @@ def near_pairs(a: DataFrame, b: DataFrame, metric: str = "euclidean", least: int
                      F.col("radius").alias("rradius"), F.col("n").alias("rn"), piece.alias("y")).withColumn("x", every)
 
     def matrix(p, q):
-        d = np.concatenate([m for _, m in _in_chunks(np.stack(p["centre"].to_numpy()),
+        d = np.concatenate([m for _, m in in_chunks(np.stack(p["centre"].to_numpy()),
                                                      np.stack(q["rcentre"].to_numpy()), metric)])
         return d, p["radius"].to_numpy()[:, None] + q["rradius"].to_numpy()[None, :]
 

@@ -1,24 +1,27 @@
 """Bandwidth estimate and mean shift with bin seeding.
 
-Both keep the point table distributed and move only bounded tables: the
-bandwidth sample (at most ``n_samples`` rows, the operator's parameter) and
-the seed / centre set (counted before it is broadcast).  A mean-shift round
-is one map-side pass: every task sums, per seed, the points within the
-bandwidth (NumPy on Arrow batches) and a grouped sum merges the partial
-sums; converged seeds leave the set.
+The bandwidth sample (at most ``n_samples`` rows, the operator's parameter) is
+broadcast.  Mean shift keeps points, seeds, means and centres in tables: seeds
+meet blocks of near points whose balls lie in their reach, a round is one
+table, and the centres are an ordered independent set found in rounds.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.operators._util import MAX_BROADCAST_ROWS, bounded_rows
+from tidemark.functions.exprs import euclidean
+from tidemark.operators.cells import SLACK, in_chunks, balls, blocks, near_pairs
 from tidemark.operators.clean import sample_n
-from tidemark.session import cut_lineage
+from tidemark.operators.rank import global_rank
+from tidemark.session import cut_lineage, cut_lineage_counted, cut_lineage_path, drop_table
+
+PIECE = 1024      # seeds, means or balls of one side that a task compares
 
 
 def _matrix(pdf: pd.DataFrame, col: str = "vec") -> np.ndarray:
@@ -72,34 +75,136 @@ def bin_seeds(vectors: DataFrame, bandwidth: float, min_bin_freq: int = 1) -> Da
         F.transform("cell", lambda c: c * F.lit(bandwidth)).alias("seed"))
 
 
-def _shift_sums(seeds: np.ndarray, bandwidth: float, chunk: int = 512):
-    """Per-task sums of the points in each seed's ball: one row per seed and
-    task, whatever the number of batches; temporaries of chunk x chunk x dims."""
-    r2 = bandwidth * bandwidth
-    d = seeds.shape[1]
+def _pieces(df: DataFrame, key: str, n: int, name: str, other: str, n_other: int) -> DataFrame:
+    """``df`` dealt over its pieces (``name``), once for each piece of the
+    other side (``other``)."""
+    size = lambda m: max(1, math.ceil(m / PIECE))
+    return (df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(size(n))).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(size(n_other) - 1)))))
 
-    def fn(it):
-        sums = np.zeros_like(seeds)
-        cnt = np.zeros(len(seeds), dtype=np.int64)
-        for pdf in it:
-            x = _matrix(pdf)
-            for s in range(0, len(x), chunk):
-                xc = x[s:s + chunk]
-                for t in range(0, len(seeds), chunk):
-                    sc = seeds[t:t + chunk]
-                    d2 = ((xc[:, None, :] - sc[None, :, :]) ** 2).sum(-1)
-                    mask = d2 <= r2
-                    sums[t:t + chunk] += mask.T.astype(np.float64) @ xc
-                    cnt[t:t + chunk] += mask.sum(0)
-        cols = {"seed": np.arange(len(seeds), dtype=np.int64), "cnt": cnt}
-        for j in range(d):
-            cols[f"s{j}"] = sums[:, j]
-        yield pd.DataFrame(cols)
+
+def _touch(bandwidth: float):
+    """Balls against seeds: one row with the sums of the blocks that lie in a
+    seed's reach altogether, and a row for each block that may do in part."""
+    def fn(seeds: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(seeds) and len(balls):
+            centre, total = _matrix(balls, "centre"), _matrix(balls, "total")
+            radius, n = balls["radius"].to_numpy(), balls["n"].to_numpy()
+            for sid, x, vec in zip(seeds["sid"], seeds["x"], seeds["vec"], strict=True):
+                d = np.sqrt(((centre - vec) ** 2).sum(1))
+                inside = (d + radius) * (1 + SLACK) < bandwidth
+                if inside.any():
+                    rows.append((sid, x, None, int(n[inside].sum()), total[inside].sum(0), None))
+                part = ~inside & (d * (1 - SLACK) - radius <= bandwidth)
+                rows += [(sid, x, b, None, None, vec) for b in balls["block"].to_numpy()[part]]
+        return pd.DataFrame(rows, columns=["sid", "x", "block", "cnt", "total", "vec"]).astype(
+            {"block": "Int64", "cnt": "Int64"})
+    return fn
+
+
+def _in_reach(bandwidth: float):
+    """Sums of a block's points in reach of each seed."""
+    def fn(seeds: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(seeds) and len(points):
+            x = _matrix(points)
+            for sid, vec in zip(seeds["sid"], seeds["vec"], strict=True):
+                near = ((x - vec) ** 2).sum(1) <= bandwidth * bandwidth
+                if near.any():
+                    rows.append((sid, int(near.sum()), x[near].sum(0)))
+        return pd.DataFrame(rows, columns=["sid", "cnt", "total"])
+    return fn
+
+
+def _shifted(seeds: DataFrame, n_seeds: int, points: DataFrame, balls: DataFrame, n_balls: int,
+             bandwidth: float, dims: int) -> DataFrame:
+    """``(sid, cnt, mean)`` of the points in reach of each seed that has any."""
+    left = _pieces(seeds.select("sid", "vec"), "sid", n_seeds, "x", "y", n_balls)
+    right = _pieces(balls, "block", n_balls, "y", "x", n_seeds)
+    touch = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
+        _touch(bandwidth), "sid long, x int, block long, cnt long, total array<double>, vec array<double>")
+    part = touch.filter("block IS NOT NULL").select("sid", F.col("x").alias("sx"), F.col("block").alias("sblock"), "vec")
+    at = points
+    if n_seeds > PIECE:
+        at = points.join(part.select(F.col("sblock").alias("block"), F.col("sx").alias("x")).distinct(), "block")
+    else:
+        at = points.withColumn("x", F.lit(0))
+    sums = part.groupBy("sblock", "sx").cogroup(at.groupBy("block", "x")).applyInPandas(
+        _in_reach(bandwidth), "sid long, cnt long, total array<double>")
+    both = sums.unionByName(touch.filter("block IS NULL").select("sid", "cnt", "total"))
+    total = both.groupBy("sid").agg(F.sum("cnt").alias("cnt"), *[
+        F.sum(F.col("total")[j]).alias(f"s{j}") for j in range(dims)])
+    return total.select("sid", "cnt", F.array(*[F.col(f"s{j}") / F.col("cnt") for j in range(dims)]).alias("mean"))
+
+
+def _least_near(bandwidth: float):
+    """The smallest rank of the others' rows within the bandwidth."""
+    def fn(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            x, rank = _matrix(b, "rvec"), b["rrank"].to_numpy()
+            for r, vec in zip(a["rank"], a["vec"], strict=True):
+                near = np.sqrt(((x - vec) ** 2).sum(1)) <= bandwidth
+                if near.any():
+                    rows.append((r, rank[near].min()))
+        return pd.DataFrame(rows, columns=["rank", "least"])
     return fn
 
 
+def _absorb(means: DataFrame, n: int, bandwidth: float) -> DataFrame:
+    """The means that stay when each, in the order of ``rank``, absorbs later
+    ones within the bandwidth: ``(rank, vec, cnt)``.
+
+    In every round the means without an earlier open one in reach stay, and
+    those in reach of one that stays go.  Means meet by blocks of near ones,
+    in pieces; no pair is written.
+    """
+    points, _ = blocks(means.withColumnRenamed("rank", "id"), PIECE, n_rows=n)
+    points = points.withColumnRenamed("id", "rank")
+    balls_ = cut_lineage(balls(points))
+    pairs = near_pairs(balls_.withColumn("reach", F.lit(float(bandwidth))), balls_)
+    same = balls_.select(F.col("block").alias("qb"), F.col("block").alias("rb"))
+    pairs = cut_lineage(pairs.unionByName(same))
+    open_, path = cut_lineage_path(points)
+    stay = None
+
+    def least(a: DataFrame, b: DataFrame) -> DataFrame:
+        q = a.select("rank", "vec", F.col("block").alias("qb")).join(pairs, "qb")
+        r = b.select(F.col("rank").alias("rrank"), F.col("vec").alias("rvec"), F.col("block").alias("rb")).join(
+            pairs, "rb")
+        found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
+            _least_near(bandwidth), "rank long, least long")
+        return found.groupBy("rank").agg(F.min("least").alias("least"))
+
+    while True:
+        first = least(open_, open_).filter(F.col("least") == F.col("rank")).select("rank")
+        first = cut_lineage(open_.join(first, "rank"))
+        kept = first.select("rank", "vec", "cnt")
+        stay = kept if stay is None else stay.unionByName(kept)
+        gone = least(open_, first).select("rank")
+        rest, new_path, seen = cut_lineage_counted(open_.join(gone, "rank", "left_anti"), n=F.count(F.lit(1)))
+        drop_table(means.sparkSession, path)
+        open_, path = rest, new_path
+        if not seen["n"]:
+            drop_table(means.sparkSession, path)
+            return stay
+
+
+def _nearest_centre(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    if q.empty or c.empty:
+        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64"),
+                             "label": pd.Series([], dtype="int32")})
+    c = c.sort_values("label")
+    centre, x = _matrix(c, "centre"), _matrix(q)
+    best = np.concatenate([((x[lo:lo + 256, None, :] - centre[None]) ** 2).sum(-1).argmin(1)
+                           for lo in range(0, len(x), 256)])
+    return pd.DataFrame({"id": q["id"].to_numpy(), "d": ((x - centre[best]) ** 2).sum(1),
+                         "label": c["label"].to_numpy()[best]})
+
+
 def mean_shift(vectors: DataFrame, bandwidth: float, max_iter: int = 300,
-               min_bin_freq: int = 1, max_seeds: int = MAX_BROADCAST_ROWS):
+               min_bin_freq: int = 1, block_rows: int = 2000):
     """C14: flat-kernel mean shift from bin seeds.
 
     Each seed moves to the mean of the points within ``bandwidth`` until it
@@ -107,78 +212,78 @@ def mean_shift(vectors: DataFrame, bandwidth: float, max_iter: int = 300,
     means, by descending (support, coordinates), absorb later means within
     the bandwidth; every point takes the label of its nearest centre.
 
+    Points lie in blocks of near ones (``cells``): in a round a seed takes the
+    sums of the blocks that its ball holds whole, looks into those that its
+    edge may cut, and skips all others.  Seeds, means and centres are tables.
+
     Returns ``(labels(id, label), centres(label, centre, support))``.
-    The seed set is counted before it is broadcast; more than
-    ``max_seeds`` occupied cells raises (choose a larger bandwidth).
     """
     spark = vectors.sparkSession
-    pts = cut_lineage(vectors.select("id", "vec"))
-    seeds_df = bin_seeds(pts, bandwidth, min_bin_freq)
-    if bounded_rows(seeds_df, max_seeds) is None:
-        raise ValueError("more occupied seed cells than max_seeds")
-    seed_rows = seeds_df.collect()                      # counted above: bounded
-    if not seed_rows:
+    points, _ = blocks(vectors.select("id", "vec"), block_rows)
+    first = points.select(F.size("vec").alias("n")).head()
+    if first is None:
         empty = spark.createDataFrame([], "id long, label int")
         return empty, spark.createDataFrame([], "label int, centre array<double>, support long")
-    seeds = np.stack([np.asarray(r["seed"], dtype=float) for r in seed_rows])
-    d = seeds.shape[1]
-    means = seeds.copy()
-    support = np.zeros(len(seeds), dtype=np.int64)
-    active = np.arange(len(seeds))
-    iters = np.zeros(len(seeds), dtype=np.int64)
-    stop = 1e-3 * bandwidth
-    vec_only = pts.select("vec")
-    while len(active):
-        cur = means[active]
-        schema = T.StructType([T.StructField("seed", T.LongType()),
-                               T.StructField("cnt", T.LongType())]
-                              + [T.StructField(f"s{j}", T.DoubleType()) for j in range(d)])
-        part = vec_only.mapInPandas(_shift_sums(cur, bandwidth), schema)
-        tot = (part.groupBy("seed").agg(F.sum("cnt").alias("cnt"),
-                                        *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
-               .orderBy("seed").collect())
-        still = []
-        for row in tot:
-            i = active[row["seed"]]
-            c = row["cnt"]
-            if c == 0:           # no point within reach: the seed is dropped
-                support[i] = 0
-                continue
-            new = np.array([row[f"s{j}"] for j in range(d)]) / c
-            moved = np.linalg.norm(new - means[i])
-            means[i] = new
-            support[i] = c
-            if moved <= stop or iters[i] == max_iter:
-                continue
-            iters[i] += 1
-            still.append(i)
-        active = np.array(still, dtype=np.int64)
-    keep = [i for i in range(len(seeds)) if support[i] > 0]
-    order = sorted(keep, key=lambda i: (support[i], tuple(means[i])), reverse=True)
-    centres = []
-    for i in order:
-        if all(np.linalg.norm(means[i] - means[j]) > bandwidth for j in centres):
-            centres.append(i)
-    cen = means[centres]
-    cb = spark.sparkContext.broadcast(cen)
-
-    def label_fn(it):
-        c = cb.value
-        for pdf in it:
-            x = _matrix(pdf)
-            if len(x) == 0:
-                yield pd.DataFrame({"id": pd.Series([], dtype="int64"),
-                                    "label": pd.Series([], dtype="int32")})
-                continue
-            d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(dtype=np.int64),
-                                "label": d2.argmin(1).astype(np.int32)})
-
-    labels = pts.mapInPandas(label_fn, "id long, label int")
-    centre_df = spark.createDataFrame(
-        [(int(n), [float(v) for v in cen[n]], int(support[i])) for n, i in enumerate(centres)],
-        "label int, centre array<double>, support long")
-    return labels, centre_df
+    dims = first["n"]
+    totals = points.groupBy("block").agg(F.array(*[F.sum(F.col("vec")[j]) for j in range(dims)]).alias("total"))
+    balls_, balls_path, of = cut_lineage_counted(balls(points).join(totals, "block"), n=F.count(F.lit(1)))
+    seeds = bin_seeds(points, bandwidth, min_bin_freq).withColumnRenamed("seed", "vec")
+    seeds, path, count = cut_lineage_counted(
+        seeds.select(F.monotonically_increasing_id().alias("sid"), "vec", F.lit(0).cast("long").alias("cnt"),
+                     F.lit(True).alias("active")), active=F.count(F.lit(1)))
+    done = 0
+    while count["active"]:
+        moved = _shifted(seeds.filter("active"), count["active"], points, balls_, of["n"], bandwidth, dims)
+        step = (seeds.filter("active").select("sid", F.col("vec").alias("old")).join(moved, "sid")
+                .select("sid", F.col("mean").alias("vec"), "cnt",
+                        (euclidean("old", "mean") > 1e-3 * bandwidth) if done < max_iter else F.lit(False)))
+        step = step.toDF("sid", "vec", "cnt", "active")
+        nxt, nxt_path, count = cut_lineage_counted(step.unionByName(seeds.filter("NOT active")),
+                                                   active=F.count_if(F.col("active")))
+        drop_table(spark, path)
+        seeds, path = nxt, nxt_path
+        done += 1
+    order = [(-F.col("cnt")).alias("__minus"), *[(-F.col("vec")[j]).alias(f"__v{j}") for j in range(dims)]]
+    keyed = seeds.select("sid", "vec", "cnt", *order)
+    ranked = global_rank(keyed, ["__minus", *[f"__v{j}" for j in range(dims)], "sid"], "rank").select(
+        "rank", "vec", "cnt")
+    stay = cut_lineage(_absorb(ranked, ranked.count(), bandwidth))
+    centres = cut_lineage(global_rank(stay, ["rank"], "label").select(
+        F.col("label").cast("int").alias("label"), F.col("vec").alias("centre"), F.col("cnt").alias("support")))
+    n_centres = centres.count()
+
+    # centres that may be the nearest of a point of each block
+    left = _pieces(balls_.select("block", "centre", "radius"), "block", of["n"], "x", "y", n_centres)
+    right = _pieces(centres.select("label", F.col("centre").alias("place")), "label", n_centres, "y", "x", of["n"])
+
+    def bound(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or c.empty:
+            return pd.DataFrame({"block": pd.Series([], dtype="int64"), "far": pd.Series([], dtype="float64")})
+        d = np.concatenate([m for _, m in in_chunks(_matrix(b, "centre"), _matrix(c, "place"), "euclidean")])
+        return pd.DataFrame({"block": b["block"].to_numpy(), "far": d.min(1) + b["radius"].to_numpy()})
+
+    far = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
+        bound, "block long, far double").groupBy("block").agg(F.min("far").alias("far"))
+
+    def near(b: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or c.empty:
+            return pd.DataFrame({"cblock": pd.Series([], dtype="int64"), "label": pd.Series([], dtype="int32"),
+                                 "centre": pd.Series([], dtype="object")})
+        place = _matrix(c, "place")
+        d = np.concatenate([m for _, m in in_chunks(_matrix(b, "centre"), place, "euclidean")])
+        i, j = np.nonzero(d * (1 - SLACK) - b["radius"].to_numpy()[:, None]
+                          <= b["far"].to_numpy()[:, None] * (1 + SLACK))
+        return pd.DataFrame({"cblock": b["block"].to_numpy()[i], "label": c["label"].to_numpy()[j],
+                             "centre": list(place[j])})
+
+    some = left.join(far, "block").groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
+        near, "cblock long, label int, centre array<double>")
+    found = points.groupBy("block").cogroup(some.groupBy("cblock")).applyInPandas(
+        _nearest_centre, "id long, d double, label int")
+    labels = cut_lineage(found.select("id", "label"))
+    for old in (path, balls_path):
+        drop_table(spark, old)
+    return labels, centres
 
 
 def standardise_vectors(vectors: DataFrame, dims: int) -> DataFrame:

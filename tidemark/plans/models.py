@@ -119,18 +119,23 @@ def _emb2(spark, sf_dir):
     return meanshift.standardise_vectors(v, 2)
 
 
-@register("meanshift_bandwidth", """
-WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
+def _bandwidth_ctes(quantile: float) -> str:
+    """Standardised points ``z`` and distances ``d`` of the bandwidth estimate."""
+    return f"""p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
            FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p),
 z AS (SELECT id, CASE WHEN sx > 0 THEN (x - mx) / sx ELSE 0 END AS x,
              CASE WHEN sy > 0 THEN (y - my) / sy ELSE 0 END AS y FROM p CROSS JOIN s),
 smp AS (SELECT * FROM z ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id LIMIT 50000),
-k AS (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS k FROM smp),
+k AS (SELECT CAST(floor(count(*) * {quantile}) AS BIGINT) AS k FROM smp),
 d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
              row_number() OVER (PARTITION BY a.id ORDER BY
                sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS rn
-      FROM smp a CROSS JOIN smp b)
+      FROM smp a CROSS JOIN smp b)"""
+
+
+@register("meanshift_bandwidth", f"""
+WITH {_bandwidth_ctes(0.2)}
 SELECT round(avg(d), 6) AS bandwidth FROM d CROSS JOIN k WHERE rn = k.k
 """)
 def meanshift_bandwidth(spark, sf_dir):
@@ -150,6 +155,38 @@ def meanshift_labels(spark, sf_dir):
     return labels
 
 
+@register("meanshift_labels_fine", f"""
+WITH RECURSIVE {_bandwidth_ctes(0.02)},
+bw AS (SELECT avg(d) AS bw FROM d CROSS JOIN k WHERE rn = k.k),
+seeds AS (SELECT DISTINCT round_even(x / bw, 0) * bw AS x, round_even(y / bw, 0) * bw AS y FROM z, bw),
+shift(sid, x, y, cnt, n, active) AS (
+  SELECT row_number() OVER (), x, y, CAST(0 AS BIGINT), 0, true FROM seeds
+  UNION ALL
+  SELECT s.sid, avg(p.x), avg(p.y), count(*), s.n + 1,
+         sqrt((avg(p.x) - s.x) ** 2 + (avg(p.y) - s.y) ** 2) > 1e-3 * bw AND s.n < 300
+  FROM shift s JOIN bw ON s.active JOIN z p ON (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= bw * bw
+  GROUP BY s.sid, s.x, s.y, s.n, bw),
+means AS (SELECT x, y, row_number() OVER (ORDER BY cnt DESC, x DESC, y DESC, sid) AS r FROM shift WHERE NOT active),
+absorbed(r, xs, ys) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS DOUBLE[])
+  UNION ALL
+  SELECT m.r, CASE WHEN apart THEN list_append(xs, m.x) ELSE xs END, CASE WHEN apart THEN list_append(ys, m.y) ELSE ys END
+  FROM (SELECT m.*, a.xs, a.ys, len(list_filter(list_zip(a.xs, a.ys),
+               lambda c: sqrt((c[1] - m.x) ** 2 + (c[2] - m.y) ** 2) <= bw)) = 0 AS apart
+        FROM absorbed a JOIN means m ON m.r = a.r + 1, bw) m),
+centres AS (SELECT unnest(xs) AS x, unnest(ys) AS y, unnest(range(len(xs))) AS label
+            FROM absorbed WHERE r = (SELECT max(r) FROM means))
+SELECT z.id, CAST(arg_min(label, (z.x - c.x) ** 2 + (z.y - c.y) ** 2) AS INTEGER) AS label
+FROM z, centres c GROUP BY z.id
+""")
+def meanshift_labels_fine(spark, sf_dir):
+    """C14 with the bandwidth of the 0.02-quantile neighbour, which leaves
+    many clusters on the first two dimensions."""
+    v = _emb2(spark, sf_dir)
+    labels, _ = meanshift.mean_shift(v, meanshift.estimate_bandwidth(v, 0.02, 50_000, 42))
+    return labels
+
+
 def _emb_all(spark, sf_dir):
     v = cut_lineage(emb_vectors(spark, sf_dir))
     first = v.select(F.size("vec").alias("n")).head()
