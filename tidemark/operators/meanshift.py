@@ -84,32 +84,36 @@ def _pieces(df: DataFrame, key: str, n: int, name: str, other: str, n_other: int
 
 
 def _touch(bandwidth: float):
-    """Balls against seeds: one row with the sums of the blocks that lie in a
-    seed's reach altogether, and a row for each block that may do in part."""
+    """A row for each block that a seed's ball may reach, and whether it holds
+    the block altogether."""
     def fn(seeds: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = {c: [] for c in ("sid", "sx", "sblock", "inside", "svec")}
         if len(seeds) and len(balls):
-            centre, total = _matrix(balls, "centre"), _matrix(balls, "total")
-            radius, n = balls["radius"].to_numpy(), balls["n"].to_numpy()
+            centre, radius, block = _matrix(balls, "centre"), balls["radius"].to_numpy(), balls["block"].to_numpy()
             for sid, x, vec in zip(seeds["sid"], seeds["x"], seeds["vec"], strict=True):
                 d = np.sqrt(((centre - vec) ** 2).sum(1))
-                inside = (d + radius) * (1 + SLACK) < bandwidth
-                if inside.any():
-                    rows.append((sid, x, None, int(n[inside].sum()), total[inside].sum(0), None))
-                part = ~inside & (d * (1 - SLACK) - radius <= bandwidth)
-                rows += [(sid, x, b, None, None, vec) for b in balls["block"].to_numpy()[part]]
-        return pd.DataFrame(rows, columns=["sid", "x", "block", "cnt", "total", "vec"]).astype(
-            {"block": "Int64", "cnt": "Int64"})
+                near = np.flatnonzero(d * (1 - SLACK) - radius <= bandwidth)
+                out["sid"] += [sid] * len(near)
+                out["sx"] += [x] * len(near)
+                out["sblock"] += block[near].tolist()
+                out["inside"] += ((d + radius) * (1 + SLACK) < bandwidth)[near].tolist()
+                out["svec"] += [vec] * len(near)
+        return pd.DataFrame(out)
     return fn
 
 
 def _in_reach(bandwidth: float):
-    """Sums of a block's points in reach of each seed."""
+    """Sums of a block's points in reach of each seed; a block inside a
+    seed's ball is summed once for all such seeds."""
     def fn(seeds: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(seeds) and len(points):
             x = _matrix(points)
-            for sid, vec in zip(seeds["sid"], seeds["vec"], strict=True):
+            total = x.sum(0)
+            for sid, inside, vec in zip(seeds["sid"], seeds["inside"], seeds["svec"], strict=True):
+                if inside:
+                    rows.append((sid, len(x), total))
+                    continue
                 near = ((x - vec) ** 2).sum(1) <= bandwidth * bandwidth
                 if near.any():
                     rows.append((sid, int(near.sum()), x[near].sum(0)))
@@ -123,17 +127,14 @@ def _shifted(seeds: DataFrame, n_seeds: int, points: DataFrame, balls: DataFrame
     left = _pieces(seeds.select("sid", "vec"), "sid", n_seeds, "x", "y", n_balls)
     right = _pieces(balls, "block", n_balls, "y", "x", n_seeds)
     touch = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
-        _touch(bandwidth), "sid long, x int, block long, cnt long, total array<double>, vec array<double>")
-    part = touch.filter("block IS NOT NULL").select("sid", F.col("x").alias("sx"), F.col("block").alias("sblock"), "vec")
-    at = points
+        _touch(bandwidth), "sid long, sx int, sblock long, inside boolean, svec array<double>")
+    # a block meets its seeds in pieces
+    at = points.withColumn("x", F.lit(0))
     if n_seeds > PIECE:
-        at = points.join(part.select(F.col("sblock").alias("block"), F.col("sx").alias("x")).distinct(), "block")
-    else:
-        at = points.withColumn("x", F.lit(0))
-    sums = part.groupBy("sblock", "sx").cogroup(at.groupBy("block", "x")).applyInPandas(
+        at = points.join(touch.select(F.col("sblock").alias("block"), F.col("sx").alias("x")).distinct(), "block")
+    sums = touch.groupBy("sblock", "sx").cogroup(at.groupBy("block", "x")).applyInPandas(
         _in_reach(bandwidth), "sid long, cnt long, total array<double>")
-    both = sums.unionByName(touch.filter("block IS NULL").select("sid", "cnt", "total"))
-    total = both.groupBy("sid").agg(F.sum("cnt").alias("cnt"), *[
+    total = sums.groupBy("sid").agg(F.sum("cnt").alias("cnt"), *[
         F.sum(F.col("total")[j]).alias(f"s{j}") for j in range(dims)])
     return total.select("sid", "cnt", F.array(*[F.col(f"s{j}") / F.col("cnt") for j in range(dims)]).alias("mean"))
 
@@ -225,8 +226,7 @@ def mean_shift(vectors: DataFrame, bandwidth: float, max_iter: int = 300,
         empty = spark.createDataFrame([], "id long, label int")
         return empty, spark.createDataFrame([], "label int, centre array<double>, support long")
     dims = first["n"]
-    totals = points.groupBy("block").agg(F.array(*[F.sum(F.col("vec")[j]) for j in range(dims)]).alias("total"))
-    balls_, balls_path, of = cut_lineage_counted(balls(points).join(totals, "block"), n=F.count(F.lit(1)))
+    balls_, balls_path, of = cut_lineage_counted(balls(points), n=F.count(F.lit(1)))
     seeds = bin_seeds(points, bandwidth, min_bin_freq).withColumnRenamed("seed", "vec")
     seeds, path, count = cut_lineage_counted(
         seeds.select(F.monotonically_increasing_id().alias("sid"), "vec", F.lit(0).cast("long").alias("cnt"),
