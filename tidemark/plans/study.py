@@ -425,6 +425,14 @@ def residual_qq_fit(spark, sf_dir):
 
 @register("residual_shapiro")
 def residual_shapiro(spark, sf_dir):
+    """T4: Shapiro-Wilk W of the residuals (p up to 5,000 of them)."""
+    t = test_rows(spark, sf_dir).withColumn(
+        "row_key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_quantity"))
+    return significance.shapiro(t, "residual", "row_key")
+
+
+@register("price_shapiro")
+def price_shapiro(spark, sf_dir):
     """T4: Shapiro-Wilk W and p of the part prices."""
     p = io.load_table(spark, sf_dir, "part")
     return significance.shapiro(p, "p_retailprice", "p_partkey")
