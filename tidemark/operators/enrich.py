@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators._util import and_all, bounded_rows
@@ -165,25 +165,29 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
                  value_cols: Sequence[str] | None = None,
                  dist_col: str = "nearest_dist",
                  max_broadcast: int = 1000,
-                 cell: float | None = None, max_per_cell: int = 64) -> DataFrame:
-    """Every point takes the value columns of its nearest site.
+                 cell: float | None = None, max_per_cell: int = 64, k: int = 1) -> DataFrame:
+    """Every point takes the value columns of its nearest site, or of its
+    ``k`` nearest: then one row for each, with its ``rank`` from 1 (fewer rows
+    where there are fewer sites; a point without coordinates has one, rank NULL).
 
     Euclidean distance on the raw coordinates; equal distances go to the
     lowest site id.  A small site set (counted, at most ``max_broadcast``
     rows, so the per-point work is bounded) is inlined: the nearest site id
     is found per point inside the scan (no shuffle of the point table) and
-    the values come from a broadcast hash join.  Larger site sets use an
-    exact grid join (``_nearest_grid``).
+    the values come from a broadcast hash join.  Larger site sets, and all
+    where ``k`` is over 1, use an exact grid join (``_nearest_grid``).
     """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
     value_cols = list(value_cols) if value_cols is not None else [
         c for c in sites.columns if c not in (site_id, *site_xy)]
     sx, sy = site_xy
     px, py = point_xy
     s = sites.filter(F.col(sx).isNotNull() & F.col(sy).isNotNull())
     n_sites = bounded_rows(s, max_broadcast)
-    if n_sites is None:
+    if n_sites is None or (k > 1 and n_sites):
         return _nearest_grid(points, s, point_xy, site_xy, site_id, value_cols,
-                             dist_col, cell, max_per_cell)
+                             dist_col, cell, max_per_cell, k)
     site_rows = s.select(F.col(site_id).alias("__sid"),
                          F.col(sx).cast("double").alias("__sx"),
                          F.col(sy).cast("double").alias("__sy")).collect()
@@ -192,7 +196,8 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
         none = {c: F.lit(None).cast(sites.schema[c].dataType) for c in value_cols}
         return kept.withColumns({
             f"nearest_{site_id}": F.lit(None).cast(sites.schema[site_id].dataType),
-            dist_col: F.lit(None).cast("double"), **none})
+            dist_col: F.lit(None).cast("double"), **none,
+            **({"rank": F.lit(None).cast("int")} if k > 1 else {})})
     site_arr = F.array(*[F.struct(F.lit(r["__sx"]).alias("x"), F.lit(r["__sy"]).alias("y"),
                                   F.lit(r["__sid"]).alias("id")) for r in site_rows])
     x, y = F.col(px).cast("double"), F.col(py).cast("double")
@@ -209,16 +214,16 @@ def nearest_join(points: DataFrame, sites: DataFrame, point_xy: Sequence[str],
 
 
 def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
-                  dist_col, cell, max_per_cell=64):
-    """Exact nearest site for large site sets by a cell equi-join.
+                  dist_col, cell, max_per_cell=64, k=1):
+    """Exact nearest ``k`` sites for large site sets by a cell equi-join.
 
-    Sites at identical coordinates collapse to the lowest id first (the tie
-    rule makes that exact), and the starting cell is halved until no cell
+    Sites at identical coordinates collapse to the ``k`` lowest ids first (the
+    tie rule makes that exact), and the starting cell is halved until no cell
     holds more than ``max_per_cell`` sites, so a dense area is no hot join
     key.  Round r uses square cells of side ``cell * 4**r``.  A point is joined to
-    the sites of its own and the eight neighbouring cells; when its best
-    candidate lies within one cell side, no site outside the block can be
-    closer, so the answer is final.  Unresolved points go to the next round
+    the sites of its own and the eight neighbouring cells; when its
+    ``k``-th candidate lies within one cell side, no site outside the block can
+    be closer, so the answer is final (also where all sites are candidates).  Unresolved points go to the next round
     with larger cells until every point is resolved (a point at distance
     ``D`` from its nearest site is resolved once the side reaches ``D``).
     """
@@ -235,10 +240,14 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
     todo = pts.select("__pid", F.col(px).cast("double").alias("__x"),
                       F.col(py).cast("double").alias("__y")).filter(
         F.col("__x").isNotNull() & F.col("__y").isNotNull())
+    placed = sites.select(F.col(sx).cast("double").alias("__sx"), F.col(sy).cast("double").alias("__sy"),
+                          F.col(site_id).alias("__sid"))
+    at = Window.partitionBy("__sx", "__sy").orderBy("__sid")
     sites_xy = cut_lineage(
-        sites.select(F.col(sx).cast("double").alias("__sx"), F.col(sy).cast("double").alias("__sy"),
-                     F.col(site_id).alias("__sid"))
-        .groupBy("__sx", "__sy").agg(F.min("__sid").alias("__sid")))
+        placed.groupBy("__sx", "__sy").agg(F.min("__sid").alias("__sid")) if k == 1 else
+        placed.withColumn("__n", F.row_number().over(at)).filter(F.col("__n") <= k).drop("__n"))
+    n_left = sites_xy.count()
+    max_per_cell = max(max_per_cell, k)
     for _ in range(40):
         busiest = (sites_xy.groupBy(F.floor(F.col("__sx") / cell).alias("a"),
                                     F.floor(F.col("__sy") / cell).alias("b"))
@@ -259,11 +268,19 @@ def _nearest_grid(points, sites, point_xy, site_xy, site_id, value_cols,
         cand = (q.join(s_cells, ["__cx", "__cy"])
                 .withColumn("__d", F.sqrt((F.col("__x") - F.col("__sx")) ** 2
                                           + (F.col("__y") - F.col("__sy")) ** 2)))
-        best = cand.groupBy("__pid").agg(
-            F.min(F.struct("__d", "__sid")).alias("__b"))
-        best = best.select("__pid", F.col("__b.__d").alias(dist_col),
-                           F.col("__b.__sid").alias("__nid"))
-        ok = cut_lineage(best.filter(F.col(dist_col) <= F.lit(size)))
+        if k == 1:
+            best = cand.groupBy("__pid").agg(
+                F.min(F.struct("__d", "__sid")).alias("__b"))
+            best = best.select("__pid", F.col("__b.__d").alias(dist_col),
+                               F.col("__b.__sid").alias("__nid"))
+            ok = cut_lineage(best.filter(F.col(dist_col) <= F.lit(size)))
+        else:
+            near = Window.partitionBy("__pid").orderBy("__d", "__sid")
+            best = cut_lineage(cand.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+                               .select("__pid", F.col("__d").alias(dist_col), F.col("__sid").alias("__nid"), "rank"))
+            sure = (best.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"), F.max(dist_col).alias("far"))
+                    .filter((F.col("n") == min(k, n_left)) & ((F.col("far") <= F.lit(size)) | (F.lit(n_left) <= k))))
+            ok = cut_lineage(best.join(sure.select("__pid"), "__pid", "left_semi"))
         found = ok if found is None else found.unionByName(ok)
         todo = cut_lineage(todo.join(ok.select("__pid"), "__pid", "left_anti"))
         if todo.isEmpty():

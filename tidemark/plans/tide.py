@@ -222,6 +222,16 @@ def nearest_station_grid(spark, sf_dir):
     return round_doubles(out.select("vec_id", "nearest_site_id", "site_size", "nearest_dist"))
 
 
+@register("nearest_station_3", NEAREST_SQL.replace(
+    "round(d, 6) AS nearest_dist", "round(d, 6) AS nearest_dist, CAST(rn AS INTEGER) AS rank").replace(
+    "WHERE rn = 1", "WHERE rn <= 3"))
+def nearest_station_3(spark, sf_dir):
+    """J3 with k = 3: a row for each of the three nearest stations."""
+    pts, sites = _points_and_stations(spark, sf_dir)
+    out = enrich.nearest_join(pts, sites, ["x", "y"], ["x", "y"], "site_id", ["site_size"], k=3)
+    return round_doubles(out.select("vec_id", "nearest_site_id", "site_size", "nearest_dist", "rank"))
+
+
 SENSOR_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),
