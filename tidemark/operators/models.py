@@ -1,9 +1,9 @@
-"""Feature preparation and models.
+"""Feature preparation and models (M1-M5, M8-M10; boosted trees are in
+``boosting``).
 
 Fitting is distributed: least squares is one aggregate of centred cross
-products (d x d, bounded by the feature count) solved on the driver;
-boosted trees use Spark ML.  Prediction is a column expression (linear) or
-a Spark ML transform, so scoring a table is a map-only stage.
+products (d x d, bounded by the feature count) solved on the driver.
+Prediction is a column expression, so scoring a table is a map-only stage.
 """
 
 from __future__ import annotations
@@ -161,38 +161,6 @@ def training_partitions(rows: int, cores: int, min_rows_per_task: int = 2_000,
     return max(small, math.ceil(rows / max_rows_per_task))
 
 
-def boosted_fit(df: DataFrame, features: Sequence[str], target: str, max_iter: int = 100,
-                max_depth: int = 5, step_size: float = 0.1, seed: int = 42,
-                checkpoint_interval: int = 10):
-    """M6: gradient-boosted regression trees (squared error) with Spark ML.
-
-    The training rows are re-partitioned by ``training_partitions`` (one
-    count), since every round runs one job per tree level over them.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    va = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")
-    train = va.transform(df.filter(F.col(target).isNotNull())).select(
-        "__features", F.col(target).cast("double").alias("__label"))
-    rows = train.count()
-    parts = training_partitions(rows, df.sparkSession.sparkContext.defaultParallelism)
-    current = train.rdd.getNumPartitions()
-    train = train.coalesce(parts) if parts < current else train.repartition(parts)
-    gbt = GBTRegressor(featuresCol="__features", labelCol="__label", maxIter=max_iter,
-                       maxDepth=max_depth, stepSize=step_size, seed=seed,
-                       lossType="squared", checkpointInterval=checkpoint_interval,
-                       cacheNodeIds=True)
-    model = gbt.fit(train.persist())
-    return va, model
-
-
-def boosted_predict(df: DataFrame, fitted, out: str) -> DataFrame:
-    va, model = fitted
-    model = model.copy()
-    model.setPredictionCol(out)
-    return model.transform(va.transform(df)).drop("__features")
-
-
 def pca_2d(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
     """M9: centred projection on the two leading principal components.
 

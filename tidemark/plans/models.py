@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, features, gp, meanshift, models, reshape
+from tidemark.operators import boosting, clean, features, gp, meanshift, models, reshape, stats
 from tidemark.operators._util import round_doubles
-from tidemark.plans.panel import NDVI, PANEL_CTE, YEARS, orders_panel
+from tidemark.plans.panel import CLUSTER_NAMES, NDVI, PANEL_CTE, YEARS, orders_panel
 from tidemark.plans.registry import register
 from tidemark.plans.cluster import vectors as emb_vectors
 from tidemark.session import cut_lineage
+from tidemark.sources import io
 
 FEATURES = [c for c in NDVI if int(c[5:9]) < 2000]
 TARGETS = ["NDVI_2000H", "NDVI_2000L"]
@@ -51,15 +52,66 @@ def linear_panel_metrics(spark, sf_dir):
     return res
 
 
+def boosted_test_rows(spark, sf_dir, rounds=100):
+    """Test rows with the boosted predictions of both tides (depth 5, step
+    0.1): features are the earlier half-years, the other tide's target
+    year and the one-hot sediment and cluster classes (the test tables'
+    customer segment and nation); both models share the test ids."""
+    classes = io.load_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("STRATCODE"),
+        F.col("c_nationkey").cast("int").alias("Cluster"))
+    p = clean.blank_to(prepared_panel(spark, sf_dir).join(classes, "o_custkey", "left"), "STRATCODE", "WATER")
+    p = clean.map_labels(p, "Cluster", CLUSTER_NAMES, "ClusterName")
+    p = cut_lineage(p.withColumn("Code", F.col("Cluster")))
+    wide = models.one_hot(models.one_hot(p, "STRATCODE", drop_first=True), "Code", drop_first=True)
+    hot = [c for c in wide.columns if c not in p.columns]
+    fitted = boosting.fit(wide.filter(~F.col("is_test")),
+                          {t: [*FEATURES, *[o for o in TARGETS if o != t], *hot] for t in TARGETS}, rounds)
+    test = wide.filter("is_test")
+    for t in TARGETS:
+        test = boosting.predict(test, fitted[t], f"Predicted_{t}")
+        test = test.withColumn(f"Residual_{t[-1]}", clean.residual(t, f"Predicted_{t}"))
+    return test.select("o_custkey", "Cluster", "ClusterName", *TARGETS,
+                       *[f"Predicted_{t}" for t in TARGETS], "Residual_H", "Residual_L")
+
+
 @register("boosted_panel")
 def boosted_panel(spark, sf_dir):
-    """M6: boosted trees (100 rounds, depth 5, step 0.1, seed 42) for the
-    high-tide target; test rows with prediction and residual."""
-    p = prepared_panel(spark, sf_dir).filter(F.col("NDVI_2000H").isNotNull()).cache()
-    fitted = models.boosted_fit(p.filter(~F.col("is_test")), FEATURES, "NDVI_2000H")
-    test = models.boosted_predict(p.filter("is_test"), fitted, "Predicted_NDVI_2000H")
-    return test.select("o_custkey", "NDVI_2000H", "Predicted_NDVI_2000H",
-                       clean.residual("NDVI_2000H", "Predicted_NDVI_2000H").alias("Residual_H"))
+    """M6: boosted trees of both tides; test rows with predictions and
+    residuals."""
+    return boosted_test_rows(spark, sf_dir)
+
+
+@register("boosted_metrics")
+def boosted_metrics(spark, sf_dir):
+    """M6 + M8: MSE, MAE, R2 and explained variance of both boosted models on
+    the test rows."""
+    test = cut_lineage(boosted_test_rows(spark, sf_dir))
+    each = [models.regression_metrics(test, t, f"Predicted_{t}").withColumn("target", F.lit(t))
+            for t in TARGETS]
+    return each[0].unionByName(each[1])
+
+
+@register("boosted_outliers")
+def boosted_outliers(spark, sf_dir):
+    """M6 + A9: test rows whose residual lies more than three deviations above
+    the mean residual of their tide's model."""
+    test = cut_lineage(boosted_test_rows(spark, sf_dir))
+    each = [stats.sigma_outliers(test, f"Residual_{t[-1]}", 3).select(
+        "o_custkey", "ClusterName", F.lit(t).alias("target"), F.col(t).alias("actual"),
+        F.col(f"Predicted_{t}").alias("predicted"), F.col(f"Residual_{t[-1]}").alias("residual"))
+        for t in TARGETS]
+    return each[0].unionByName(each[1])
+
+
+@register("boosted_cluster_residuals")
+def boosted_cluster_residuals(spark, sf_dir):
+    """M6 + A8: mean and deviation of the modelled residuals by cluster, for
+    both tides."""
+    test = cut_lineage(boosted_test_rows(spark, sf_dir))
+    each = [stats.group_mean_std(test, "Cluster", f"Residual_{t[-1]}").withColumn("target", F.lit(t))
+            for t in TARGETS]
+    return each[0].unionByName(each[1])
 
 
 @register("pca_panel")
