@@ -95,3 +95,38 @@ def test_sparse_gp_matches_dense_posterior(spark):
     mean = y.mean() + Kmn.T @ w
     out = {r.id: r.gp_mean for r in gp.predict(df, m).collect()}
     assert np.allclose([out[i] for i in range(300)], mean, atol=1e-6)
+
+
+def test_gp_gradient_and_bound(spark):
+    """The gradient against differences, the fitted bound against the grid's."""
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(200, 2))
+    y = np.sin(2 * X[:, 0]) + rng.normal(scale=0.2, size=200)
+    df = spark.createDataFrame([(i, *map(float, X[i]), float(y[i])) for i in range(200)],
+                               "id long, a double, b double, y double").repartition(3).cache()
+    z, yc = X[:25], y - y.mean()
+
+    def value(theta):
+        stats = gp.gradient_stats(df, ["a", "b"], "y", z, float(np.exp(theta[0])), float(y.mean()))
+        return gp.bound_gradient(stats, float(yc @ yc), 200, z, theta, 1e-4)
+
+    theta = np.log([1.1, 0.7, 0.08])
+    _, grad = value(theta)
+    for i, e in enumerate(np.eye(3) * 1e-5):
+        assert abs((value(theta + e)[0] - value(theta - e)[0]) / 2e-5 - grad[i]) < 1e-3 * (1 + abs(grad[i]))
+    grid = gp.fit(df, ["a", "b"], "y", "id", n_inducing=25, steps=0)
+    found = gp.fit(df, ["a", "b"], "y", "id", n_inducing=25)
+    assert found.bound > grid.bound + 1
+    _, grad = gp.bound_gradient(
+        gp.gradient_stats(df, ["a", "b"], "y", found.z, found.lengthscale, found.mean),
+        float(yc @ yc), 200, found.z, np.log([found.lengthscale, found.outputscale, found.noise]), 1e-4)
+    assert np.abs(grad).max() < 0.5
+
+
+def test_every_gp_variant_is_fitted(spark):
+    from tidemark.operators import features
+    from tidemark.plans.models import sparse_gp_variants
+    rows = {r.variant: r for r in sparse_gp_variants(spark, SF_SMALL, n_inducing=10).collect()}
+    assert set(rows) == set(features.VARIANTS)
+    assert all(r.n > 0 and r.mse > 0 and 0 <= r.inside_band <= 1 for r in rows.values())
+    assert rows["basic_wave_with_class"].n_features > rows["no_sediment_class"].n_features

@@ -3,13 +3,15 @@
 Same prior and likelihood as a sparse variational GP with a constant mean,
 a scaled RBF kernel and Gaussian noise, but with the variational
 distribution in closed form (Titsias, 2009) and fixed inducing points (an
-md5 sample of the training rows), so training is not an optimisation loop:
+md5 sample of the training rows), so only three numbers are searched:
 
-* one distributed pass per lengthscale computes the sufficient statistics
-  A = sum phi phi', b = sum phi y, y'y, n with phi = k(Z, x) (m values per
-  row; every task sums its rows, a tree reduction merges m x m matrices);
+* one distributed pass computes the sufficient statistics A = sum phi phi',
+  b = sum phi y, y'y, n with phi = k(Z, x) (m values per row; every task sums
+  its rows, a tree reduction merges m x m matrices) for a few lengthscales;
 * the collapsed bound is evaluated on the driver for a grid of lengthscale,
-  output scale and noise (all m x m algebra), the best triple is kept;
+  output scale and noise (all m x m algebra), the best triple starts L-BFGS on
+  their logarithms.  Every evaluation is one pass, whose tasks also sum the
+  derivatives of A and b by the lengthscale; the bound never falls;
 * prediction is a map-only pass with the m x m posterior broadcast.
 
 The white-noise kernel of some reference variants only adds
@@ -110,12 +112,120 @@ def _bound(A, b, yy, n, kmm, s2, noise):
     return f, B, K, binv_b
 
 
+def gradient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.ndarray,
+                   lengthscale: float, mean: float, depth: int = 2):
+    """(A, b, dA, db) with unit output scale; dA and db are the derivatives by
+    the logarithm of the lengthscale.  One pass."""
+    feats = list(features)
+    zb = df.sparkSession.sparkContext.broadcast(z)
+
+    def fn(it):
+        zz = zb.value
+        m = len(zz)
+        acc = [np.zeros((m, m)), np.zeros(m), np.zeros((m, m)), np.zeros(m)]
+        for pdf in it:
+            y = pdf[target].to_numpy(dtype=np.float64) - mean
+            phi, slope = _rbf_slope(pdf[feats].to_numpy(dtype=np.float64), zz, lengthscale)
+            cross = slope.T @ phi
+            for a, v in zip(acc, (phi.T @ phi, phi.T @ y, cross + cross.T, slope.T @ y)):
+                a += v
+        yield pd.DataFrame({"blob": [_pack(acc)]})
+
+    rows = df.select(*feats, target).mapInPandas(fn, "blob binary")
+    out = rows.rdd.map(lambda r: _unpack(bytes(r["blob"]))).treeReduce(
+        lambda a, b: [x + y for x, y in zip(a, b)], depth=depth)
+    zb.unpersist()
+    return out
+
+
+def _rbf_slope(a: np.ndarray, b: np.ndarray, ls: float):
+    """The kernel and its derivative by the logarithm of the lengthscale."""
+    k = _rbf(a, b, ls)
+    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+    return k, k * np.maximum(d2, 0.0) / (ls * ls)
+
+
+def bound_gradient(stats, yy: float, n: int, z: np.ndarray, theta: np.ndarray, jitter: float):
+    """The collapsed bound and its gradient at the logarithms ``theta`` of
+    lengthscale, output scale and noise; -inf where a matrix is not positive
+    definite.  With k = R + jitter, c = s2 / noise and C = k + c A the bound is
+    -1/2 (n log 2 pi noise + log|C| - log|k| + (yy - c b'C^-1 b) / noise
+    + c (n - tr k^-1 A))."""
+    A, b, dA, db = stats
+    ls, s2, noise = np.exp(theta)
+    r, dk = _rbf_slope(z, z, ls)
+    k, c = r + jitter * np.eye(len(z)), s2 / noise
+    C = k + c * A
+    try:
+        lk, lc = np.linalg.cholesky(k), np.linalg.cholesky(C)
+    except np.linalg.LinAlgError:
+        return -np.inf, np.zeros(3)
+    ik, ic = np.linalg.inv(k), np.linalg.inv(C)
+    u = np.linalg.solve(C, b)
+    bu, uau, rest = b @ u, u @ A @ u, n - (ik * A).sum()
+    g = (n * np.log(2 * np.pi * noise) + 2 * np.log(np.diag(lc)).sum() - 2 * np.log(np.diag(lk)).sum()
+         + (yy - c * bu) / noise + c * rest)
+    dC = dk + c * dA
+    by_ls = ((ic * dC).sum() - (ik * dk).sum() - c / noise * (2 * u @ db - u @ dC @ u)
+             + c * ((ik @ dk @ ik * A).sum() - (ik * dA).sum()))
+    by_s2 = c * (ic * A).sum() - c / noise * (bu - c * uau) + c * rest
+    by_noise = (n - c * (ic * A).sum() + (2 * c * bu - c * c * uau - yy) / noise - c * rest)
+    return -0.5 * g, -0.5 * np.array([by_ls, by_s2, by_noise])
+
+
+def climb(value, start: np.ndarray, steps: int, tolerance: float = 1e-6, memory: int = 6):
+    """L-BFGS ascent with halved steps; ``value(x)`` gives function and
+    gradient.  The function never falls; ends after ``steps`` steps, or when a
+    step gains less than ``tolerance`` of the function's size."""
+    x = np.asarray(start, float)
+    f, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d = d - a * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * -(s @ y) / (y @ y)
+        else:
+            d = d / max(1.0, float(np.abs(g).max()))
+        for (s, y), a in zip(pairs, reversed(kept)):
+            # pairs hold the descent's curvature with the sign of the ascent
+            d = d - s * (a + (y @ d) / (s @ y))
+        if d @ g <= 0:
+            d, pairs = g / max(1.0, float(np.abs(g).max())), []
+        d = d * min(1.0, 2.0 / max(float(np.abs(d).max()), 1e-300))
+        length = 1.0
+        while True:
+            fn, gn = value(x + length * d)
+            if fn >= f + 1e-4 * length * (d @ g) or length < 1e-3:
+                break
+            length /= 2
+        if not fn > f:
+            break
+        s, y = length * d, gn - g
+        if s @ y < -1e-12:
+            pairs = [*pairs[-(memory - 1):], (s, y)]
+        gained, x, f, g = fn - f, x + s, fn, gn
+        if gained <= tolerance * abs(f):
+            break
+    return x, f
+
+
 def fit(df: DataFrame, features: Sequence[str], target: str, id_col: str,
         n_inducing: int = 500, seed: int = 42, lengthscales: Sequence[float] | None = None,
         outputscales: Sequence[float] | None = None, noises: Sequence[float] | None = None,
-        jitter: float = 1e-4, white: float = 0.0) -> SparseGP:
-    """M7 training on the rows of ``df`` (rows with NULLs skipped)."""
+        jitter: float = 1e-4, white: float = 0.0, steps: int | None = None) -> SparseGP:
+    """M7 training on the rows of ``df`` (rows with NULLs skipped).
+
+    ``steps`` bounds the L-BFGS steps after the grid: 20, or 0 (the grid's
+    best point as it is) where the caller names a grid.
+    """
     feats = list(features)
+    if steps is None:
+        steps = 0 if lengthscales or outputscales or noises else 20
     d = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in [*feats, target]]).dropna()
     st = d.agg(F.avg(target).alias("m"), F.var_pop(target).alias("v")).first()
     mean, var_y = float(st["m"]), float(st["v"] or 1.0) or 1.0
@@ -126,15 +236,24 @@ def fit(df: DataFrame, features: Sequence[str], target: str, id_col: str,
     s2s = list(outputscales or [var_y])
     nzs = list(noises or [0.01 * var_y, 0.1 * var_y, 0.5 * var_y])
     As, bs, yy, n = sufficient_stats(d, feats, target, z, lss, mean)
-    best = None
-    for i, ls in enumerate(lss):
-        kmm = _rbf(z, z, ls) + jitter * np.eye(len(z))
-        for s2 in s2s:
-            for nz in nzs:
-                f, B, K, binv_b = _bound(As[i], bs[i], yy, n, kmm, s2, nz)
-                if best is None or f > best[0]:
-                    best = (f, ls, s2, nz, B, K, binv_b)
-    f, ls, s2, nz, B, K, binv_b = best
+    f, ls, s2, nz, A, b = max(
+        ((_bound(As[i], bs[i], yy, n, _rbf(z, z, l) + jitter * np.eye(len(z)), s, e)[0], l, s, e, As[i], bs[i])
+         for i, l in enumerate(lss) for s in s2s for e in nzs), key=lambda t: t[0])
+    if steps:
+        seen: dict[float, list] = {}   # statistics of the last lengthscale
+
+        def value(theta):
+            if theta[0] not in seen:
+                seen.clear()
+                seen[theta[0]] = gradient_stats(d, feats, target, z, float(np.exp(theta[0])), mean)
+            return bound_gradient(seen[theta[0]], yy, n, z, theta, jitter)
+
+        theta, _ = climb(value, np.log([ls, s2, nz]), steps)
+        if theta[0] not in seen:
+            value(theta)
+        ls, s2, nz = map(float, np.exp(theta))
+        A, b = seen[theta[0]][:2]
+    f, B, K, binv_b = _bound(A, b, yy, n, _rbf(z, z, ls) + jitter * np.eye(len(z)), s2, nz)
     w = binv_b / nz
     c = np.linalg.inv(K) - np.linalg.inv(B)
     return SparseGP(feats, z, ls, s2, nz, mean, jitter, white, w, c, float(f))

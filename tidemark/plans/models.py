@@ -139,6 +139,49 @@ def sparse_gp_panel(spark, sf_dir):
     return out.select("o_custkey", "NDVI_2000H", "gp_mean", "gp_var", "gp_lower", "gp_upper")
 
 
+# the panel's years moved so that the target year is the scripts' own
+_MOVED = {c: f"NDVI_{int(c[5:9]) + 24}{c[9]}" for c in NDVI if int(c[5:9]) <= 2000}
+
+
+def variant_table(spark, sf_dir):
+    """The panel under the column names of the scripts' point table."""
+    classes = io.load_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("STRATCODE"),
+        F.col("c_nationkey").cast("double").alias("FID"), F.col("c_acctbal").alias("Longitude"))
+    p = prepared_panel(spark, sf_dir).filter(F.col("NDVI_2000H").isNotNull())
+    p = clean.blank_to(p.join(classes, "o_custkey", "left"), "STRATCODE", "WATER")
+    p = clean.fill_constant(p, {"FID": 0.0, "Longitude": 0.0})
+    return p.select(F.col("o_custkey").alias("OBJECTID"), "is_test", "Longitude", "FID", "STRATCODE",
+                    *[F.col(c).alias(m) for c, m in _MOVED.items()])
+
+
+@register("sparse_gp_variants")
+def sparse_gp_variants(spark, sf_dir, n_inducing=500):
+    """M11 + M7: each of the seven variants fitted on its own columns, scaling
+    and kernel terms; number of features, metrics and the share of test rows
+    inside the band."""
+    w, target = cut_lineage(variant_table(spark, sf_dir)), "NDVI_2024H"
+    out = None
+    for name in features.VARIANTS:
+        feats, var = features.feature_set(w, name, [target, "NDVI_2024L"])
+        p = w
+        if var.sediment_class:
+            p = models.one_hot(w, "STRATCODE", drop_first=True)
+            feats = [*feats, *[c for c in p.columns if c not in w.columns]]
+        if var.scale != "none":
+            p = models.standardise(p, feats, fit_on=p.filter(~F.col("is_test")) if var.scale == "train" else p)
+        p = cut_lineage(p.select("OBJECTID", "is_test", target, *feats))
+        model = gp.fit(p.filter(~F.col("is_test")), feats, target, "OBJECTID", n_inducing=n_inducing,
+                       white=var.white, jitter=var.jitter)
+        test = gp.predict(p.filter("is_test").select("OBJECTID", target, *feats), model)
+        inside = test.agg(F.avg(F.col(target).between(F.col("gp_lower"), F.col("gp_upper")).cast("int"))
+                          .alias("inside_band"))
+        one = (models.regression_metrics(test, target, "gp_mean").crossJoin(F.broadcast(inside))
+               .withColumns({"variant": F.lit(name), "n_features": F.lit(len(feats))}))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 FORECAST_SQL = f"""
 WITH {PANEL_CTE},
 s AS (SELECT *, md5(CAST(o_custkey AS VARCHAR) || '-42') < '33333333' AS is_test FROM panel),
