@@ -2,7 +2,7 @@
 
 Each is one or two aggregate passes whose result is bounded (one row, or a
 fixed number of bins / grid cells); exact quantiles come from
-``rank.exact_quantiles`` (histogram narrowing, no single-task buffer).
+``rank.column_quantiles`` (histogram narrowing, no single-task buffer).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import pair_count, safe_corr
-from tidemark.operators.rank import exact_quantiles
+from tidemark.operators.rank import column_quantiles, exact_quantiles
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -31,22 +31,25 @@ def n_distinct(df: DataFrame, col: str, out: str = "n_clusters") -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample std, min, exact 25/50/75 % (linear), max,
-    one row per column."""
+    one row per column.  The quartiles of all columns come from the same
+    passes."""
     spark = df.sparkSession
-    cols = [c for c in cols if c in df.columns]
+    cols = [c for c in dict.fromkeys(cols) if c in df.columns]
+    schema = ("column string, count long, mean double, std double, min double, "
+              "p25 double, p50 double, p75 double, max double")
+    if not cols:
+        return spark.createDataFrame([], schema)
     df = df.select(*cols).persist()       # read by several passes below
     base = df.agg(*[e for c in cols for e in (
         F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
         F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
         F.max(c).alias(f"{c}__max"))]).first()
+    quartiles = column_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     rows = []
-    for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+    for c, q in quartiles.items():
         rows.append((c, int(base[f"{c}__n"]), base[f"{c}__mean"], base[f"{c}__std"],
                      _f(base[f"{c}__min"]), q[0.25], q[0.5], q[0.75], _f(base[f"{c}__max"])))
     df.unpersist()
-    schema = ("column string, count long, mean double, std double, min double, "
-              "p25 double, p50 double, p75 double, max double")
     return spark.createDataFrame(rows, schema)
 
 
