@@ -41,6 +41,66 @@ def linear_panel_predictions(spark, sf_dir):
                                     [f"Predicted_{t}" for t in TARGETS])
 
 
+_PAIR = ["NDVI_1999H", "NDVI_1999L"]
+_PAIR_CTE = f"""{PANEL_CTE},
+f AS (SELECT o_custkey, coalesce(NDVI_1999H, avg(NDVI_1999H) OVER ()) AS x1,
+             coalesce(NDVI_1999L, avg(NDVI_1999L) OVER ()) AS x2, NDVI_2000H AS h, NDVI_2000L AS l,
+             md5(CAST(o_custkey AS VARCHAR) || '-42') < '33333333' AS is_test FROM panel)"""
+
+
+def _plane_sql(y):
+    """Least-squares plane of ``y`` over x1 and x2 on the training rows."""
+    return f"""SELECT b1, b2, my - b1 * m1 - b2 * m2 AS a FROM (
+  SELECT (s1 * v2 - s2 * c) / (v1 * v2 - c * c) AS b1, (s2 * v1 - s1 * c) / (v1 * v2 - c * c) AS b2, my, m1, m2
+  FROM (SELECT var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c, covar_pop(x1, {y}) AS s1,
+               covar_pop(x2, {y}) AS s2, avg({y}) AS my, avg(x1) AS m1, avg(x2) AS m2
+        FROM f WHERE NOT is_test AND {y} IS NOT NULL))"""
+
+
+@register("linear_pair_predictions", f"""
+WITH {_PAIR_CTE}, ph AS ({_plane_sql("h")}), pl AS ({_plane_sql("l")})
+SELECT o_custkey, round(ph.a + ph.b1 * x1 + ph.b2 * x2, 2) AS Predicted_NDVI_2000H,
+       round(pl.a + pl.b1 * x1 + pl.b2 * x2, 2) AS Predicted_NDVI_2000L
+FROM f CROSS JOIN ph CROSS JOIN pl
+""")
+def linear_pair_predictions(spark, sf_dir):
+    """M5 (two features) + M10: both tides from the last year's two tides,
+    predictions for every point."""
+    p = cut_lineage(prepared_panel(spark, sf_dir))
+    out = p
+    for t in TARGETS:
+        out = out.withColumn(f"Predicted_{t}", models.linear_fit(p.filter(~F.col("is_test")), _PAIR, t).predict())
+    return round_doubles(models.predictions_table(out, ["o_custkey"], [f"Predicted_{t}" for t in TARGETS]), 2)
+
+
+@register("panel_feature_vector", f"""
+WITH {PANEL_CTE}
+SELECT o_custkey, CAST(i AS INTEGER) AS place, round(list_extract(v, i + 1), 6) AS value
+FROM (SELECT o_custkey, [{", ".join(f"coalesce({c}, avg({c}) OVER ())" for c in FEATURES)}] AS v FROM panel),
+     range({len(FEATURES)}) r(i)
+""")
+def panel_feature_vector(spark, sf_dir):
+    """M3: the imputed features as one array, read back by place."""
+    v = models.assemble(prepared_panel(spark, sf_dir), FEATURES)
+    return round_doubles(v.select("o_custkey", F.posexplode("features").alias("place", "value")))
+
+
+@register("pca_pair", f"""
+WITH {_PAIR_CTE},
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2,
+             0.5 * atan2(2 * covar_samp(x1, x2), var_samp(x1) - var_samp(x2)) AS t FROM f),
+d AS (SELECT m1, m2, cos(t) AS c, sin(t) AS s FROM m),
+u AS (SELECT m1, m2, CASE WHEN (CASE WHEN abs(s) > abs(c) THEN s ELSE c END) < 0 THEN -1 ELSE 1 END AS one,
+             CASE WHEN (CASE WHEN abs(c) > abs(s) THEN c ELSE -s END) < 0 THEN -1 ELSE 1 END AS two, c, s FROM d)
+SELECT o_custkey, round(one * (c * (x1 - m1) + s * (x2 - m2)), 2) AS pc1,
+       round(two * (c * (x2 - m2) - s * (x1 - m1)), 2) AS pc2
+FROM f CROSS JOIN u
+""")
+def pca_pair(spark, sf_dir):
+    """M9 on two columns, whose axes SQL can turn by one angle."""
+    return round_doubles(models.pca_2d(cut_lineage(prepared_panel(spark, sf_dir)), _PAIR, "o_custkey"), 2)
+
+
 @register("linear_panel_metrics")
 def linear_panel_metrics(spark, sf_dir):
     """M8 on the test rows of both linear models."""
