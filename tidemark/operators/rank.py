@@ -103,6 +103,18 @@ def _order_statistics(vals: DataFrame, state: dict, buckets: int) -> dict:
                     acc += h["c"]
 
 
+def order_statistics(df: DataFrame, col: str, ranks: Sequence[int],
+                     buckets: int = 4096) -> dict[int, float]:
+    """Exact values at 0-based ``ranks`` of the values of ``col`` that are
+    neither NULL nor NaN; None without any."""
+    vals = df.select(F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("v0"))
+    st = vals.agg(F.min("v0").alias("lo"), F.max("v0").alias("hi"), F.count("v0").alias("n")).first()
+    if st["n"] == 0:
+        return {int(r): None for r in ranks}
+    found = _order_statistics(vals, {(0, int(r)): (st["lo"], st["hi"], 0) for r in ranks}, buckets)
+    return {r: v for (_, r), v in found.items()}
+
+
 def column_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]],
                      buckets: int = 4096) -> dict[str, dict[float, float | None]]:
     """Linear-interpolated quantiles (position ``(n-1)q`` among the values
