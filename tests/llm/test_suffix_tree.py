@@ -118,6 +118,16 @@ def test_least_count_follows_the_corpus(spark):
         assert g[:5] == w[:5] and g[5:7] == pytest.approx(w[5:7], rel=1e-9) and g[7] == w[7]
 
 
+def test_default_least_count_is_one_at_every_size(spark):
+    """Words seen nine times, in a corpus whose root would ask for more."""
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, "a b c d " * 9000) for i in learnt[:8]] + [(i, "new york is a b") for i in learnt[8:17]]
+    assert 0.02 * math.sqrt(8 * 36000) > 9
+    want = brute(rows, suffix_tree.DEPTH, suffix_tree.MIN_COUNT, suffix_tree.EVIDENCE, suffix_tree.MU)
+    for g, w in zip(scored(spark, rows, "doc_id long, text string"), want, strict=True):
+        assert g[:5] == w[:5] and g[5:7] == pytest.approx(w[5:7], rel=1e-9) and g[7] == w[7]
+
+
 def test_contexts_in_parts_and_buckets_do_not_matter(spark):
     kw = {"depth": 2, "min_count": 4, "evidence": 0.5, "mu": 3.0}
     got = scored(spark, chain_rows(150), "doc_id long, text string", part=7, bucket=300, root_share=0.0, **kw)

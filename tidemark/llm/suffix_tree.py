@@ -7,9 +7,9 @@ symbol is scored in the longest suffix of its past that the tree retains:
 * the empty context has add-one frequencies of all words;
 * words seen ``least`` times or more in training are symbols of their own
   behind a context, all others share one symbol there and are told apart by
-  their add-one frequencies.  ``least`` follows the root of the training
-  tokens' number (``root_share`` of it, ``min_count`` or more), so that larger
-  corpora have both more contexts and better known ones;
+  their add-one frequencies.  ``least`` is ``min_count`` at every size of the
+  corpus; a caller may have it follow the root of the training tokens' number
+  (``root_share`` of it, ``min_count`` or more);
 * a context of ``d`` words is tried where the context of its last ``d - 1``
   words is retained and training holds it ``least`` times or more.  It is
   retained where its next symbols diverge from those of that shorter context:
@@ -58,7 +58,7 @@ from .registry import load, query
 
 DEPTH = 2
 MIN_COUNT = 8
-ROOT_SHARE = 0.02
+ROOT_SHARE = 0.0
 EVIDENCE = 2.0
 MU = 30.0
 BLOCK_BYTES = 8 << 20
