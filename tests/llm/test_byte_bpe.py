@@ -45,3 +45,11 @@ def test_unpack(spark, edge_docs):
     enc = byte_bpe.encode(edge_docs.filter("doc_id = 9"), RANKS, PATTERN)
     row = enc.select(byte_bpe.unpack_ids(enc.ids).alias("x"), "ids").first()
     assert row.x == np.frombuffer(row.ids, "<u4").tolist()
+
+
+def test_encode_and_decode_share_one_worker(edge_docs):
+    plan = byte_bpe.digests(edge_docs, RANKS, PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = byte_bpe.decode(byte_bpe.encode(edge_docs, RANKS, PATTERN), RANKS, PATTERN)
+    assert sorted(map(tuple, byte_bpe.encode_decode(edge_docs, RANKS, PATTERN).collect()), key=str) == sorted(
+        map(tuple, both.collect()), key=str)

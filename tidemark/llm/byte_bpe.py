@@ -96,40 +96,54 @@ def _codec(ranks_path: str, pattern: str) -> TreeCodec:
     return TreeCodec(ranks_path, pattern)  # one for each worker process
 
 
+def _encoded(batches, codec: TreeCodec):
+    """(k, text) to (k, v): the packed ids."""
+    for b in slices(batches, 1):
+        ids = [codec.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["k", "v"])
+
+
+def _decoded(batches, codec: TreeCodec):
+    """(k, v) to (k, v, w): the bytes of the packed ids."""
+    for b in slices(batches, 1):
+        out = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k", "v", "w"])
+
+
+def _packed(src: DataFrame, *columns: str) -> T.StructType:
+    return T.StructType([T.StructField("k", src.schema["k"].dataType),
+                         *[T.StructField(c, T.BinaryType()) for c in columns]])
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``ids_col``: the token ids as little-endian unsigned
     32-bit integers in one binary value (``unpack_ids`` gives an array)."""
     src = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("v"))
-
-    def run(batches):
-        codec = _codec(ranks_path, pattern)
-        for b in slices(batches, 1):
-            ids = [codec.encode(t or "").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())],
-                                             names=["k", "v"])
-
-    schema = T.StructType([T.StructField("k", src.schema["k"].dataType),
-                           T.StructField("v", T.BinaryType())])
-    return src.mapInArrow(run, schema).toDF(id_col, ids_col)
+    return src.mapInArrow(lambda batches: _encoded(batches, _codec(ranks_path, pattern)),
+                          _packed(src, "v")).toDF(id_col, ids_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``encode``'s rows with the decoded bytes as a further column."""
     src = df.select(F.col(id_col).alias("k"), F.col(ids_col).alias("v"))
+    return src.mapInArrow(lambda batches: _decoded(batches, _codec(ranks_path, pattern)),
+                          _packed(src, "v", "w")).toDF(id_col, ids_col, bytes_col)
+
+
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
+                  text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode`` in one Python step: a task holds one worker
+    with the rank tables instead of two that pass the ids on."""
+    src = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("v"))
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b in slices(batches, 1):
-            out = [codec.decode(np.frombuffer(x or b"", "<u4")) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(out, pa.binary())], names=["k", "v", "w"])
+        return _decoded(_encoded(batches, codec), codec)
 
-    schema = T.StructType([T.StructField("k", src.schema["k"].dataType),
-                           T.StructField("v", T.BinaryType()),
-                           T.StructField("w", T.BinaryType())])
-    return src.mapInArrow(run, schema).toDF(id_col, ids_col, bytes_col)
+    return src.mapInArrow(run, _packed(src, "v", "w")).toDF(id_col, ids_col, bytes_col)
 
 
 def unpack_ids(packed):
@@ -149,7 +163,7 @@ def default_ranks() -> tuple[str, str]:
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    both = encode_decode(docs, ranks_path, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
