@@ -89,3 +89,19 @@ def test_recall_of_the_approximate_search(spark):
     found = {(r.src, r.dst) for r in knn.approx_knn_edges(v, 5, trees=10, leaf_rows=400).collect()}
     v.unpersist()
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_rough_distances_keep_every_neighbour(spark):
+    """The matrix product leaves candidates only; exact distances, far from the
+    origin and among ties, are those of all pairs."""
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(400, 6)), np.round(rng.normal(size=(400, 2)), 1) + 1e6):
+        rough = cells.Rough(x[:150], x)
+        d, wrong = rough.squares(0, 150)
+        exact = cells.distances(x[:150], x, "euclidean")
+        assert (np.abs(d - exact ** 2) <= wrong[:, None]).all()
+        got = {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in knn.knn_edges(
+            frame(spark, x), 4, block_rows=60).collect()}
+        for i, row in enumerate(cells.distances(x, x, "euclidean")):
+            want = sorted((d, j) for j, d in enumerate(row))[:4]
+            assert [got[i, n + 1] for n in range(4)] == [(j, d) for d, j in want]
