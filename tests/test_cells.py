@@ -105,3 +105,44 @@ def test_rough_distances_keep_every_neighbour(spark):
         for i, row in enumerate(cells.distances(x, x, "euclidean")):
             want = sorted((d, j) for j, d in enumerate(row))[:4]
             assert [got[i, n + 1] for n in range(4)] == [(j, d) for d, j in want]
+
+
+def test_a_point_is_copied_once_a_tile(spark):
+    """Without structure all blocks meet; a row goes to each tile of the other
+    side, however many blocks there are."""
+    x = np.random.default_rng(8).normal(size=(1200, 16))
+    p, n_pivots = cells.blocks(frame(spark, x), 20)
+    blocks = p.select("block").distinct()
+    pairs = blocks.toDF("qb").crossJoin(blocks.toDF("rb")).filter("qb <> rb").localCheckpoint()
+    q, r = p.select("id", F.col("block").alias("qb")), p.select(F.col("id").alias("rid"), F.col("block").alias("rb"))
+    seen = cells.tiled(q, r, pairs, n_pivots, 1200 * 16).applyInPandas(
+        lambda a, b: a.iloc[:1][[]].assign(q=len(a), r=len(b)), "q long, r long")
+    got = seen.agg(F.sum("q"), F.sum("r"), F.count("*"), F.max("q")).first()
+    assert blocks.count() >= 60
+    assert got[0] == got[1] == 1200 * cells.TILES and got[2] == cells.TILES ** 2
+    assert got[3] < 3 * 1200 / cells.TILES
+
+
+def test_points_too_close_for_single_precision(spark):
+    """Clusters far smaller than their distance from each other, many equal
+    distances: the neighbours are those of all pairs."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(4, 3)) * 100, 60, 0) + np.round(rng.normal(size=(240, 3)), 1) * 1e-6
+    got = {(r.src, r.dst, r["rank"]): r.dist for r in knn.knn_edges(frame(spark, x), 6, block_rows=24).collect()}
+    assert got == brute(range(240), x, 6, "euclidean")
+
+
+def test_denser_parent_across_tiles(spark):
+    """Each point's nearest denser point of its component, by all pairs."""
+    rng = np.random.default_rng(10)
+    x, c, radius = rng.normal(size=(300, 5)), rng.integers(0, 3, 300), np.round(rng.uniform(1, 2, 300), 2)
+    nodes = spark.createDataFrame([(i, int(c[i]), float(radius[i])) for i in range(300)],
+                                  "id long, component long, knn_radius double")
+    edges = spark.createDataFrame([], knn.EDGE_SCHEMA)
+    got = {r.id: (r.parent, r.best_distance) for r in cpf.denser_parent(frame(spark, x), edges, nodes, 15).collect()}
+    d = cells.distances(x, x, "euclidean")
+    for i in range(300):
+        near = sorted((d[i, j], j) for j in range(300) if c[j] == c[i] and radius[j] < radius[i])
+        if near:
+            assert got[i] == (near[0][1], near[0][0])
+    assert len(got) == 300
