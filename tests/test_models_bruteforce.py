@@ -130,3 +130,22 @@ def test_every_gp_variant_is_fitted(spark):
     assert set(rows) == set(features.VARIANTS)
     assert all(r.n > 0 and r.mse > 0 and 0 <= r.inside_band <= 1 for r in rows.values())
     assert rows["basic_wave_with_class"].n_features > rows["no_sediment_class"].n_features
+
+
+def test_bandwidth_and_labels_hold_a_piece_of_the_matrix():
+    """The tasks' arrays do not grow with the sample or the number of centres."""
+    import tracemalloc
+
+    import pandas as pd
+    r = np.random.default_rng(3).normal(size=(50_000, 2))
+    x, centres = r[:40], r[:20_000]
+    c = pd.DataFrame({"label": np.arange(len(centres)), "centre": list(centres)})
+    q = pd.DataFrame({"id": np.arange(300), "vec": list(r[:300])})
+    tracemalloc.start()
+    got = meanshift._kth_distance(x, r, 10_000, 256)
+    labels = meanshift._nearest_centre(q, c)["label"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.sort(np.sqrt(((x[:, None] - r[None]) ** 2).sum(2)), 1)[:, 9_999]
+    assert np.allclose(got, want) and (labels == np.arange(300)).all()
+    assert most < 5 * 8 * meanshift.MATRIX

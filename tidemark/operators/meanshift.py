@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import euclidean
-from tidemark.operators.cells import SLACK, in_chunks, balls, blocks, near_pairs
+from tidemark.operators.cells import MATRIX, SLACK, in_chunks, balls, blocks, near_pairs
 from tidemark.operators.clean import sample_n
 from tidemark.operators.rank import global_rank
 from tidemark.session import cut_lineage, cut_lineage_counted, cut_lineage_path, drop_table
@@ -28,6 +28,20 @@ def _matrix(pdf: pd.DataFrame, col: str = "vec") -> np.ndarray:
     return np.stack(pdf[col].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
 
 
+def _kth_distance(x: np.ndarray, r: np.ndarray, k: int, chunk: int) -> np.ndarray:
+    """Distance of every row of ``x`` to its ``k``-th nearest of ``r``."""
+    step, r2, out = min(chunk, max(1, MATRIX // len(r))), (r * r).sum(1), np.empty(len(x))
+    for s in range(0, len(x), step):
+        # |x - r|^2 by products: one piece of the matrix at a time
+        xc = x[s:s + step]
+        d2 = xc @ r.T
+        d2 *= 2.0
+        np.subtract((xc * xc).sum(1)[:, None] + r2[None, :], d2, out=d2)
+        np.maximum(d2, 0.0, out=d2).partition(k - 1, axis=1)
+        out[s:s + step] = np.sqrt(d2[:, k - 1])
+    return out
+
+
 def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int = 50_000,
                        seed: int = 42, chunk: int = 256) -> float:
     """Mean distance from each sampled point to its k-th nearest
@@ -35,7 +49,8 @@ def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int
 
     The sample (P16, md5 order) is bounded by ``n_samples`` and broadcast;
     the per-point order statistic is computed by the tasks that hold the
-    query points, and averaged by an aggregate.
+    query points, and averaged by an aggregate.  ``chunk`` bounds the rows of
+    a task's distance matrix, which never has more than about ``MATRIX`` cells.
     """
     # the sample comes out of one sorted partition: deal it over the tasks
     # that compute its distances
@@ -50,17 +65,8 @@ def estimate_bandwidth(vectors: DataFrame, quantile: float = 0.2, n_samples: int
     ref_b = vectors.sparkSession.sparkContext.broadcast(ref)
 
     def fn(it):
-        r = ref_b.value
-        r2 = (r * r).sum(1)
         for pdf in it:
-            x = _matrix(pdf)
-            out = []
-            for s in range(0, len(x), chunk):
-                # |x - r|^2 by products: one chunk x sample matrix at a time
-                xc = x[s:s + chunk]
-                d2 = np.maximum((xc * xc).sum(1)[:, None] + r2[None, :] - 2.0 * (xc @ r.T), 0.0)
-                out.append(np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]))
-            yield pd.DataFrame({"kd": np.concatenate(out) if out else np.zeros(0)})
+            yield pd.DataFrame({"kd": _kth_distance(_matrix(pdf), ref_b.value, k, chunk)})
 
     kd = samp.select("vec").mapInPandas(fn, "kd double")
     return float(kd.agg(F.avg("kd")).first()[0])
@@ -198,8 +204,9 @@ def _nearest_centre(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
                              "label": pd.Series([], dtype="int32")})
     c = c.sort_values("label")
     centre, x = _matrix(c, "centre"), _matrix(q)
-    best = np.concatenate([((x[lo:lo + 256, None, :] - centre[None]) ** 2).sum(-1).argmin(1)
-                           for lo in range(0, len(x), 256)])
+    step = max(1, MATRIX // centre.size)
+    best = np.concatenate([((x[lo:lo + step, None, :] - centre[None]) ** 2).sum(-1).argmin(1)
+                           for lo in range(0, len(x), step)])
     return pd.DataFrame({"id": q["id"].to_numpy(), "d": ((x - centre[best]) ** 2).sum(1),
                          "label": c["label"].to_numpy()[best]})
 
