@@ -78,3 +78,28 @@ class Spread:
         small = self._salts(small).withColumn(
             "__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
         return big.join(small, [self.key, "__salt", *on], how).drop("__salt")
+
+
+def sum_of_parts(parts, add, wide: int = 16):
+    """Sum of the elements of an RDD (one or few a partition, all of one size),
+    in the order of its partitions.
+
+    Tasks add up the elements of ``wide`` partitions at a time until one is
+    left, so that the driver is sent a single element, whatever the number of
+    partitions.
+    """
+    def run(values):
+        total = None
+        for v in values:
+            total = v if total is None else add(total, v)
+        if total is not None:
+            yield total
+
+    def in_order(pairs):
+        return run(v for _, v in sorted(pairs, key=lambda p: p[0]))
+
+    parts = parts.mapPartitions(run)
+    while (n := parts.getNumPartitions()) > 1:
+        parts = (parts.mapPartitionsWithIndex(lambda i, vs: ((i // wide, (i, v)) for v in vs))
+                 .partitionBy(-(-n // wide), int).values().mapPartitions(in_order))
+    return parts.reduce(add)

@@ -9,9 +9,10 @@ direction for missing values learned at every split (Chen & Guestrin, 2016).
   values is cut at every one of them.
 * Rows are binned once into a written table: one byte a feature, one block an
   Arrow batch.  Every level of a tree is one job: each task adds up gradient
-  and count per (node, feature, bin) of its blocks, a tree reduction adds the
-  tasks' arrays, and the driver reads the splits from the sum, whose size is
-  bounded by nodes x features x 256, whatever the row count.  Of two siblings
+  and count per (node, feature, bin) of its blocks, further tasks add up the
+  tasks' arrays, and the driver is sent one sum a job to read the splits from,
+  whose size is bounded by nodes x features x 256, whatever the row count and
+  the number of tasks.  Of two siblings
   only the one with fewer rows is summed; the other is the rest of the parent.
 * Several targets are fitted in the same jobs, each on its own features.
 * A row's prediction so far is kept beside its block and moved forward in the
@@ -36,6 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators._util import sum_of_parts
 from tidemark.operators.models import training_partitions
 from tidemark.session import cut_lineage_path, drop_table
 
@@ -141,10 +143,6 @@ def _best_splits(hist: np.ndarray, layout: Layout, l2: float, min_child: float):
     return best
 
 
-# Histograms that the driver adds up itself; more are added in a tree of tasks.
-DIRECT_TASKS = 32
-
-
 def _histograms(state, work, levels: int, missing: np.ndarray):
     """Sum over all rows of gradient and count per (built node, feature, bin),
     one array a target.  ``work``: (target place, its layout, tree, slot of
@@ -165,8 +163,7 @@ def _histograms(state, work, levels: int, missing: np.ndarray):
     def add(a, b):
         return [x + y for x, y in zip(a, b)]
 
-    sums = state.mapPartitions(run)
-    total = sums.reduce(add) if state.getNumPartitions() <= DIRECT_TASKS else sums.treeReduce(add)
+    total = sum_of_parts(state.mapPartitions(run), add)
     return [t.reshape(2, slots, lay.cells) for t, (_, lay, _, _, slots) in zip(total, work)]
 
 
