@@ -114,3 +114,28 @@ def test_panel_of_both_tides(spark):
         known = rows.dropna(subset=[f"NDVI_2000{t}"])
         got = (known[f"NDVI_2000{t}"] - known[f"Predicted_NDVI_2000{t}"]).abs()
         assert len(known) and np.allclose(known[f"Residual_{t}"], got)
+
+
+def test_driver_is_sent_one_sum_a_job(spark, monkeypatch):
+    """Histograms and Gaussian-process matrices are added up by tasks: what
+    reaches the driver does not grow with their number."""
+    from pyspark.core.rdd import RDD
+
+    from tidemark.operators import gp
+    from tidemark.operators._util import sum_of_parts
+    sent, reduce = [], RDD.reduce
+
+    def watched(self, f):
+        sent.append(self.getNumPartitions())
+        return reduce(self, f)
+
+    monkeypatch.setattr(RDD, "reduce", watched)
+    for n in (1, 2, 37, 300):
+        rdd = spark.sparkContext.parallelize(range(n), n)
+        assert sum_of_parts(rdd.map(lambda i: [i]), lambda a, b: a + b) == list(range(n))
+    df = spark.range(0, 45_000, 1, 5).select(
+        "id", (F.col("id") % 97 / 97.0).alias("a"), (F.col("id") % 31 / 31.0).alias("b"))
+    df = df.withColumn("y", F.col("a") * 2 - F.col("b"))
+    boosting.fit(df, {"y": ["a", "b"]}, rounds=2, depth=2)
+    gp.fit(df, ["a", "b"], "y", "id", n_inducing=8, steps=1)
+    assert len(sent) > 8 and set(sent) == {1}

@@ -7,7 +7,8 @@ md5 sample of the training rows), so only three numbers are searched:
 
 * one distributed pass computes the sufficient statistics A = sum phi phi',
   b = sum phi y, y'y, n with phi = k(Z, x) (m values per row; every task sums
-  its rows, a tree reduction merges m x m matrices) for a few lengthscales;
+  its rows, further tasks add up the upper halves of the tasks' m x m matrices
+  and the driver is sent one sum) for a few lengthscales;
 * the collapsed bound is evaluated on the driver for a grid of lengthscale,
   output scale and noise (all m x m algebra), the best triple starts L-BFGS on
   their logarithms.  Every evaluation is one pass, whose tasks also sum the
@@ -29,7 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators._util import sum_of_parts
 from tidemark.operators.clean import sample_n
+from tidemark.operators.models import training_partitions
 
 
 def _rbf(a: np.ndarray, b: np.ndarray, ls: float) -> np.ndarray:
@@ -48,6 +51,23 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [z[f"arr_{i}"] for i in range(len(z.files))]
 
 
+def _half(a: np.ndarray) -> np.ndarray:
+    """The upper half of a symmetric matrix, row by row."""
+    return a[np.triu_indices(len(a))]
+
+
+def _whole(half: np.ndarray, m: int) -> np.ndarray:
+    out = np.zeros((m, m))
+    out[np.triu_indices(m)] = half
+    return out + np.triu(out, 1).T
+
+
+def _added(rows: DataFrame) -> list[np.ndarray]:
+    """Sum of the packed arrays of all tasks, one of which reaches the driver."""
+    return sum_of_parts(rows.rdd.map(lambda r: _unpack(bytes(r["blob"]))),
+                        lambda a, b: [x + y for x, y in zip(a, b, strict=True)])
+
+
 @dataclass
 class SparseGP:
     features: list[str]
@@ -64,7 +84,7 @@ class SparseGP:
 
 
 def sufficient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.ndarray,
-                     lengthscales: Sequence[float], mean: float, depth: int = 2):
+                     lengthscales: Sequence[float], mean: float):
     """Per lengthscale: (A, b) with unit output scale, plus y'y and n."""
     feats = list(features)
     zb = df.sparkSession.sparkContext.broadcast(z)
@@ -84,13 +104,13 @@ def sufficient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.
                 acc[len(lss) + i] += phi.T @ y
             yy += float(y @ y)
             n += len(y)
-        yield pd.DataFrame({"blob": [_pack(acc + [np.array([yy, n])])]})
+        halves = [_half(a) for a in acc[:len(lss)]]
+        yield pd.DataFrame({"blob": [_pack(halves + acc[len(lss):] + [np.array([yy, n])])]})
 
     rows = df.select(*feats, target).mapInPandas(fn, "blob binary")
-    tot = rows.rdd.map(lambda r: _unpack(bytes(r["blob"]))).treeReduce(
-        lambda a, b: [x + y for x, y in zip(a, b)], depth=depth)
+    tot = _added(rows)
     L = len(lss)
-    return tot[:L], tot[L:2 * L], float(tot[-1][0]), int(tot[-1][1])
+    return [_whole(h, len(z)) for h in tot[:L]], tot[L:2 * L], float(tot[-1][0]), int(tot[-1][1])
 
 
 def _bound(A, b, yy, n, kmm, s2, noise):
@@ -113,7 +133,7 @@ def _bound(A, b, yy, n, kmm, s2, noise):
 
 
 def gradient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.ndarray,
-                   lengthscale: float, mean: float, depth: int = 2):
+                   lengthscale: float, mean: float):
     """(A, b, dA, db) with unit output scale; dA and db are the derivatives by
     the logarithm of the lengthscale.  One pass."""
     feats = list(features)
@@ -129,13 +149,12 @@ def gradient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.nd
             cross = slope.T @ phi
             for a, v in zip(acc, (phi.T @ phi, phi.T @ y, cross + cross.T, slope.T @ y)):
                 a += v
-        yield pd.DataFrame({"blob": [_pack(acc)]})
+        yield pd.DataFrame({"blob": [_pack([_half(acc[0]), acc[1], _half(acc[2]), acc[3]])]})
 
     rows = df.select(*feats, target).mapInPandas(fn, "blob binary")
-    out = rows.rdd.map(lambda r: _unpack(bytes(r["blob"]))).treeReduce(
-        lambda a, b: [x + y for x, y in zip(a, b)], depth=depth)
+    A, by, dA, db = _added(rows)
     zb.unpersist()
-    return out
+    return [_whole(A, len(z)), by, _whole(dA, len(z)), db]
 
 
 def _rbf_slope(a: np.ndarray, b: np.ndarray, ls: float):
@@ -227,7 +246,9 @@ def fit(df: DataFrame, features: Sequence[str], target: str, id_col: str,
     if steps is None:
         steps = 0 if lengthscales or outputscales or noises else 20
     d = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in [*feats, target]]).dropna()
-    st = d.agg(F.avg(target).alias("m"), F.var_pop(target).alias("v")).first()
+    st = d.agg(F.avg(target).alias("m"), F.var_pop(target).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    # every task of a pass hands on its matrices
+    d = d.coalesce(training_partitions(st["n"], d.sparkSession.sparkContext.defaultParallelism))
     mean, var_y = float(st["m"]), float(st["v"] or 1.0) or 1.0
     zrows = sample_n(d, id_col, n_inducing, seed).select(*feats).collect()
     z = np.array([[float(r[c]) for c in feats] for r in zrows])
