@@ -56,6 +56,40 @@ def test_mean_shift_matches_numpy(spark):
     assert np.allclose(sc, C, atol=1e-9)
 
 
+def test_mean_shift_takes_many_steps_a_round(spark, monkeypatch):
+    """Seeds that climb a ramp of density for over a hundred steps."""
+    X = np.stack([10 * np.sqrt((np.arange(1200) + 0.5) / 1200), np.arange(1200) % 7 * 0.05], 1)
+    X[:400, 1] += 5
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, vec array<double>")
+    C, lab = mean_shift_numpy(X, 1.0)
+    cut, tables = meanshift.cut_lineage_counted, []
+    monkeypatch.setattr(meanshift, "cut_lineage_counted", lambda df, **kw: tables.append(kw) or cut(df, **kw))
+    labels, centres = meanshift.mean_shift(v, 1.0, block_rows=100)
+    assert len([t for t in tables if "walks" in t]) < 10
+    assert [r.label for r in labels.orderBy("id").collect()] == list(lab)
+    assert np.allclose([r.centre for r in centres.orderBy("label").collect()], C, atol=1e-9)
+
+
+def test_mean_shift_with_ways_of_all_lengths(spark, monkeypatch):
+    """Where few points may be held, some seeds walk and others take single steps."""
+    X = np.random.default_rng(5).normal(size=(600, 2))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, vec array<double>")
+    C, lab = mean_shift_numpy(X, 0.8, max_iter=6)
+    cut, seen = meanshift.cut_lineage_counted, []
+
+    def counted(df, **kw):
+        out = cut(df, **kw)
+        seen.append(out[2])
+        return out
+
+    monkeypatch.setattr(meanshift, "cut_lineage_counted", counted)
+    monkeypatch.setattr(meanshift, "WALK", 2 * 220)
+    labels, centres = meanshift.mean_shift(v, 0.8, max_iter=6, block_rows=20)
+    assert sum(s.get("walks", 0) for s in seen) and sum(s.get("steps", 0) for s in seen)
+    assert [r.label for r in labels.orderBy("id").collect()] == list(lab)
+    assert np.allclose([r.centre for r in centres.orderBy("label").collect()], C, atol=1e-9)
+
+
 def test_mean_shift_queries_over_all_dimensions(spark, tmp_path):
     """Four clusters that the first two of 12 dimensions don't tell apart."""
     from tidemark.plans import QUERIES
