@@ -210,3 +210,45 @@ def test_frequent_contexts_in_parts():
         assert all(len(set(r.context[run == i].tolist())) == 1 for i in range(len(r.runs)))
         assert len(set(zip(r.context.tolist(), r.next.tolist(), strict=True))) == len(r.key)
         assert r.in_train.sum() == len(r.at)
+
+
+def test_events_are_packed_as_differences():
+    r = np.random.default_rng(2)
+    for a in (np.zeros(0, np.uint64), r.integers(0, 1 << 64, 50, np.uint64, endpoint=False),
+              np.sort(r.integers(0, 1 << 40, 50)).astype(np.uint64)):
+        assert (suffix_tree._whole(suffix_tree._halves(a)) == a).all()
+    sizes = np.array([3, 1, 4, 2])
+    a = np.array([0, 5, 9, 7, 2, 3, 5, 1 << 40, 0, 1])
+    assert suffix_tree._steps(a, sizes).tolist() == [0, 5, 4, 7, 2, 1, 2, (1 << 40) - 5, 0, 1]
+    assert (suffix_tree._climbed(suffix_tree._steps(a, sizes), sizes) == a).all()
+    # contexts of two words in a block's order, where hashes would take 8 bytes each
+    pairs = np.unique(np.minimum(r.zipf(1.3, (4000, 2)), 1 << 17), axis=0).astype(np.uint64)
+    packed = suffix_tree._pack(suffix_tree._halves(pairs[:, 0] << np.uint64(32) | pairs[:, 1]))
+    assert len(packed) < 4 * len(pairs)
+
+
+def test_contexts_are_exact_pairs_or_hashes():
+    """Numbers that pass 32 bits are hashed; a block's symbols are in the numbers' order."""
+    keys = []
+    for own in (10, 1 << 32):
+        totals = suffix_tree.Totals(1000, 50, 0, least=1, own=own)
+        r = suffix_tree.Replay(np.array([0, 1, 0, 1, 1]), np.array([5]), np.ones(1, np.uint8),
+                               np.array([500, 380]), np.array([9, 7]), totals, 30.0)
+        assert r.number.tolist() == [0, 7, 9] and r.symbol.tolist() == [2, 1, 2, 1, 1]
+        r.open()
+        assert r.context.tolist() == [7, 7, 9]
+        keys.append(r.key.tolist())
+    assert keys[0] == [7 << 32 | 7, 7 << 32 | 9, 9 << 32 | 7] and not set(keys[0]) & set(keys[1])
+
+
+def test_tables_go_when_nothing_reads_them(spark, monkeypatch):
+    """At the end of a run only the blocks and one table of answers a level are left."""
+    left, leave = [], suffix_tree.Scratch.__exit__
+
+    def end(self, *a):
+        left.append([t.columns for t, _ in self.tables])
+        return leave(self, *a)
+
+    monkeypatch.setattr(suffix_tree.Scratch, "__exit__", end)
+    scored(spark, chain_rows(40), "doc_id long, text string")
+    assert len(left[0]) == 1 + 1 + suffix_tree.DEPTH and not any("words" in c or "lp" in c for c in left[0])

@@ -32,21 +32,28 @@ class Scratch:
     """Tables in the shared folder that a job needs only while it runs."""
 
     def __init__(self, spark):
-        self.spark, self.paths = spark, []
+        self.spark, self.tables = spark, []
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df``, written and read again."""
         df, path = cut_lineage_path(df)
-        self.paths.append(path)
+        self.tables.append((df, path))
         return df
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of ``write`` that nothing reads any more."""
+        for table, path in self.tables:
+            if table is df:
+                drop_table(self.spark, path)
+        self.tables = [x for x in self.tables if x[0] is not df]
+
     def __enter__(self):
         return self
 
     def __exit__(self, *_):
-        for path in self.paths:
+        for _, path in self.tables:
             drop_table(self.spark, path)
-        self.paths.clear()
+        self.tables.clear()
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, by: str,

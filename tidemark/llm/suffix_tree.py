@@ -29,8 +29,11 @@ about ``BUCKET`` tokens.  The sums of a group answer each of its rows, and the
 answers go back to the blocks.  Nothing is broadcast and nothing passes
 through the driver but the corpus totals.
 
-Words are compared by their bytes when they are counted, contexts and events
-behind them by 64-bit hashes.  Defined results: NULL or empty text is one end;
+Words are compared by their bytes when they are counted, contexts of one and
+two words by their symbols' numbers, longer ones (and where numbers pass 32
+bits) by 64-bit hashes.  Frequent words get small numbers, and what a block
+hands out is in the numbers' order, so that differences can be packed.  A table
+goes as soon as nothing reads it any more.  Defined results: NULL or empty text is one end;
 documents of unknown membership (NULL) are learnt from; repeated rows are
 counted and scored as often as they stand; an empty table gives no rows, and
 where nothing is learnt every token has probability 1.
@@ -67,6 +70,7 @@ BUCKET = 1 << 20             # tokens of the corpus for each bucket of contexts
 WORDS_OF_BUCKET = 1 << 18    # entries of the vocabulary counted in one task's group
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b""                    # no word is empty
+UNIT = 2.0 ** -32            # of the sums of logarithms that blocks hand out
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,6 +108,31 @@ def _packs(flat: np.ndarray, cuts) -> pa.Array:
     return pa.array([_pack(flat[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
 
 
+def _halves(a: np.ndarray) -> np.ndarray:
+    """The upper halves of 64-bit numbers as differences from the last one's."""
+    upper = np.diff((a >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
+    return upper.astype(np.uint64) << np.uint64(32) | a & np.uint64(0xFFFFFFFF)
+
+
+def _whole(a: np.ndarray) -> np.ndarray:
+    """Back from ``_halves``."""
+    upper = np.cumsum((a >> np.uint64(32)).astype(np.uint32), dtype=np.uint32)
+    return upper.astype(np.uint64) << np.uint64(32) | a & np.uint64(0xFFFFFFFF)
+
+
+def _steps(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The differences inside runs of these sizes, each from its first number."""
+    out, first = np.diff(a, prepend=0), np.cumsum(sizes) - sizes
+    out[first] = a[first]
+    return out
+
+
+def _climbed(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Back from ``_steps``."""
+    total, first = np.cumsum(a), np.cumsum(sizes) - sizes
+    return total - np.repeat(total[first] - a[first], sizes)
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of ranges, one range after another."""
     return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
@@ -113,10 +142,13 @@ class Totals:
     """Corpus totals: training tokens, different ones, the weight of the
     tokens that are no symbols of their own (in units of ``1 / z``), and the
     numbers of buckets of words and of contexts, the tokens of a context's
-    part, and the least count of a symbol or context."""
+    part, and the least count of a symbol or context; ``own`` is the most
+    symbols of a bucket of words, and ``pairs`` whether two symbols' numbers
+    fit into 64 bits."""
 
     def __init__(self, tokens: int, distinct: int, rare: int, buckets: int = 1, context_buckets: int = 1,
-                 part: int = PART, least: int = MIN_COUNT):
+                 part: int = PART, least: int = MIN_COUNT, own: int = 0):
+        self.pairs = (own + 1) * buckets < 1 << 32
         self.tokens, self.z, self.rare = tokens, tokens + distinct + 1, rare + 1
         self.buckets, self.context_buckets, self.part, self.least = buckets, context_buckets, part, least
 
@@ -134,8 +166,8 @@ class Replay:
         self.train = np.repeat(train, lengths).astype(np.float64)
         own = symbol > 0
         self.base = int(own.sum()) + 1
-        self.symbol = np.where(own, np.cumsum(own), 0)[idx]
-        self.number = np.r_[0, symbol[own]]        # the corpus's symbol numbers
+        self.number = np.r_[0, np.sort(symbol[own])]        # the corpus's symbol numbers
+        self.symbol = np.searchsorted(self.number, symbol)[idx]
         self.known = count[idx]
         self.p0 = (self.known + 1) / totals.z
         self.p = np.where(self.symbol > 0, self.p0, totals.rare / totals.z)
@@ -143,7 +175,7 @@ class Replay:
         self.depth = np.zeros(len(idx), np.int64)
         # the gram that ends at a position: event, count, hash
         self.event, self.gram_n, self.whole = self.symbol, self.known, self.symbol > 0
-        self.hash = self.number.astype(np.uint64)
+        self.hash, self.words = self.number.astype(np.uint64), 0
         self.kept = np.ones(len(idx), bool)
 
     def open(self) -> None:
@@ -166,7 +198,9 @@ class Replay:
         self.which, first = rank[which], first[order]
         self.context_n, self.next, part = n[order], symbol[order], part[order]
         self.context = self.hash[context[order]]
-        self.key = _mixed(self.context, self.number[self.next].astype(np.uint64))
+        self.words, number = self.words + 1, self.number[self.next].astype(np.uint64)
+        exact = self.words == 1 and self.totals.pairs
+        self.key = self.context << np.uint64(32) | number if exact else _mixed(self.context, number)
         self.in_train = np.bincount(self.which, self.train[self.at], len(uniq)).astype(np.int64)
         self.shorter = self.p[self.at[first]]
         # runs of one context and part, and their order by bucket
@@ -287,12 +321,13 @@ def _vocabulary(blocks: DataFrame, min_count: int, root_share: float, part: int,
         for ws, n in zip(rows, table["n"].to_pylist(), strict=True):
             for w, x in zip(ws, _unpack(n, np.int64).tolist(), strict=True):
                 total[w] += x
-        own = sorted(w for w, c in total.items() if c >= least)
-        number = {w: 1 + i * buckets + mine for i, w in enumerate(own)}
+        # frequent ones first; buckets are alike, so this is nearly the order in the corpus
+        own = sorted((w for w, c in total.items() if c >= least), key=lambda w: (-total[w], w))
+        number = {w: i for i, w in enumerate(own, 1)}
         counts = [_pack(np.array([total[w] for w in ws], np.int64)) for ws in rows]
         numbers = [_pack(np.array([number.get(w, 0) for w in ws], np.int64)) for ws in rows]
         sums = [sum(total.values()), sum(c > 0 for c in total.values()),
-                sum(c + 1 for c in total.values() if 0 < c < least)]
+                sum(c + 1 for c in total.values() if 0 < c < least), len(own)]
         n = len(rows)
         return pa.table({"b": pa.array([*table["b"].to_pylist(), None], pa.int64()),
                          "level": pa.array([0] * (n + 1), pa.int32()),
@@ -306,9 +341,11 @@ def _vocabulary(blocks: DataFrame, min_count: int, root_share: float, part: int,
         deal, "part int, b long, words binary, n binary, x binary")
     found = tables.write(dealt.groupBy("part").applyInArrow(
         count, _schema(ANSWER, T.StructField("sums", T.ArrayType(T.LongType())))))
-    t = found.filter("sums IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(3)])
+    t = found.filter("sums IS NOT NULL").agg(*[F.coalesce((F.max if i == 3 else F.sum)(F.col("sums")[i]), F.lit(0))
+                                               for i in range(4)])
+    *sums, own = t.first()
     return (found.filter("b IS NOT NULL").drop("sums"),
-            Totals(*t.first(), buckets, max(1, math.ceil(n_tokens / bucket)), part, least))
+            Totals(*sums, buckets, max(1, math.ceil(n_tokens / bucket)), part, least, own))
 
 
 def _replayed(block: pa.Table, answers: pa.Table, totals: Totals, mu: float, levels: int) -> Replay:
@@ -316,9 +353,9 @@ def _replayed(block: pa.Table, answers: pa.Table, totals: Totals, mu: float, lev
     level = answers["level"].to_numpy()
     mine = answers.filter(pa.array(level == 0))
     count, symbol = np.zeros((2, block["n_words"][0].as_py()), np.int64)
-    for at, v, w in zip(*[mine[c].to_pylist() for c in "xvw"], strict=True):
-        at = np.cumsum(_unpack(at, np.int64))
-        count[at], symbol[at] = _unpack(v, np.int64), _unpack(w, np.int64)
+    for at, v, w, part in zip(*[mine[c].to_pylist() for c in ("x", "v", "w", "part")], strict=True):
+        at, w = np.cumsum(_unpack(at, np.int64)), _unpack(w, np.int64)
+        count[at], symbol[at] = _unpack(v, np.int64), np.where(w > 0, 1 + (w - 1) * totals.buckets + part, 0)
     r = Replay(*[_unpack(block[c][0].as_py(), t) for c, t in (("idx", np.uint32), ("lengths", np.int64),
                                                               ("train", np.uint8))],
                count, symbol, totals, mu)
@@ -343,13 +380,18 @@ def _gain(t, lp, total):
     return t - lp - total * np.log(np.maximum(total, 1))
 
 
-def _sum_bucket(rows: pa.Table, least: int, evidence: float) -> pa.Table:
+def _sum_bucket(rows: pa.Table, least: int, evidence: float, steps: bool = False) -> pa.Table:
     """The contexts of a bucket: an answer for every block's row; sums and a
-    row for every run, where a context stands in several parts."""
+    row for every run, where a context stands in several parts.  With
+    ``steps`` contexts and symbols are differences (``_halves``, ``_steps``)
+    and the log-probabilities whole numbers of ``UNIT``."""
     bucket = rows["bucket"][0].as_py()
-    context, parts, sizes = (_joined(rows[c], k) for c, k in (
-        ("context", np.uint64), ("parts", np.int64), ("sizes", np.int64)))
-    lp, symbols, n = _joined(rows["lp"], np.float64), _joined(rows["symbols"]), _joined(rows["n"])
+    context = np.concatenate([_whole(_unpack(x, np.uint64)) if steps else _unpack(x, np.uint64)
+                              for x in rows["context"].to_pylist()])
+    parts, sizes = _joined(rows["parts"]), _joined(rows["sizes"])
+    lp = -UNIT * _joined(rows["lp"]) if steps else _joined(rows["lp"], np.float64)
+    symbols, n = _joined(rows["symbols"]), _joined(rows["n"])
+    symbols = _climbed(symbols, sizes) if steps else symbols
     n_runs = np.array([len(_unpack(x, np.int64)) for x in rows["sizes"].to_pylist()], np.int64)
     ids, group = np.unique(context, return_inverse=True)
     events = np.repeat(group, sizes)
@@ -409,11 +451,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     with shuffles_end_with_jobs(spark), Scratch(spark) as tables:
         src = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").cast("binary").alias("raw"),
                           F.coalesce(~held_out, F.lit(True)).alias("train"))
-        blocks = tables.write(_code(src, kind))
-        answers, totals = _vocabulary(blocks, min_count, root_share, part, bucket, tables)
+        coded = tables.write(_code(src, kind))
+        answers, totals = _vocabulary(coded, min_count, root_share, part, bucket, tables)
+        # the words themselves are not read again
+        blocks = tables.write(coded.drop("words", "counts"))
+        tables.drop(coded)
         for d in range(1, depth + 1):
-            new = _answers(blocks, answers, totals, d, evidence, mu, tables)
-            answers = answers.unionByName(tables.write(new))
+            answers = answers.unionByName(_answers(blocks, answers, totals, d, evidence, mu, tables))
 
         def rows(block: pa.Table, found: pa.Table) -> pa.Table:
             r = _replayed(block, found, totals, mu, depth)
@@ -433,7 +477,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         out = T.StructType([T.StructField("k", kind), *T._parse_datatype_string(
             "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
             "score double, n_in_context long").fields])
-        done = cut_lineage(blocks.drop("words", "counts").groupBy("block").cogroup(answers.groupBy("b"))
+        done = cut_lineage(blocks.groupBy("block").cogroup(answers.groupBy("b"))
                            .applyInArrow(rows, out))
     return done.withColumnRenamed("k", id_col)
 
@@ -445,32 +489,38 @@ def _answers(blocks: DataFrame, answers: DataFrame, totals: Totals, d: int, evid
     def events(block: pa.Table, found: pa.Table) -> pa.Table:
         r = _replayed(block, found, totals, mu, d - 1)
         r.open()
-        lp = np.add.reduceat(r.in_train * np.log(r.shorter), r.runs) if len(r.runs) else np.zeros(0)
+        # a logarithm is rounded by itself, so that sums do not depend on the blocks
+        logs = np.rint(np.log(r.shorter) / -UNIT).astype(np.int64)
+        lp = np.add.reduceat(r.in_train * logs, r.runs) if len(r.runs) else np.zeros(0, np.int64)
         at = r.dealt
         cuts = np.r_[np.unique(r.bucket[at], return_index=True)[1], len(at)]
-        flat = _ranges(r.runs[at], r.sizes[at])
+        context, flat = r.context[r.runs[at]], _ranges(r.runs[at], r.sizes[at])
         ends = np.r_[0, np.cumsum(r.sizes[at])][cuts]
         return pa.table({
             "bucket": pa.array(r.bucket[at[cuts[:-1]]].astype(np.int32)),
             "b": pa.array(np.full(len(cuts) - 1, block["block"][0].as_py(), np.int64)),
-            "context": _packs(r.context[r.runs[at]], cuts), "parts": _packs(r.parts[at], cuts),
+            "context": pa.array([_pack(_halves(context[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)],
+                                pa.binary()),
+            "parts": _packs(r.parts[at], cuts),
             "sizes": _packs(r.sizes[at], cuts), "lp": _packs(lp[at], cuts),
-            "symbols": _packs(r.number[r.next[flat]].astype(np.int64), ends),
+            "symbols": _packs(_steps(r.number[r.next[flat]].astype(np.int64), r.sizes[at]), ends),
             "n": _packs(r.in_train[flat], ends)})
 
-    rows = blocks.drop("k", "words", "counts").groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(
+    rows = blocks.drop("k").groupBy("block").cogroup(answers.groupBy("b")).applyInArrow(
         events, _schema(EVENTS))
     summed = tables.write(rows.groupBy("bucket").applyInArrow(
-        lambda t: _sum_bucket(t, totals.least, evidence), _schema(SUMMED)))
+        lambda t: _sum_bucket(t, totals.least, evidence, True), _schema(SUMMED)))
     total = F.col("total")
     split = (summed.filter("b IS NULL").groupBy("context")
              .agg(*[F.sum(c).alias(c) for c in ("t", "different", "total", "lp")])
              .filter((total > 0) & (F.col("t") - F.col("lp") - total * F.log(total)
                                     >= F.lit(evidence) * F.col("different"))).select("context"))
     asks = summed.filter("b IS NOT NULL AND e >= 0").join(split, "context", "left_semi")
-    return summed.filter("e < 0").unionByName(asks.select(summed.columns)).select(
+    out = tables.write(summed.filter("e < 0").unionByName(asks.select(summed.columns)).select(
         "b", F.lit(d).alias("level"), F.col("bucket").alias("part"), "e", "v", "w",
-        F.lit(None).cast("binary").alias("x"))
+        F.lit(None).cast("binary").alias("x")))
+    tables.drop(summed)
+    return out
 
 
 @query("op12_suffix_tree_scores")
