@@ -70,6 +70,15 @@ class Rough:
         own = self.qq[lo:hi]
         return self.q[lo:hi] @ self.r, own, self.eps * (own + self.most) + self.tiny
 
+    def limits(self, bound: np.ndarray) -> np.ndarray:
+        """``bound`` in the measure of ``parts``."""
+        return np.square(bound)
+
+    @staticmethod
+    def above(cut: np.ndarray, dtype) -> np.ndarray:
+        """``cut`` as ``dtype``, not under it by its own rounding."""
+        return np.nextafter(cut.astype(dtype), dtype.type(np.inf))
+
     def squares(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of the rows from ``lo`` to ``hi``, and by how much
         each row's may be wrong."""
@@ -77,13 +86,65 @@ class Rough:
         return d + own[:, None], wrong
 
 
-def pair_distances(q: np.ndarray, r: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Euclidean distances of the rows ``at`` of ``q`` and ``to`` of ``r``, by
-    the same sums as ``distances``."""
+class RoughSums:
+    """Manhattan distances between rows of ``q`` and ``r`` in whole numbers, as
+    ``Rough`` has Euclidean ones: values become 16-bit multiples of one step,
+    and a distance is twice the sum of the larger values less both rows' sums.
+    A row's error is that of rounding to the step."""
+
+    LEVELS = 32_000   # that the values of a row add up to at most
+    CELLS = 1 << 18   # of a matrix that stays in a processor's cache
+
+    def __init__(self, q: np.ndarray, r: np.ndarray):
+        n = q.shape[1]
+        self.finite = bool(n and len(q) and len(r) and np.isfinite(q).all() and np.isfinite(r).all())
+        if not self.finite:
+            return
+        low = np.minimum(q.min(0), r.min(0))
+        with np.errstate(over="ignore"):
+            spans = np.maximum(q.max(0), r.max(0)) - low
+            step = float(spans.sum()) / (self.LEVELS - 2 * n)
+        self.finite = n <= self.LEVELS // 8 and 0 < step < 1e300 and step > 1e-290
+        if not self.finite:
+            return
+        self.unit = 2.0 * step
+        # half a step a value, on either side; the halved sum; shifts of values far from zero
+        far = max(np.abs(low).max(), np.abs(low + spans).max()) / step
+        self.wrong = 0.5 * n * (1 + 1e-6) + 1.0 + 16 * n * far * float(np.finfo(float).eps)
+        self.q, self.r = (np.ascontiguousarray(np.rint((x - low) / step).astype(np.int16).T) for x in (q, r))
+        self.own = self.q.sum(0, dtype=np.int64) / -2.0
+        self.start = -(self.r.sum(0, dtype=np.int64) // 2).astype(np.int16)
+
+    def parts(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = self.own[lo:hi]
+        out = np.empty((len(own), self.r.shape[1]), np.int16)
+        rows = max(1, self.CELLS // out.shape[1])
+        most = np.empty((min(rows, len(own)), out.shape[1]), np.int16)
+        for a in range(0, len(own), rows):
+            piece = out[a:a + rows]
+            piece[:] = self.start
+            for x, y in zip(self.q[:, lo + a:lo + a + len(piece)], self.r, strict=True):
+                piece += np.maximum(x[:, None], y, out=most[:len(piece)])
+        return out, own, np.full(len(own), self.wrong)
+
+    def limits(self, bound: np.ndarray) -> np.ndarray:
+        return bound / self.unit
+
+    @staticmethod
+    def above(cut: np.ndarray, dtype) -> np.ndarray:
+        most = np.iinfo(dtype)
+        return np.clip(np.floor(cut) + 1, most.min, most.max).astype(dtype)
+
+
+def pair_distances(q: np.ndarray, r: np.ndarray, at: np.ndarray, to: np.ndarray,
+                   metric: str = "euclidean") -> np.ndarray:
+    """Distances (Euclidean or Manhattan) of the rows ``at`` of ``q`` and
+    ``to`` of ``r``, by the same sums as ``distances``."""
     out = np.empty(len(at))
     for lo in range(0, len(at), 1 << 14):
         diff = (q[at[lo:lo + (1 << 14)]] - r[to[lo:lo + (1 << 14)]])[None]
-        out[lo:lo + (1 << 14)] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))[0]
+        out[lo:lo + (1 << 14)] = (np.abs(diff).sum(2) if metric == "manhattan"
+                                  else np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)))[0]
     return out
 
 
@@ -108,11 +169,12 @@ def blocks(vectors: DataFrame, block_rows: int = 2000, metric: str = "euclidean"
     def assign(batches):
         for b in batches:
             v = np.stack(b["vec"].to_numpy()).astype(float)
-            rough = Rough(v, pivots.value) if metric == "euclidean" else None
+            rough = {"euclidean": Rough, "manhattan": RoughSums}[metric](v, pivots.value) if metric in (
+                "euclidean", "manhattan") else None
             step = max(1, MATRIX // len(pivots.value))
             # a point between two pivots may go to either
             cell = np.concatenate(
-                [rough.squares(lo, lo + step)[0].argmin(1) for lo in range(0, len(v), step)] if rough is not None
+                [rough.parts(lo, lo + step)[0].argmin(1) for lo in range(0, len(v), step)] if rough is not None
                 and rough.finite else [d.argmin(1) for _, d in in_chunks(v, pivots.value, metric)])
             yield b.assign(cell=cell.astype(np.int64))
 

@@ -39,26 +39,23 @@ def as_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         .filter(F.col("vec").isNotNull())
 
 
-def _near_rows(rough: cells.Rough, lo: int, qv, rv, rid, bound, kk: int):
+def _near_rows(rough: cells.Rough | cells.RoughSums, lo: int, qv, rv, rid, bound, kk: int, metric: str):
     """Places in ``q`` and ``r`` and distances of the ``kk`` nearest of a piece
-    of ``q``: rough squares leave a few candidates a row, whose exact distances
+    of ``q``: rough distances leave a few candidates a row, whose exact distances
     decide (ties by the lower id)."""
     d, own, wrong = rough.parts(lo, lo + max(1, cells.MATRIX // max(1, len(rid))))
-    cut = np.square(bound[lo:lo + len(d)] * (1 + 2 * cells.SLACK)) + wrong - own
-    # not under the cut by the cut's own rounding
-    cut = np.nextafter(cut.astype(d.dtype), d.dtype.type(np.inf))
+    cut = rough.above(rough.limits(bound[lo:lo + len(d)] * (1 + 2 * cells.SLACK)) + wrong - own, d.dtype)
     at, to = np.divmod(np.flatnonzero(d <= cut[:, None]), d.shape[1])
     many = np.flatnonzero(np.bincount(at, minlength=len(d)) > 4 * kk)     # the bound leaves too many
     if kk < len(rid) and len(many):
         kth = np.partition(d[many], kk - 1, axis=1)[:, kk - 1]
-        edge = (kth + 2.0 * wrong[many]).astype(d.dtype)
-        cut[many] = np.minimum(cut[many], np.nextafter(edge, d.dtype.type(np.inf)))
+        cut[many] = np.minimum(cut[many], rough.above(kth + 2.0 * wrong[many], d.dtype))
         close = d[at, to] <= cut[at]
         at, to = at[close], to[close]
-    if d.dtype == np.float32 and len(at) > 8 * kk * len(d):      # too coarse for these points
+    if d.dtype != np.float64 and len(at) > 8 * kk * len(d):      # too coarse for these points
         return None
     at = at + lo
-    dist = cells.pair_distances(qv, rv, at, to)
+    dist = cells.pair_distances(qv, rv, at, to, metric)
     near = dist <= bound[at] * (1 + cells.SLACK)
     at, to, dist = at[near], to[near], dist[near]
     order = np.lexsort((rid[to], dist, at))
@@ -80,11 +77,13 @@ def _topk(qid, qv, bound, names, rv, k: int, metric: str, chunk: int = 32, order
     rid = names if order is None else order
     none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     kk = min(k, len(rid))
-    for kind in (np.float32, np.float64) if metric == "euclidean" and kk and len(qid) else ():
-        rough = cells.Rough(qv, rv, kind)
+    kinds = {"euclidean": (lambda: cells.Rough(qv, rv, np.float32), lambda: cells.Rough(qv, rv)),
+             "manhattan": (lambda: cells.RoughSums(qv, rv),)}
+    for kind in kinds.get(metric, ()) if kk and len(qid) else ():
+        rough = kind()
         found = []
         for lo in range(0, len(qid) if rough.finite else 0, max(1, cells.MATRIX // len(rid))):
-            found.append(_near_rows(rough, lo, qv, rv, rid, bound, kk))
+            found.append(_near_rows(rough, lo, qv, rv, rid, bound, kk, metric))
             if found[-1] is None:
                 break
         if found and found[-1] is not None:
