@@ -113,16 +113,33 @@ def sufficient_stats(df: DataFrame, features: Sequence[str], target: str, z: np.
     return [_whole(h, len(z)) for h in tot[:L]], tot[L:2 * L], float(tot[-1][0]), int(tot[-1][1])
 
 
-def _bound(A, b, yy, n, kmm, s2, noise):
-    """Titsias' collapsed lower bound for output scale s2 and noise."""
+def _definite(B: np.ndarray, mend: bool):
+    """``B`` and its Cholesky factor.  K + A / noise is positive definite, but
+    its rounding can outweigh the jitter: to ``mend`` it the diagonal is raised
+    by the least part of that rounding which helps.  The factor is None beyond it."""
+    rounding = len(B) * float(np.finfo(float).eps) * float(np.trace(B))
+    for part in (0.0, 2.0 ** -8, 2.0 ** -6, 2.0 ** -4, 2.0 ** -2, 1.0) if mend else (0.0,):
+        raised = B + part * rounding * np.eye(len(B))
+        try:
+            return raised, np.linalg.cholesky(raised)
+        except np.linalg.LinAlgError:
+            continue
+    return B, None
+
+
+def _bound(A, b, yy, n, kmm, s2, noise, mend=False):
+    """Titsias' collapsed lower bound for output scale s2 and noise; -inf where
+    a matrix is not positive definite, also not ``mend``ed (``_definite``)."""
     A_s, b_s = A * s2 * s2, b * s2
     K = kmm * s2
     B = K + A_s / noise
     try:
         Lk = np.linalg.cholesky(K)
-        Lb = np.linalg.cholesky(B)
     except np.linalg.LinAlgError:
         return -np.inf, None, None, None
+    B, Lb = _definite(B, mend)
+    if Lb is None:
+        return -np.inf, None, None, None
     logdet = 2 * np.log(np.diag(Lb)).sum() - 2 * np.log(np.diag(Lk)).sum() + n * np.log(noise)
     binv_b = np.linalg.solve(B, b_s)
     quad = yy / noise - (b_s @ binv_b) / (noise * noise)
@@ -257,9 +274,12 @@ def fit(df: DataFrame, features: Sequence[str], target: str, id_col: str,
     s2s = list(outputscales or [var_y])
     nzs = list(noises or [0.01 * var_y, 0.1 * var_y, 0.5 * var_y])
     As, bs, yy, n = sufficient_stats(d, feats, target, z, lss, mean)
-    f, ls, s2, nz, A, b = max(
-        ((_bound(As[i], bs[i], yy, n, _rbf(z, z, l) + jitter * np.eye(len(z)), s, e)[0], l, s, e, As[i], bs[i])
-         for i, l in enumerate(lss) for s in s2s for e in nzs), key=lambda t: t[0])
+    for mend in (False, True):      # only where no point of the grid is definite as it is
+        f, ls, s2, nz, A, b = max(
+            ((_bound(As[i], bs[i], yy, n, _rbf(z, z, l) + jitter * np.eye(len(z)), s, e, mend)[0], l, s, e, As[i], bs[i])
+             for i, l in enumerate(lss) for s in s2s for e in nzs), key=lambda t: t[0])
+        if f > -np.inf:
+            break
     if steps:
         seen: dict[float, list] = {}   # statistics of the last lengthscale
 
@@ -274,7 +294,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, id_col: str,
             value(theta)
         ls, s2, nz = map(float, np.exp(theta))
         A, b = seen[theta[0]][:2]
-    f, B, K, binv_b = _bound(A, b, yy, n, _rbf(z, z, ls) + jitter * np.eye(len(z)), s2, nz)
+    f, B, K, binv_b = _bound(A, b, yy, n, _rbf(z, z, ls) + jitter * np.eye(len(z)), s2, nz, mend=True)
     w = binv_b / nz
     c = np.linalg.inv(K) - np.linalg.inv(B)
     return SparseGP(feats, z, ls, s2, nz, mean, jitter, white, w, c, float(f))
